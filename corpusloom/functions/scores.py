@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def round6(c: Column) -> Column:
+    """Six digits by plain arithmetic, for ratios of rounded numbers, where exact halves are common."""
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
 def as_doubles(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
 
@@ -76,3 +81,30 @@ def numbered(df: DataFrame, order: str, slices: Column, to: str = "seq", keys: t
     inside = Window.partitionBy(*keys, "_slice").orderBy(order)
     return (df.join(starts, [*keys, "_slice"])
             .withColumn(to, F.col("_start") + F.row_number().over(inside)).drop("_start", "_slice"))
+
+
+def previous(df: DataFrame, keys: list[str], order: str, value: str, slices: Column, to: str) -> DataFrame:
+    """Value of the row before in ``order`` per key, without one task holding a whole key.
+
+    Inside a slice it is ``lag``; the first row of a slice takes the last value of the slice before.
+    """
+    df = df.withColumn("_slice", slices)
+    lasts = df.groupBy(*keys, "_slice").agg(F.max_by(value, order).alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_slice")
+    before = lasts.select(*keys, "_slice", F.lag("_last").over(w).alias("_before"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(order)
+    return (df.withColumn("_lag", F.lag(value).over(inside)).join(before, [*keys, "_slice"])
+            .withColumn(to, F.coalesce("_lag", "_before")).drop("_lag", "_before", "_slice"))
+
+
+def rolling_mean(df: DataFrame, seq: str, value: str, rows: int, to: str, block: int = 10_000) -> DataFrame:
+    """Mean of ``value`` over the last ``rows`` rows of one order, ``seq`` being 1, 2, 3 ...
+
+    Blocks of consecutive rows are windows of their own; the last ``rows - 1`` rows of a block are
+    repeated at the start of the next one, so every frame is whole and no task sees the whole order.
+    """
+    own = F.floor((F.col(seq) - 1) / block)
+    tail = (F.col(seq) - 1) % block >= block - (rows - 1)
+    both = df.withColumn("_block", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy("_block").orderBy(seq).rowsBetween(-(rows - 1), Window.currentRow)
+    return (both.withColumn(to, F.avg(value).over(w)).filter(F.col("_block") == own).drop("_block"))

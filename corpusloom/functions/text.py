@@ -12,6 +12,15 @@ def text_of(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A Column is an expression, not a variable: used inside a lambda over an array it would be computed
+    again for every element. Bound as a lambda argument it is computed once.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -44,15 +53,15 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def jaccard_words(a: Column, b: Column) -> Column:
-    x, y = word_set(a), word_set(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(
-        F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    def score(x: Column, y: Column) -> Column:
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(
+            F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    return let(word_set(a), lambda x: let(word_set(b), lambda y: score(x, y)))
 
 
 def word_overlap(query: Column, text: Column) -> Column:
     """Share of the query's distinct words that the text has."""
-    q = word_set(query)
-    return ratio(F.size(F.array_intersect(q, word_set(text))), F.size(q))
+    return let(word_set(query), lambda q: ratio(F.size(F.array_intersect(q, word_set(text))), F.size(q)))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -87,15 +96,13 @@ TOC_HEADER_LINE = _whole_line(V.TOC_HEADER_LINES)
 
 
 def filter_noise_lines(c: Column) -> Column:
-    lines = F.split(c, "\n")
-
-    def keep(line: Column, i: Column) -> Column:
+    def keep(lines: Column, line: Column, i: Column) -> Column:
         bare = strip(line)
         ahead = F.array_join(F.slice(lines, i + 1, F.lit(5)), "\n")
         real_toc = bare.rlike(TOC_HEADER_LINE) & ahead.rlike("(?i)" + V.TOC_STRUCTURE)
-        return (bare == "") | real_toc | ~(bare.rlike(TOC_FOOTER_LINE) | bare.rlike(NOISE_LINE))
+        return real_toc | ~(bare.rlike(TOC_FOOTER_LINE) | bare.rlike(NOISE_LINE)) | (bare == "")
 
-    return F.array_join(F.filter(lines, keep), "\n")
+    return let(F.split(c, "\n"), lambda lines: F.array_join(F.filter(lines, lambda x, i: keep(lines, x, i)), "\n"))
 
 
 def repair_line_breaks(c: Column) -> Column:

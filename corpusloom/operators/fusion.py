@@ -44,8 +44,8 @@ def fuse_max(vector_hits: DataFrame, word_scores: DataFrame, alpha: float, k: in
     found = word_scores.join(left.select(*PAIR), PAIR, "left_semi").withColumnRenamed("score", "b")
     df = left.join(found, PAIR, "left").join(w_max, "query_id", "left")
     b = F.coalesce(F.when(F.col("_wm") > 0, F.col("b") / F.col("_wm")).otherwise(F.col("b")), F.lit(0.0))
-    df = df.select(*PAIR, F.round(alpha * F.col("v") + (1 - alpha) * b, 6).alias("score"),
-                   F.round("v", 6).alias("vector_score"), F.round(b, 6).alias("bm25_score"))
+    df = df.select(*PAIR, S.round6(alpha * F.col("v") + (1 - alpha) * b).alias("score"),
+                   S.round6(F.col("v")).alias("vector_score"), S.round6(b).alias("bm25_score"))
     return S.top_k(df, k)
 
 
@@ -100,18 +100,21 @@ def ready_queries(queries: DataFrame, index: TermIndex) -> DataFrame:
     terms = query_terms(queries).join(index.vocabulary, "term", "left")
     idf = F.log((1 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1
     weighed = (terms.select("query_id", "term", idf.alias("idf")).groupBy("query_id")
-               .agg(F.collect_list(F.struct("term", "idf")).alias("q_terms"), F.sum("idf").alias("q_idf")))
+               .agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("q_terms"),
+                    F.sum("idf").alias("q_idf")))
     return queries.select("query_id", _bigrams(T.tokens(F.col("query"))).alias("q_pairs")).join(weighed, "query_id")
 
 
 def pair_score(text: Column) -> Column:
     """Default pair score: .5 word overlap + .3 idf share + .2 share of the query's word pairs."""
-    words = T.tokens(text)
-    seen = F.array_distinct(words)
-    shared = F.filter("q_terms", lambda t: F.array_contains(seen, t["term"]))
-    share = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + t["idf"]) / F.col("q_idf")
-    pairs = T.ratio(F.size(F.array_intersect(F.col("q_pairs"), _bigrams(words))), F.size("q_pairs"))
-    return 0.5 * T.ratio(F.size(shared), F.size("q_terms")) + 0.3 * share + 0.2 * pairs
+    def score(words: Column) -> Column:
+        seen = F.array_distinct(words)
+        pairs = T.ratio(F.size(F.array_intersect(F.col("q_pairs"), _bigrams(words))), F.size("q_pairs"))
+        shared = T.let(F.array_intersect(F.map_keys("q_terms"), seen), lambda s: (
+            0.5 * T.ratio(F.size(s), F.size("q_terms"))
+            + 0.3 * F.aggregate(s, F.lit(0.0), lambda acc, t: acc + F.col("q_terms")[t]) / F.col("q_idf")))
+        return shared + 0.2 * pairs
+    return T.let(T.tokens(text), score)
 
 
 def rerank(candidates: DataFrame, chunks: DataFrame, ready: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:

@@ -27,6 +27,11 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norm == 0, 1.0, norm)
 
 
+def _round(sims: np.ndarray) -> np.ndarray:
+    """Six digits; the small shift sends exact halves up whatever the order of summation was."""
+    return np.round(sims + 1e-9, 6)
+
+
 def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
     """Unit vectors as rows; all must have the same number of dimensions."""
     if isinstance(column, pd.Series):
@@ -65,7 +70,7 @@ def _scan_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str, probe:
                 continue
             ids, mat = pdf[key].to_numpy(), _matrix(pdf["embedding"])
             cells = pdf["cell"].to_numpy() if probe else None
-            sims = np.round(q_mat @ mat.T, 6)
+            sims = _round(q_mat @ mat.T)
             for q in range(len(q_ids)):
                 s, i = sims[q], ids
                 if probe:
@@ -102,7 +107,7 @@ def _grid_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str) -> Dat
     def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(v):
-            ids, sims = v[key].to_numpy(), np.round(_matrix(q["embedding"]) @ _matrix(v["embedding"]).T, 6)
+            ids, sims = v[key].to_numpy(), _round(_matrix(q["embedding"]) @ _matrix(v["embedding"]).T)
             for row, q_id in enumerate(q["query_id"]):
                 at = _best(sims[row], ids, k)
                 out.append(pd.DataFrame({"query_id": q_id, key: ids[at], "score": sims[row][at]}))
@@ -195,7 +200,7 @@ def score_all(queries: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
         q_ids, q_mat = shared.value
         for pdf in batches:
             if len(pdf):
-                sims = np.round(q_mat @ _matrix(pdf["embedding"]).T, 6)
+                sims = _round(q_mat @ _matrix(pdf["embedding"]).T)
                 for q, q_id in enumerate(q_ids):
                     yield pd.DataFrame({"query_id": q_id, key: pdf[key], "score": sims[q]})
 
@@ -316,7 +321,7 @@ def _later_matches(left: pd.DataFrame, right: pd.DataFrame, key: str, threshold:
     r_mat = _matrix(right["embedding"])
     for at in range(0, len(left), step):
         part = left.iloc[at:at + step]
-        sims = np.round(_matrix(part["embedding"]) @ r_mat.T, 6)
+        sims = _round(_matrix(part["embedding"]) @ r_mat.T)
         hit = (sims > threshold) & (l_ids[at:at + step][:, None] < r_ids[None, :])
         rows, cols = np.nonzero(hit)
         yield l_ids[at:at + step][rows], r_ids[cols], sims[rows, cols]

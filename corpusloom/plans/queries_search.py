@@ -1 +1,305 @@
-"""Registered queries."""
+"""Registered queries: vectors (D), lexical and sparse search (E), fusion and plans (F)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scores as S, text as T
+from ..operators import encoders, fusion, lexical, vectors
+from ..session import scratch_folder
+from ..sources import sinks
+from . import search
+from . import sqlparts as Q
+from .registry import query
+
+HIT = ["query_id", "chunk_id", "score", "rank"]
+
+
+# --- D: vectors -----------------------------------------------------------------------------
+
+@query("d1_embed", Q.sql("SELECT doc_id, d::INT AS d, round(x, 6) AS x FROM doc_vec",
+                         doc_vec=Q.hash_vectors("documents", "doc_id", "text")))
+def _(t):
+    vec = encoders.embed(t.documents.select("doc_id", "text"), encoders.hashing_encoder(64), dims=64)
+    return (vec.select("doc_id", F.posexplode("embedding").alias("d", "x")).filter("x <> 0")
+            .withColumn("x", F.round("x", 6)))
+
+
+@query("d2_knn_exact", Q.sql(Q.ranked("centre_scores", 10, tie="vec_id")))
+def _(t):
+    return vectors.knn_exact(t.class_centres, t.embeddings, 10, "vec_id")
+
+
+@query("d2_knn_exact_text", Q.sql("SELECT * FROM vec10"))
+def _(t):
+    return t.vector_hits(10)
+
+
+@query("d3_knn_ivf")
+def _(t):
+    return vectors.knn_ivf(t.class_centres, t.embeddings, 10, "vec_id")
+
+
+@query("d3_knn_ivf_text")
+def _(t):
+    path = scratch_folder(t.spark, "vectors")
+    sinks.save_chunk_store(t.chunk_vectors, path)
+    return vectors.knn_ivf(t.query_vectors, t.spark.read.parquet(path), 10)
+
+
+@query("d4_pair_similarity", f"""
+    SELECT *, CASE WHEN similarity > 0.7 THEN 'HIGH' WHEN similarity > 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (
+      SELECT a.vec_id AS a, b.vec_id AS b, round({Q.cosine('a.embedding', 'b.embedding')}, 6) AS similarity
+      FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)""")
+def _(t):
+    pairs = t.embeddings.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+    return vectors.pair_similarity(pairs, t.embeddings, "vec_id")
+
+
+@query("d5_similarity_profile", Q.sql("""
+    SELECT query_id, count(*) AS n, min(score) AS min_score, max(score) AS max_score, round(avg(score), 6) AS avg_score,
+           count(*) FILTER (score > 0.8) AS above_8, count(*) FILTER (score > 0.5) AS above_5,
+           count(*) FILTER (score > 0.3) AS above_3, list_sort(list(score))[count(*) // 2 + 1] AS median_upper,
+           (SELECT string_agg(vec_id::VARCHAR, ',' ORDER BY r) FROM ranks a WHERE a.query_id = s.query_id AND r <= 10) AS top_ids,
+           (SELECT string_agg(vec_id::VARCHAR, ',' ORDER BY b) FROM ranks a WHERE a.query_id = s.query_id AND b <= 10) AS bottom_ids
+    FROM centre_scores s GROUP BY query_id""", ranks="""
+    SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r,
+           row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS b FROM centre_scores"""))
+def _(t):
+    return vectors.similarity_profile(vectors.score_all(t.class_centres, t.embeddings, "vec_id"), "vec_id")
+
+
+@query("d6_vector_store_check", """
+    SELECT unnest(c) AS "check", unnest(d) AS detail FROM (
+      SELECT list_filter([CASE WHEN n = 0 THEN 'empty_store' END, CASE WHEN lo <> hi THEN 'mixed_dimensions' END,
+               CASE WHEN n < 10 THEN 'very_few_chunks' END, CASE WHEN n > 1000 THEN 'very_many_chunks' END,
+               CASE WHEN n <> docs THEN 'count_mismatch' END], lambda x: x IS NOT NULL) AS c,
+             list_filter([CASE WHEN n = 0 THEN n END, CASE WHEN lo <> hi THEN (hi - lo) END,
+               CASE WHEN n < 10 THEN n END, CASE WHEN n > 1000 THEN n END,
+               CASE WHEN n <> docs THEN n END], lambda x: x IS NOT NULL) AS d
+      FROM (SELECT count(*) AS n, min(len(embedding)) AS lo, max(len(embedding)) AS hi,
+                   (SELECT count(*) FROM documents) AS docs FROM embeddings))""")
+def _(t):
+    return vectors.vector_store_check(t.embeddings, expected_rows=t.documents.count())
+
+
+# --- E: lexical and sparse ------------------------------------------------------------------
+
+@query("e1_keyword_search", Q.sql(Q.ranked("keyword", 10)))
+def _(t):
+    return t.keyword_hits(10)
+
+
+@query("e2_build_postings", Q.sql("""
+    SELECT term, df, total_tf, max_tf, longest FROM vocabulary JOIN (
+      SELECT term, sum(tf)::BIGINT AS total_tf, max(tf) AS max_tf, max(dl) AS longest FROM postings GROUP BY 1) USING (term)"""))
+def _(t):
+    index = t.index()
+    sums = index.postings.groupBy("term").agg(F.sum("tf").alias("total_tf"), F.max("tf").alias("max_tf"),
+                                              F.max("dl").alias("longest"))
+    return index.vocabulary.join(sums, "term")
+
+
+@query("e3_bm25_search", Q.sql("SELECT * FROM bm10"))
+def _(t):
+    return t.bm25_hits(10)
+
+
+@query("e4_tfidf", Q.sql("""
+    SELECT chunk_id, count(*) AS n_terms, round(max(weight), 6) AS max_weight, round(sum(weight), 6) AS sum_weight,
+           round(sum(weight * weight), 6) AS length FROM tfidf GROUP BY 1"""))
+def _(t):
+    return lexical.tfidf(t.index(T.terms)).groupBy("chunk_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.round(F.max("weight"), 6).alias("max_weight"),
+        F.round(F.sum("weight"), 6).alias("sum_weight"),
+        F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("length"))
+
+
+@query("e5_sparse_expand", Q.sql("SELECT query_id, term, round(weight, 6) AS weight FROM sparse_q"))
+def _(t):
+    return t.sparse_queries.withColumn("weight", F.round("weight", 6))
+
+
+@query("e6_sparse_search", Q.sql(f"SELECT * FROM ({Q.ranked('sparse', 10)}) WHERE score >= 0.1"))
+def _(t):
+    return lexical.sparse_search(t.sparse_queries, t.sparse_texts, 10, threshold=0.1)
+
+
+@query("e7_dense_or_overlap", Q.sql(f"""
+    SELECT h.query_id, h.chunk_id, CASE WHEN l.doc_id IS NOT NULL THEN v.score
+           ELSE round({Q.overlap('q.query', 'c.text')}, 6) END AS score,
+           CASE WHEN l.doc_id IS NOT NULL THEN 'dense' ELSE 'overlap' END AS method
+    FROM bm10 h JOIN queries q USING (query_id) JOIN chunks c USING (chunk_id) JOIN vec v USING (query_id, chunk_id)
+    LEFT JOIN labels l ON l.doc_id = c.doc_id"""))
+def _(t):
+    # Only the chunks of labelled documents have vectors here.
+    labelled = t.chunks.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    vecs = encoders.embed(labelled.select("chunk_id", "text"), encoders.hashing_encoder(64), dims=64)
+    hits = fusion.with_text(t.bm25_hits(10), t.chunks).join(t.queries, "query_id")
+    return lexical.dense_or_overlap(hits, t.query_vectors, vecs)
+
+
+# --- F: fusion, rerank, plans ---------------------------------------------------------------
+
+def _minmax(hits: str) -> str:
+    span = "max(score) OVER w - min(score) OVER w"
+    return (f"SELECT query_id, chunk_id, (score - min(score) OVER w) / CASE WHEN {span} = 0 THEN 1.0 ELSE {span} END AS s "
+            f"FROM {hits} WINDOW w AS (PARTITION BY query_id)")
+
+
+HYBRID = f"""
+    SELECT query_id, chunk_id, round(0.7 * coalesce(v.s, 0) + 0.3 * coalesce(k.s, 0), 6) AS score
+    FROM ({_minmax('vec20')}) v FULL JOIN ({_minmax('kw20')}) k USING (query_id, chunk_id)"""
+PLANS = {
+    "vec60": Q.ranked("vec", 60), "vec180": Q.ranked("vec", 180),
+    "rr10": Q.rerank_sql("vec60", 10), "rr30": Q.rerank_sql("vec180", 30),
+    "sp10": Q.ranked("sparse", 10), "sp30": Q.ranked("sparse", 30),
+    "rr_sp": "SELECT s.query_id, s.chunk_id, s.score FROM sparse s JOIN rr30 USING (query_id, chunk_id)",
+    "rr_sp10": Q.ranked("rr_sp", 10), "sp_rr10": Q.rerank_sql("sp30", 10),
+    "hybrid": HYBRID, "hybrid10": Q.ranked("hybrid", 10),
+}
+ALL_PLANS = " UNION ALL ".join(f"SELECT query_id, chunk_id, score, rank, '{name}' AS plan FROM {cte}" for name, cte in [
+    ("vector_only", "vec10"), ("reranker_only", "rr10"), ("splade_only", "sp10"), ("reranker_then_splade", "rr_sp10"),
+    ("splade_then_reranker", "sp_rr10"), ("hybrid", "hybrid10")])
+
+
+def corpus_of(t) -> search.Corpus:
+    return search.Corpus(t.chunks, t.chunk_vectors, t.index(), t.sparse_texts)
+
+
+def questions_of(t) -> search.Questions:
+    return search.Questions(t.queries, t.query_vectors, t.sparse_queries)
+
+
+def plan_hits(t, name: str, k: int = 10):
+    return search.run_plan(name, corpus_of(t), questions_of(t), k)
+
+
+@query("f1_fuse_minmax", Q.sql(f"SELECT * FROM ({Q.ranked('hybrid', 10)}) WHERE score >= 0.2", **PLANS))
+def _(t):
+    return fusion.fuse_minmax(t.vector_hits(20), t.keyword_hits(20), 0.7, 10, threshold=0.2)
+
+
+@query("f2_fuse_max", Q.sql("""
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (
+      SELECT query_id, chunk_id, floor((0.6 * v + 0.4 * b) * 1e6 + 0.5) / 1e6 AS score, floor(v * 1e6 + 0.5) / 1e6 AS vector_score, floor(b * 1e6 + 0.5) / 1e6 AS bm25_score FROM (
+        SELECT query_id, chunk_id, CASE WHEN vm <> 0 THEN v.score / vm ELSE 0 END AS v,
+               coalesce(CASE WHEN wm > 0 THEN w.score / wm ELSE w.score END, 0) AS b
+        FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS vm FROM vec20) v LEFT JOIN bm25 w USING (query_id, chunk_id)
+        LEFT JOIN (SELECT query_id, max(score) AS wm FROM bm25 GROUP BY 1) USING (query_id)))
+    QUALIFY rank <= 10"""))
+def _(t):
+    return fusion.fuse_max(t.vector_hits(20), lexical.bm25_scores(t.queries, t.index()), 0.6, 10)
+
+
+@query("f3_mmr")
+def _(t):
+    index = t.index(T.terms)
+    return fusion.mmr(t.bm25_hits(30), lexical.tfidf(index), lexical.query_tfidf(t.queries, index), 10)
+
+
+@query("f4_rerank", Q.sql("SELECT query_id, chunk_id, original_score, score, rank FROM rr10 WHERE score >= 0.3", **PLANS))
+def _(t):
+    ready = fusion.ready_queries(t.queries, t.index())
+    return fusion.rerank(t.vector_hits(60), t.chunks, ready, 10, threshold=0.3)
+
+
+@query("f5_cascade_rerank_sparse", Q.sql("SELECT query_id, chunk_id, score, rank FROM rr_sp10", **PLANS))
+def _(t):
+    return plan_hits(t, "reranker_then_splade")
+
+
+@query("f6_cascade_sparse_rerank", Q.sql("SELECT query_id, chunk_id, score, rank FROM sp_rr10", **PLANS))
+def _(t):
+    return plan_hits(t, "splade_then_reranker")
+
+
+@query("f7_run_plans", Q.sql(ALL_PLANS, **PLANS))
+def _(t):
+    names = ["vector", "reranker_only", "sparse", "reranker_then_splade", "splade_then_reranker", "hybrid"]
+    return search.run_plans(names, corpus_of(t), questions_of(t), 10)
+
+
+@query("f8_dedup_hits")
+def _(t):
+    return fusion_dedup(t)
+
+
+def fusion_dedup(t):
+    from ..operators.dedup import dedup_hits
+    return dedup_hits(fusion.with_text(t.bm25_hits(10), t.chunks))
+
+
+@query("f9_keyword_fallback", Q.sql("""
+    SELECT query_id, chunk_id, score, rank, 'vector' AS search_type FROM vec10 WHERE score >= 0.8 UNION ALL
+    SELECT query_id, chunk_id, score, rank, 'keyword_fallback' FROM bm10
+    WHERE query_id NOT IN (SELECT query_id FROM vec10 WHERE score >= 0.8)"""))
+def _(t):
+    index = t.index()
+    return fusion.keyword_fallback(t.queries, fusion.above(t.vector_hits(10), 0.8),
+                                   lambda q: lexical.bm25_search(q, index, 10))
+
+
+@query("f10_failure_rows", Q.sql("""
+    SELECT q.query_id, chunk_id, score, rank, CASE WHEN chunk_id IS NULL THEN 'PIPELINE_FAILURE' ELSE 'OK' END AS status
+    FROM queries q LEFT JOIN (SELECT * FROM vec10 WHERE score >= 0.8) h ON h.query_id = q.query_id"""))
+def _(t):
+    return fusion.failure_rows(t.queries, fusion.above(t.vector_hits(10), 0.8))
+
+
+BM_TEXT = "(SELECT query_id, rank, source, text FROM bm10 JOIN chunks USING (chunk_id))"
+
+
+@query("f11_assemble_context", Q.sql(f"""
+    SELECT query_id, coalesce(context, 'No relevant information found.') AS context, coalesce(n_chunks, 0) AS n_chunks
+    FROM queries LEFT JOIN ctx USING (query_id)""", ctx=Q.context_sql(BM_TEXT, 2500)))
+def _(t):
+    return fusion.contexts_for(t.queries, fusion.assemble_context(fusion.with_text(t.bm25_hits(10), t.chunks), 2500))
+
+
+@query("f12_assemble_plain", Q.sql(f"""
+    SELECT query_id, CASE WHEN length(c) <= 3000 THEN c ELSE left(c, 3000) || '...' END AS context FROM (
+      SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS c FROM {BM_TEXT} GROUP BY 1)"""))
+def _(t):
+    return fusion.assemble_plain(fusion.with_text(t.bm25_hits(10), t.chunks), 3000)
+
+
+@query("f13_multi_query_search", Q.sql(f"""
+    SELECT query_group, query_id, chunk_id, score, merged_rank,
+           CASE WHEN query_pos = 0 THEN 'primary' ELSE 'supplementary' END AS query_type FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_group ORDER BY score DESC, query_pos, rank)::INT AS merged_rank FROM (
+        SELECT query_id // 4 AS query_group, query_id % 4 AS query_pos, query_id, chunk_id, score, rank,
+               left(array_to_string({Q.tokens('text')}, ' '), 100) AS k
+        FROM bm10 JOIN chunks USING (chunk_id) WHERE rank <= CASE WHEN query_id % 4 = 0 THEN 10 ELSE 8 END
+        QUALIFY row_number() OVER (PARTITION BY query_group, k ORDER BY query_pos, rank) = 1)
+      QUALIFY merged_rank <= 20)"""))
+def _(t):
+    # Four benchmark texts in a row form a group; the first is the primary query.
+    pos = F.col("query_id") % 4
+    hits = t.bm25_hits(10).filter(F.col("rank") <= F.when(pos == 0, 10).otherwise(8))
+    return fusion.multi_query_search(fusion.with_text(hits, t.chunks).select(
+        F.floor(F.col("query_id") / 4).alias("query_group"), pos.alias("query_pos"), *HIT, "text"))
+
+
+# --- flagship -------------------------------------------------------------------------------
+
+@query("answer_contexts", Q.sql(f"""
+    SELECT query_id, n_chunks, context, round(CASE WHEN n_hits IS NULL THEN 0 ELSE list_avg(list_filter([
+        list_avg(s), CASE WHEN n_hits > 1 THEN greatest(0, 1 - vp) END,
+        CASE WHEN length(context) < 500 THEN length(context) / 500.0 WHEN length(context) <= 5000 THEN 1.0
+             ELSE greatest(0.5, 1 - (length(context) - 5000) / 10000.0) END,
+        {Q.overlap('query', 'context')}], lambda x: x IS NOT NULL)) END, 6) AS quality
+    FROM (SELECT query_id, query, coalesce(context, 'No relevant information found.') AS context,
+                 coalesce(n_chunks, 0) AS n_chunks FROM queries LEFT JOIN ctx USING (query_id))
+    LEFT JOIN (SELECT query_id, count(*) AS n_hits, list(x) AS s, var_pop(x) AS vp FROM (
+       SELECT query_id, least(1, greatest(0, score / max(score) OVER (PARTITION BY query_id))) AS x FROM bm5)
+       GROUP BY 1) USING (query_id)""",
+    raw_chunks=Q.CTES["raw_chunks"].replace("coalesce(text, '')", "prepared").replace("FROM documents", "FROM prepared_docs"),
+    prepared_docs=f"""
+      SELECT doc_id, source, lang, {Q.thin_dropped('b')} AS prepared FROM (SELECT *, {Q.breaks_repaired('a')} AS b FROM (
+        SELECT *, {Q.noise_filtered("coalesce(text, '')")} AS a FROM documents))""",
+    bm5=Q.ranked("bm25", 5),
+    ctx=Q.context_sql("(SELECT query_id, rank, source, text FROM bm5 JOIN chunks USING (chunk_id))", 4000)))
+def _(t):
+    from .tables import CHUNK_SIZE, OVERLAP
+    return search.answer_contexts(t.documents, t.queries, CHUNK_SIZE, OVERLAP, 5, 4000)

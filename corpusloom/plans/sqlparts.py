@@ -242,7 +242,7 @@ CTES: dict[str, str] = {
     "chunk_vec": hash_vectors("chunks", "chunk_id", "text"),
     "query_vec": hash_vectors("queries", "query_id", "query"),
     "vec": """
-      SELECT q.query_id, c.chunk_id, round(coalesce(s, 0), 6) AS score FROM queries q CROSS JOIN chunks c LEFT JOIN (
+      SELECT q.query_id, c.chunk_id, round(coalesce(s, 0) + 1e-9, 6) AS score FROM queries q CROSS JOIN chunks c LEFT JOIN (
         SELECT query_id, chunk_id, sum(q.x * c.x) AS s FROM query_vec q JOIN chunk_vec c USING (d) GROUP BY 1, 2)
       USING (query_id, chunk_id)""",
     "centres": """
@@ -251,7 +251,7 @@ CTES: dict[str, str] = {
           SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings)
         GROUP BY 1, 2) GROUP BY 1""",
     "centre_scores": f"""
-      SELECT query_id, vec_id, round({cosine('c.embedding', 'e.embedding')}, 6) AS score
+      SELECT query_id, vec_id, round({cosine('c.embedding', 'e.embedding')} + 1e-9, 6) AS score
       FROM centres c, embeddings e""",
     # hits
     "vec20": ranked("vec", 20),
@@ -285,5 +285,6 @@ def sql(body: str, **extra: str) -> str:
     visit(body)
     if not order:
         return body
-    head = ",\n".join(f"{n} AS MATERIALIZED ({known[n]})" for n in order)
-    return f"WITH {head}\n{body}"
+    head = ",\n".join(f"{n} AS {'' if re.search(rf'{chr(92)}b{n}{chr(92)}b', known[n]) else 'MATERIALIZED '}({known[n]})"
+                      for n in order)
+    return f"WITH RECURSIVE {head}\n{body}"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scores as S, text as T
 from ..operators import chunking, encoders, fusion, lexical, vectors
+from ..session import spread_small
 
 CHUNK_SIZE, OVERLAP = 1000, 150
 DIMS = 64
@@ -18,6 +19,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        return spread_small(self.spark.read.parquet(f"{self.folder}/documents.parquet"), "doc_id")
+
     @property
     def queries(self) -> DataFrame:
         return self.benchmark.select(F.col("item_id").alias("query_id"), T.text_of("text").alias("query"))

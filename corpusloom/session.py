@@ -61,6 +61,15 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Give a table that is read by fewer tasks than there are cores one part per core.
+
+    A large table already has more parts than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, spread_by: str, salts: int = 16,
                 how: str = "inner") -> DataFrame:
     """Equi-join on ``key`` when a few keys hold a large share of ``big``.
