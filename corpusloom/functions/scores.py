@@ -108,3 +108,8 @@ def rolling_mean(df: DataFrame, seq: str, value: str, rows: int, to: str, block:
     both = df.withColumn("_block", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
     w = Window.partitionBy("_block").orderBy(seq).rowsBetween(-(rows - 1), Window.currentRow)
     return (both.withColumn(to, F.avg(value).over(w)).filter(F.col("_block") == own).drop("_block"))
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds of a timestamp with or without time zone."""
+    return F.unix_micros(ts.cast("timestamp"))

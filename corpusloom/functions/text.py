@@ -43,6 +43,19 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(rf"({V.WORD}{{2,}})"), F.lit(1))
 
 
+def counted(words: Column) -> Column:
+    """array<struct<term,tf>> of an array of words, sorted by term.
+
+    In the sorted array the first positions of two neighbouring terms differ by the count of the first.
+    """
+    def rows(s: Column, d: Column, first: Column) -> Column:
+        return F.transform(d, lambda term, i: F.struct(
+            term.alias("term"),
+            (F.coalesce(F.get(first, i + 1), F.size(s).cast("long") + 1) - F.get(first, i)).alias("tf")))
+    return let(F.array_sort(words), lambda s: let(F.array_distinct(s), lambda d: let(
+        F.transform(d, lambda term: F.array_position(s, term)), lambda first: rows(s, d, first))))
+
+
 def word_count(c: Column) -> Column:
     return F.size(tokens(c))
 

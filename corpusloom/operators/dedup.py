@@ -68,12 +68,17 @@ MOST_HITS = 500
 
 
 def per_query(hits: DataFrame, run, schema: str) -> DataFrame:
-    """Grouped map over the hits of one query, which are bounded by the fetch depth."""
+    """Grouped map over the hits of one query, which are bounded by the fetch depth.
+
+    The work per query is heavy and its rows are few, so queries are spread by number of tasks and not
+    by size.
+    """
     def checked(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MOST_HITS:
             raise ValueError(f"{len(pdf)} hits for one query; cut them to {MOST_HITS} first")
         return run(pdf)
-    return hits.groupBy("query_id").applyInPandas(checked, schema)
+    tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hits.repartition(tasks, "query_id").groupBy("query_id").applyInPandas(checked, schema)
 
 
 def dedup_context(hits: DataFrame, threshold: float = 0.8, shortest: int = 50) -> DataFrame:
@@ -83,23 +88,23 @@ def dedup_context(hits: DataFrame, threshold: float = 0.8, shortest: int = 50) -
     """
     ready = hits.withColumn("norm", T.normalize_text(F.col("text")))
 
-    def alike(a: str, b: str) -> bool:
-        short, long = sorted((a, b), key=len)
+    def alike(norm: str, kept: str, matcher: SequenceMatcher) -> bool:
+        short, long = sorted((norm, kept), key=len)
         if long and short in long and len(short) / len(long) >= threshold:
             return True
-        matcher = SequenceMatcher(None, a, b)
+        matcher.set_seq1(norm)
         return (matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold
                 and matcher.ratio() >= threshold)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         kept: list[int] = []
-        seen: list[str] = []
+        seen: list[tuple[str, SequenceMatcher]] = []  # a matcher prepares its second text once
         for at, (text, norm) in enumerate(zip(pdf["text"], pdf["norm"])):
             if len(text) >= shortest:
-                if any(alike(norm, other) for other in seen):
+                if any(alike(norm, other, matcher) for other, matcher in seen):
                     continue
-                seen.append(norm)
+                seen.append((norm, SequenceMatcher(None, "", norm)))
             kept.append(at)
         return pdf.iloc[kept][["query_id", "chunk_id", "rank"]]
 

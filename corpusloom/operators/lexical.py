@@ -15,25 +15,37 @@ BROADCAST_TERMS = 500_000
 
 @dataclass(frozen=True)
 class TermIndex:
-    """postings(chunk_id, term, tf, dl), vocabulary(term, df), totals(n, avgdl)."""
-    postings: DataFrame
-    vocabulary: DataFrame
-    totals: DataFrame
+    """Term tables of a corpus, all read from one row per chunk: (key, dl, terms array<struct<term,tf>>)."""
+    rows: DataFrame
+    key: str = "chunk_id"
 
+    @property
+    def postings(self) -> DataFrame:
+        """(key, term, tf, dl). The postings of a chunk stay in the task that reads the chunk."""
+        return (self.rows.select(self.key, "dl", F.explode("terms").alias("t"))
+                .select(self.key, "t.term", "t.tf", "dl"))
 
-def build_postings(chunks: DataFrame, words=T.tokens, key: str = "chunk_id") -> TermIndex:
-    """Term index of the chunks.
+    @property
+    def vocabulary(self) -> DataFrame:
+        """(term, df), folded in each map task before its shuffle."""
+        return (self.rows.select(F.explode("terms.term").alias("term"))
+                .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
-    Texts are placed by chunk once, so counting terms and summing scores per chunk need no further
-    shuffle. The vocabulary folds per map task before its own small shuffle.
-    """
-    listed = chunks.repartition(key).select(key, words(F.col("text")).alias("_words"))
-    listed = listed.select(key, F.size("_words").alias("dl"), F.explode_outer("_words").alias("term"))
-    postings = listed.filter("term is not null").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = (chunks.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-                  .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    totals = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(words(F.col("text")))).alias("avgdl"))
-    return TermIndex(postings, vocabulary, totals)
+    @property
+    def totals(self) -> DataFrame:
+        """(n, avgdl); reads one small column."""
+        return self.rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+    def stored(self, path: str) -> "TermIndex":
+        """The same index read back from ``path``, so that texts are split once."""
+        self.rows.write.mode("overwrite").parquet(path)
+        return TermIndex(self.rows.sparkSession.read.parquet(path), self.key)
+
+
+def build_postings(chunks: DataFrame, words=T.tokens, key: str = "chunk_id") -> TermIndex:
+    """Term index of the chunks. Terms are counted inside each row; nothing is shuffled."""
+    listed = chunks.select(key, words(F.col("text")).alias("w"))
+    return TermIndex(listed.select(key, F.size("w").alias("dl"), T.counted(F.col("w")).alias("terms")), key)
 
 
 def query_terms(queries: DataFrame, words=T.tokens) -> DataFrame:
@@ -84,14 +96,13 @@ def _grams(word: Column, longest: int = 3) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in range(1, longest + 1)]))
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def keyword_search(queries: DataFrame, index: TermIndex, k: int) -> DataFrame:
     """Shared words / query words + 0.1 for each time a query word occurs as a substring; top ``k``.
 
     A query word has no white space, so its occurrences lie inside single words of the text. They
     are found once per vocabulary word, by an equi-join on the first one to three characters, and
     then counted through the postings; queries never meet texts directly.
     """
-    index = build_postings(chunks)
     wanted = queries.select("query_id", T.word_set(F.col("query")).alias("_w"))
     wanted = wanted.select("query_id", F.size("_w").alias("n_words"), F.explode("_w").alias("word"))
     words = wanted.select("word").distinct().withColumn("gram", F.left("word", F.lit(3)))

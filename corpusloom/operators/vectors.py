@@ -308,8 +308,14 @@ def _block_join(left: DataFrame, right: DataFrame, key: str, threshold: float, k
                 .select("cell", "lb", "rb", key, "embedding"))
 
     grid = ["cell", "lb", "rb"]
+    near = blocks(rc, "rb", "rn", "lb", "ln")
+    near = near.select([F.col(c).alias(f"right_{c}") for c in near.columns])
+
+    def run(l_pdf: pd.DataFrame, r_pdf: pd.DataFrame) -> pd.DataFrame:
+        return kernel(l_pdf, r_pdf.rename(columns=lambda c: c.removeprefix("right_")))
+
     return (blocks(lc, "lb", "ln", "rb", "rn").groupBy(*grid)
-            .cogroup(blocks(rc, "rb", "rn", "lb", "ln").groupBy(*grid)).applyInPandas(kernel, schema))
+            .cogroup(near.groupBy(*[f"right_{c}" for c in grid])).applyInPandas(run, schema))
 
 
 def _later_matches(left: pd.DataFrame, right: pd.DataFrame, key: str, threshold: float,

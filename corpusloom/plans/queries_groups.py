@@ -77,12 +77,12 @@ def _document_vectors(t):
 @query("h1_similar_pairs", Q.sql("""
     SELECT id_a, id_b, similarity FROM (
       SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding, b.embedding) + 1e-9, 6) AS similarity
-      FROM uniq a JOIN uniq b ON a.vec_id < b.vec_id) WHERE similarity > 0.6
+      FROM uniq a JOIN uniq b ON a.vec_id < b.vec_id) WHERE similarity > 0.35
     QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY similarity DESC, id_b) <= 10
     UNION ALL SELECT u.vec_id, e.vec_id, 1.0 FROM uniq u JOIN embeddings e ON e.embedding::DOUBLE[] = u.embedding AND e.vec_id <> u.vec_id""",
     uniq="SELECT min(vec_id) AS vec_id, embedding::DOUBLE[] AS embedding FROM embeddings GROUP BY 2"))
 def _(t):
-    return vectors.similar_pairs(t.embeddings, 0.6)
+    return vectors.similar_pairs(t.embeddings, 0.35)
 
 
 @query("h1_similar_documents", Q.sql("""
@@ -101,7 +101,7 @@ def _(t):
 
 @query("h2_semantic_dedup")
 def _(t):
-    return dedup.semantic_dedup(t.embeddings.select("vec_id", "embedding"), 0.6, key="vec_id")
+    return dedup.semantic_dedup(t.embeddings.select("vec_id", "embedding"), 0.35, key="vec_id")
 
 
 @query("h2_semantic_dedup_documents")
@@ -182,7 +182,7 @@ def _(t):
 @query("h12_enrich_context")
 def _(t):
     hits = cut_lineage(_hits_with_place(t))
-    kept = hits.join(dedup.dedup_context(hits).select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    kept = cut_lineage(hits.join(dedup.dedup_context(hits).select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi"))
     clusters = cut_lineage(grouping.assign_noise(*_clusters(t, kept)))
     texts = grouping.cluster_texts(clusters, kept)
     return grouping.enrich_context(clusters, kept, texts, grouping.cross_references(texts))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scores as S, text as T
 from ..operators import chunking, encoders, fusion, lexical, vectors
-from ..session import spread_small
+from ..session import scratch_folder, spread_small
 
 CHUNK_SIZE, OVERLAP = 1000, 150
 DIMS = 64
@@ -14,7 +14,7 @@ DIMS = 64
 
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._indexes = spark, folder, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -39,7 +39,10 @@ class Tables:
         return chunking.filter_valid_chunks(self.raw_chunks)
 
     def index(self, words=T.tokens) -> lexical.TermIndex:
-        return lexical.build_postings(self.chunks, words)
+        """The stored term index of the chunks; written at its first use."""
+        if words not in self._indexes:
+            self._indexes[words] = lexical.build_postings(self.chunks, words).stored(scratch_folder(self.spark, "terms"))
+        return self._indexes[words]
 
     @property
     def chunk_vectors(self) -> DataFrame:
@@ -66,7 +69,7 @@ class Tables:
         return vectors.knn_exact(self.query_vectors, self.chunk_vectors, k)
 
     def keyword_hits(self, k: int) -> DataFrame:
-        return lexical.keyword_search(self.queries, self.chunks, k)
+        return lexical.keyword_search(self.queries, self.index(), k)
 
     def bm25_hits(self, k: int) -> DataFrame:
         return lexical.bm25_search(self.queries, self.index(), k)
