@@ -1 +1,119 @@
-"""Registered queries."""
+"""Registered queries: streams (S). Each runs a stream over the table's file until it is worked off and
+returns what the sink holds; the SQL is the batch form of the same result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..session import scratch_folder
+from ..streaming import streams
+from . import sqlparts as Q
+from .queries_logs import LOGS
+from .registry import query
+from .tables import CHUNK_SIZE, OVERLAP
+
+
+def _stream(t, table: str):
+    schema = t.spark.read.parquet(f"{t.folder}/{table}.parquet").schema
+    return streams.table_stream(t.spark, t.folder, f"{table}.parquet", schema)
+
+
+def _run(t, df, mode: str = "append"):
+    """Run a stream into a parquet folder and read it back."""
+    out = scratch_folder(t.spark, "sink")
+    streams.run_once(df.writeStream.outputMode(mode).format("parquet").option("path", out), scratch_folder(t.spark, "progress"))
+    return t.spark.read.schema(df.schema).parquet(out)
+
+
+def _log(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return _stream(t, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("session_id"),
+        F.col("event_type").alias("engine"), F.col("value").alias("latency"), k.alias("hit_count"))
+
+
+def _plain_time(df, *columns):
+    for c in columns:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
+@query("s1_stream_ingest", Q.sql("SELECT chunk_id, md5(text) AS digest FROM chunks",
+    raw_chunks=Q.CTES["raw_chunks"].replace("coalesce(text, '')", "prepared").replace("FROM documents", "FROM prepared_docs"),
+    prepared_docs=f"""
+      SELECT doc_id, source, lang, {Q.thin_dropped('b')} AS prepared FROM (SELECT *, {Q.breaks_repaired('a')} AS b FROM (
+        SELECT *, {Q.noise_filtered("coalesce(text, '')")} AS a FROM documents))"""))
+def _(t):
+    return _run(t, streams.ingest(_stream(t, "documents"), CHUNK_SIZE, OVERLAP)).select("chunk_id", F.md5("text").alias("digest"))
+
+
+@query("s2_stream_dedup", f"SELECT DISTINCT sha256({Q.normalized("coalesce(text, '')")}) AS content_hash FROM documents")
+def _(t):
+    # Documents arrive one minute apart in the order of their numbers.
+    docs = _stream(t, "documents").withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + 60 * F.col("doc_id")))
+    return _run(t, streams.dedup(docs).select("content_hash"))
+
+
+_HOURS = """
+    SELECT w AS start, w + INTERVAL 1 HOUR AS "end", engine, count(*) AS n, round(avg(latency), 6) AS avg_latency,
+           count(*) FILTER (hit_count = 0) AS zero_hits
+    FROM {source} GROUP BY 1, 2, 3 HAVING w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM log) - INTERVAL 1 HOUR"""
+
+
+@query("s3_stream_query_metrics", Q.sql(_HOURS.format(source="(SELECT *, date_trunc('hour', ts) AS w FROM log)"), **LOGS))
+def _(t):
+    return _plain_time(_run(t, streams.query_metrics(_log(t))), "start", "end")
+
+
+@query("s3_stream_sliding_metrics", Q.sql(_HOURS.format(source="""(
+    SELECT *, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '2024-01-01') - i * INTERVAL 15 MINUTE AS w FROM log, (SELECT unnest(range(4)) AS i))"""), **LOGS))
+def _(t):
+    return _plain_time(_run(t, streams.query_metrics(_log(t), slide="15 minutes")), "start", "end")
+
+
+@query("s4_stream_feedback_rate", Q.sql("""
+    SELECT date_trunc('day', ts) - i * INTERVAL 1 DAY AS start, count(*) AS n, count(*) FILTER (type = 'positive') AS positive,
+           round(avg((type = 'positive')::INT), 6) AS rate FROM feedback, (SELECT unnest(range(7)) AS i) GROUP BY 1""", **LOGS))
+def _(t):
+    kind = F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative")
+    feedback = (_log(t).join(t.labels.select(F.col("doc_id").alias("event_id"), kind.alias("type")), "event_id"))
+    out = scratch_folder(t.spark, "sink")
+    rate = streams.feedback_rate(feedback)
+    streams.run_once(rate.writeStream.outputMode("update").foreachBatch(streams.upsert_batch(out)), scratch_folder(t.spark, "progress"))
+    return _plain_time(streams.read_upserted(t.spark, out, "start"), "start")
+
+
+@query("s5_stream_sessions", Q.sql("""
+    SELECT session_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS queries, round(avg(latency), 6) AS avg_latency FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS g FROM (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM log))
+    GROUP BY session_id, g HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM log) - INTERVAL 1 HOUR""", **LOGS))
+def _(t):
+    return _plain_time(_run(t, streams.sessions(_log(t))), "start", "end")
+
+
+@query("s6_stream_upsert_store", Q.sql("SELECT chunk_id, length(text)::INT AS size, CASE WHEN chunk_index > 0 THEN 2 ELSE 1 END AS version FROM chunks"))
+def _(t):
+    """All chunks in a first run, then the follow-up chunks again with a new version."""
+    out, progress = scratch_folder(t.spark, "store"), scratch_folder(t.spark, "progress")
+    chunks = t.chunks.select("chunk_id", F.length("text").alias("size"), "chunk_index")
+    first = scratch_folder(t.spark, "arrivals")
+    chunks.select("chunk_id", "size", F.lit(1).alias("version")).write.parquet(first)
+
+    def run():
+        arriving = t.spark.readStream.schema("chunk_id STRING, size INT, version INT").parquet(first)
+        streams.run_once(arriving.writeStream.foreachBatch(streams.upsert_batch(out)), progress)
+
+    run()
+    chunks.filter("chunk_index > 0").select("chunk_id", "size", F.lit(2).alias("version")).write.mode("append").parquet(first)
+    run()
+    return streams.read_upserted(t.spark, out)
+
+
+@query("s7_stream_match", Q.sql("SELECT query_id, chunk_id, score, rank FROM bm10"))
+def _(t):
+    out = scratch_folder(t.spark, "hits")
+    asked = _stream(t, "benchmark").select(F.col("item_id").alias("query_id"), T.text_of("text").alias("query"))
+    streams.run_once(asked.writeStream.foreachBatch(streams.match_batch(t.index(), out, 10)), scratch_folder(t.spark, "progress"))
+    return t.spark.read.option("basePath", out).parquet(out).select("query_id", "chunk_id", "score", "rank")
