@@ -35,14 +35,17 @@ def fuse_minmax(vector_hits: DataFrame, keyword_hits: DataFrame, weight: float,
     return above(S.top_k(both.select(*PAIR, F.round(score, 6).alias("score")), k), threshold)
 
 
-def fuse_max(vector_hits: DataFrame, word_scores: DataFrame, alpha: float, k: int) -> DataFrame:
-    """alpha * vector / max + (1 - alpha) * words / max for the vector hits only."""
+def fuse_max(vector_hits: DataFrame, word_scores: DataFrame, word_best: DataFrame, alpha: float, k: int) -> DataFrame:
+    """alpha * vector / max + (1 - alpha) * words / max for the vector hits only.
+
+    ``word_scores`` are the word scores of the vector hits, ``word_best`` the best word hit per query.
+    """
     v_max = Window.partitionBy("query_id")
     left = vector_hits.select(*PAIR, "score", F.max("score").over(v_max).alias("_vm"))
     left = left.select(*PAIR, F.when(F.col("_vm") != 0, F.col("score") / F.col("_vm")).otherwise(0.0).alias("v"))
-    w_max = word_scores.groupBy("query_id").agg(F.max("score").alias("_wm"))
-    found = word_scores.join(left.select(*PAIR), PAIR, "left_semi").withColumnRenamed("score", "b")
-    df = left.join(found, PAIR, "left").join(w_max, "query_id", "left")
+    w_max = word_best.filter("rank = 1").select("query_id", F.col("score").alias("_wm"))
+    df = (left.join(word_scores.select(*PAIR, F.col("score").alias("b")), PAIR, "left")
+          .join(w_max, "query_id", "left"))
     b = F.coalesce(F.when(F.col("_wm") > 0, F.col("b") / F.col("_wm")).otherwise(F.col("b")), F.lit(0.0))
     df = df.select(*PAIR, S.round6(alpha * F.col("v") + (1 - alpha) * b).alias("score"),
                    S.round6(F.col("v")).alias("vector_score"), S.round6(b).alias("bm25_score"))
@@ -130,11 +133,6 @@ def rerank(candidates: DataFrame, chunks: DataFrame, ready: DataFrame, k: int, t
     return above(S.top_k(df.select(*PAIR, "original_score", score.alias("score")), k), threshold)
 
 
-def restrict(scored: DataFrame, hits: DataFrame) -> DataFrame:
-    """The second stage of a cascade sees only the first stage's hits."""
-    return scored.join(hits.select(*PAIR), PAIR, "left_semi")
-
-
 def keyword_fallback(queries: DataFrame, vector_hits: DataFrame, search) -> DataFrame:
     """Vector hits, and for queries without any the hits of ``search(queries)``; tagged."""
     empty = queries.join(vector_hits.select("query_id").distinct(), "query_id", "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as V, scores as S, text as T
 from ..session import has_at_most, salted_join
+from . import blocks
 
 # Query terms up to this number are broadcast; beyond it the join is salted by chunk.
 BROADCAST_TERMS = 500_000
@@ -15,8 +16,12 @@ BROADCAST_TERMS = 500_000
 
 @dataclass(frozen=True)
 class TermIndex:
-    """Term tables of a corpus, all read from one row per chunk: (key, dl, terms array<struct<term,tf>>)."""
+    """Term tables of a corpus.
+
+    rows = (key, dl, terms array<struct<term,tf>>), one row per chunk; vocabulary = (term, df).
+    """
     rows: DataFrame
+    vocabulary: DataFrame
     key: str = "chunk_id"
 
     @property
@@ -25,27 +30,39 @@ class TermIndex:
         return (self.rows.select(self.key, "dl", F.explode("terms").alias("t"))
                 .select(self.key, "t.term", "t.tf", "dl"))
 
-    @property
-    def vocabulary(self) -> DataFrame:
-        """(term, df), folded in each map task before its shuffle."""
-        return (self.rows.select(F.explode("terms.term").alias("term"))
-                .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-
     @property
     def totals(self) -> DataFrame:
         """(n, avgdl); reads one small column."""
         return self.rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
     def stored(self, path: str) -> "TermIndex":
-        """The same index read back from ``path``, so that texts are split once."""
-        self.rows.write.mode("overwrite").parquet(path)
-        return TermIndex(self.rows.sparkSession.read.parquet(path), self.key)
+        """The same index read back from ``path``: texts are split once and words counted once."""
+        spark = self.rows.sparkSession
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        rows = spark.read.parquet(f"{path}/rows")
+        _vocabulary(rows).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        return TermIndex(rows, spark.read.parquet(f"{path}/vocabulary"), self.key)
+
+
+def _vocabulary(rows: DataFrame) -> DataFrame:
+    """Document frequencies, folded in each map task before their shuffle."""
+    return (rows.select(F.explode("terms.term").alias("term"))
+            .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
 def build_postings(chunks: DataFrame, words=T.tokens, key: str = "chunk_id") -> TermIndex:
-    """Term index of the chunks. Terms are counted inside each row; nothing is shuffled."""
+    """Term index of the chunks. Terms are counted inside each row; only the vocabulary is shuffled."""
     listed = chunks.select(key, words(F.col("text")).alias("w"))
-    return TermIndex(listed.select(key, F.size("w").alias("dl"), T.counted(F.col("w")).alias("terms")), key)
+    rows = listed.select(key, F.size("w").alias("dl"), T.counted(F.col("w")).alias("terms"))
+    return TermIndex(rows, _vocabulary(rows), key)
+
+
+def with_vocabulary(postings: DataFrame, table: DataFrame, vocabulary: DataFrame, spread_by: str) -> DataFrame:
+    """Postings joined with a table of one row per vocabulary word. A small vocabulary is broadcast; a
+    large one is joined with salt, because common words hold a large share of the postings."""
+    if has_at_most(vocabulary, BROADCAST_TERMS):
+        return postings.join(F.broadcast(table), "term")
+    return salted_join(postings, table, "term", spread_by)
 
 
 def query_terms(queries: DataFrame, words=T.tokens) -> DataFrame:
@@ -72,19 +89,41 @@ def bm25_idf(index: TermIndex) -> DataFrame:
     return raw.select("term", F.when(F.col("raw") < 0, V.BM25_EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, index: TermIndex) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that shares a word with the query."""
-    terms = query_terms(queries)
-    weights = bm25_idf(index).join(terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+def bm25_weights(queries: DataFrame, index: TermIndex) -> DataFrame:
+    """(query_id, term, w): idf times the number of times the query has the term."""
+    return bm25_idf(index).join(query_terms(queries), "term").select(
+        "query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+
+
+def bm25_scores(queries: DataFrame, index: TermIndex, within: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) of every chunk that shares a word with the query, by a join on the
+    terms; with ``within`` only for those (query_id, chunk_id) pairs."""
     avgdl = index.totals.select("avgdl").scalar()
     part = F.col("w") * F.col("tf") * (V.BM25_K1 + 1) / (
         F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("dl") / avgdl))
-    return (on_terms(index.postings, weights, terms).groupBy("query_id", "chunk_id")
-            .agg(F.round(F.sum(part), 6).alias("score")))
+    joined = matched(index.postings, bm25_weights(queries, index), query_terms(queries), within)
+    return joined.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def matched(postings: DataFrame, weights: DataFrame, bound_by: DataFrame, within: DataFrame | None) -> DataFrame:
+    """Postings of shared terms per query; ``within`` cuts the postings before they meet the queries."""
+    if within is None:
+        return on_terms(postings, weights, bound_by)
+    pairs = within.select("query_id", "chunk_id").distinct()
+    near = postings.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return near.join(pairs, "chunk_id").join(weights, ["query_id", "term"])
 
 
 def bm25_search(queries: DataFrame, index: TermIndex, k: int) -> DataFrame:
-    return S.top_k(bm25_scores(queries, index), k)
+    """Top ``k`` per query. A bounded set of queries is scored inside the map tasks."""
+    if not has_at_most(query_terms(queries), BROADCAST_TERMS):
+        return S.top_k(bm25_scores(queries, index), k)
+    avgdl = index.totals.first()["avgdl"]  # one row
+
+    def part(tf, dl):
+        return tf * (V.BM25_K1 + 1) / (tf + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * dl / avgdl))
+
+    return blocks.top_k_products(index.rows, bm25_weights(queries, index), k, "tf", part, index.key, length="dl")
 
 
 def _grams(word: Column, longest: int = 3) -> Column:
@@ -96,28 +135,37 @@ def _grams(word: Column, longest: int = 3) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in range(1, longest + 1)]))
 
 
+def keyword_words(queries: DataFrame) -> DataFrame:
+    wanted = queries.select("query_id", T.word_set(F.col("query")).alias("_w"))
+    return wanted.select("query_id", F.size("_w").alias("n_words"), F.explode("_w").alias("word"))
+
+
 def keyword_search(queries: DataFrame, index: TermIndex, k: int) -> DataFrame:
     """Shared words / query words + 0.1 for each time a query word occurs as a substring; top ``k``.
 
-    A query word has no white space, so its occurrences lie inside single words of the text. They
-    are found once per vocabulary word, by an equi-join on the first one to three characters, and
-    then counted through the postings; queries never meet texts directly.
+    A query word has no white space, so its occurrences lie inside single words of the text: words are
+    searched once and counted through the term lists. A bounded set of queries is scored inside the map
+    tasks, any other by :func:`keyword_scores`.
     """
-    wanted = queries.select("query_id", T.word_set(F.col("query")).alias("_w"))
-    wanted = wanted.select("query_id", F.size("_w").alias("n_words"), F.explode("_w").alias("word"))
+    wanted = keyword_words(queries)
+    if has_at_most(wanted, BROADCAST_TERMS):
+        return blocks.top_k_keywords(index.rows, wanted, k, index.key)
+    return S.top_k(keyword_scores(wanted, index), k)
+
+
+def keyword_scores(wanted: DataFrame, index: TermIndex) -> DataFrame:
+    """The same scores by joins: vocabulary and query words meet on their first one to three
+    characters, the matches meet the postings on the vocabulary word."""
     words = wanted.select("word").distinct().withColumn("gram", F.left("word", F.lit(3)))
     vocabulary = index.vocabulary.select("term", F.explode(_grams(F.col("term"))).alias("gram"))
-    small = has_at_most(wanted, BROADCAST_TERMS)
-    found = (vocabulary.join(F.broadcast(words) if small else words, "gram")
-             .filter(F.contains("term", F.col("word")))
+    found = (salted_join(vocabulary, words, "gram", "term").filter(F.contains("term", F.col("word")))
              .select("term", "word", T.occurrences(F.col("term"), F.col("word")).alias("inside"),
                      (F.col("term") == F.col("word")).cast("int").alias("same")))
     hits = salted_join(index.postings, found, "term", "chunk_id").groupBy("chunk_id", "word").agg(
         F.sum(F.col("tf") * F.col("inside")).alias("times"), F.max("same").alias("same"))
-    joined = hits.join(F.broadcast(wanted), "word") if small else salted_join(hits, wanted, "word", "chunk_id")
     score = F.sum("same") / F.first("n_words") + 0.1 * F.sum("times")
-    scored = joined.groupBy("query_id", "chunk_id").agg(F.round(score, 6).alias("score"))
-    return S.top_k(scored.filter("score > 0"), k)
+    return (salted_join(hits, wanted, "word", "chunk_id").groupBy("query_id", "chunk_id")
+            .agg(F.round(score, 6).alias("score")).filter("score > 0"))
 
 
 def smooth_idf(index: TermIndex) -> DataFrame:
@@ -125,12 +173,26 @@ def smooth_idf(index: TermIndex) -> DataFrame:
     return index.vocabulary.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf(index: TermIndex, key: str = "chunk_id") -> DataFrame:
-    """(key, term, weight): tf times smooth idf, rows of unit length."""
-    raw = (salted_join(index.postings, smooth_idf(index), "term", key)
-           .select(key, "term", (F.col("tf") * F.col("idf")).alias("raw")))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+def tfidf_rows(index: TermIndex) -> DataFrame:
+    """(key, terms array<struct<term,weight>>): tf times smooth idf, rows of unit length.
+
+    After the words got their idf, the words of a chunk come together once; the rest is done in the row.
+    """
+    key = index.key
+    raw = (with_vocabulary(index.postings, smooth_idf(index), index.vocabulary, key)
+           .groupBy(key).agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("raw"))).alias("r")))
+    square = F.aggregate("r", F.lit(0.0), lambda acc, x: acc + x["raw"] * x["raw"])
+    return raw.withColumn("_n", F.sqrt(square)).select(key, F.transform("r", lambda x: F.struct(
+        x["term"].alias("term"), (x["raw"] / F.col("_n")).alias("weight"))).alias("terms"))
+
+
+def tfidf(index: TermIndex) -> DataFrame:
+    """(key, term, weight)"""
+    return long_form(tfidf_rows(index), index.key)
+
+
+def long_form(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
+    return rows.select(key, F.explode("terms").alias("t")).select(key, "t.term", "t.weight")
 
 
 def query_tfidf(queries: DataFrame, index: TermIndex) -> DataFrame:
@@ -141,10 +203,12 @@ def query_tfidf(queries: DataFrame, index: TermIndex) -> DataFrame:
     return raw.join(norm, "query_id").select("query_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def sparse_expand(weights: DataFrame, k: int = 100, max_len: int = 256, key: str = "chunk_id") -> DataFrame:
-    """The ``k`` heaviest terms of each text, at most ``max_len``."""
-    w = weights.withColumn("_r6", F.round("weight", 6))
-    return S.top_k(w, min(k, max_len), by=key, score="_r6", tie="term").select(key, "term", "weight")
+def sparse_expand(rows: DataFrame, k: int = 100, max_len: int = 256, key: str = "chunk_id") -> DataFrame:
+    """The ``k`` heaviest terms of each text, at most ``max_len``, inside the row."""
+    order = F.array_sort(F.transform("terms", lambda x: F.struct(
+        (-F.round(x["weight"], 6)).alias("o"), x["term"].alias("term"), x["weight"].alias("weight"))))
+    return rows.select(key, F.transform(F.slice(order, 1, min(k, max_len)), lambda x: F.struct(
+        x["term"].alias("term"), x["weight"].alias("weight"))).alias("terms"))
 
 
 def followers(chunks: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame:
@@ -172,21 +236,34 @@ def sparse_queries(queries: DataFrame, chunks: DataFrame, index: TermIndex, k: i
     near = followers(chunks, query_terms(queries, T.terms))
     more = base.join(near, "term").select(
         "query_id", F.col("other").alias("term"), (damp * F.col("weight") * F.col("share")).alias("weight"))
-    both = base.select("query_id", "term", "weight").unionByName(more)
-    return sparse_expand(both.groupBy("query_id", "term").agg(F.sum("weight").alias("weight")), k, max_len, "query_id")
+    both = (base.select("query_id", "term", "weight").unionByName(more)
+            .groupBy("query_id", "term").agg(F.sum("weight").alias("weight")))
+    rows = both.groupBy("query_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+    return long_form(sparse_expand(rows, k, max_len, "query_id"), "query_id")
 
 
-def sparse_scores(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """Sum of products over shared terms / length of the query vector."""
+def _unit_queries(queries: DataFrame) -> DataFrame:
     norm = queries.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    weights = queries.join(norm, "query_id").select("query_id", "term", (F.col("weight") / F.col("norm")).alias("w"))
-    return (on_terms(texts, weights, queries).groupBy("query_id", "chunk_id")
+    return queries.join(norm, "query_id").select("query_id", "term", (F.col("weight") / F.col("norm")).alias("w"))
+
+
+def sparse_scores(queries: DataFrame, texts: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """Sum of products over shared terms / length of the query vector, by a join on the terms.
+
+    queries = (query_id, term, weight); texts = (chunk_id, terms); with ``within`` only for its pairs.
+    """
+    joined = matched(long_form(texts), _unit_queries(queries), queries, within)
+    return (joined.groupBy("query_id", "chunk_id")
             .agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score")))
 
 
 def sparse_search(queries: DataFrame, texts: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
-    """Top ``k``, then the threshold."""
-    return S.top_k(sparse_scores(queries, texts), k).filter(F.col("score") >= threshold)
+    """Top ``k``, then the threshold. A bounded set of queries is scored inside the map tasks."""
+    if has_at_most(queries, BROADCAST_TERMS):
+        hits = blocks.top_k_products(texts, _unit_queries(queries), k, "weight", lambda weight, _: weight)
+    else:
+        hits = S.top_k(sparse_scores(queries, texts), k)
+    return hits.filter(F.col("score") >= threshold)
 
 
 def dense_or_overlap(hits: DataFrame, query_vectors: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -198,7 +275,7 @@ def dense_or_overlap(hits: DataFrame, query_vectors: DataFrame, vectors: DataFra
         "chunk_id", F.col("embedding").alias("_v"))
     df = hits.join(query_vectors.select("query_id", F.col("embedding").alias("_q")), "query_id").join(
         near, "chunk_id", "left")
-    dense = F.when(F.col("_v").isNotNull(), S.cosine(F.col("_q"), F.col("_v")))
+    dense = F.when(F.col("_v").isNotNull(), S.cosine(F.col("_q"), F.col("_v")) + 1e-9)
     return df.select("query_id", "chunk_id",
                      F.round(F.coalesce(dense, T.word_overlap(F.col("query"), F.col("text"))), 6).alias("score"),
                      F.when(F.col("_v").isNotNull(), "dense").otherwise("overlap").alias("method"))

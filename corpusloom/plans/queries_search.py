@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S, text as T
 from ..operators import encoders, fusion, lexical, vectors
-from ..session import scratch_folder
+from ..session import cut_lineage, scratch_folder
 from ..sources import sinks
 from . import search
 from . import sqlparts as Q
@@ -189,7 +189,9 @@ def _(t):
         LEFT JOIN (SELECT query_id, max(score) AS wm FROM bm25 GROUP BY 1) USING (query_id)))
     QUALIFY rank <= 10"""))
 def _(t):
-    return fusion.fuse_max(t.vector_hits(20), lexical.bm25_scores(t.queries, t.index()), 0.6, 10)
+    vector_hits, index = cut_lineage(t.vector_hits(20)), t.index()
+    best = lexical.bm25_search(t.queries, index, 1)
+    return fusion.fuse_max(vector_hits, lexical.bm25_scores(t.queries, index, within=vector_hits), best, 0.6, 10)
 
 
 @query("f3_mmr")

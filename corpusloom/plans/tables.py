@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scores as S, text as T
 from ..operators import chunking, encoders, fusion, lexical, vectors
-from ..session import scratch_folder, spread_small
+from ..session import cut_lineage, scratch_folder, spread_small
 
 CHUNK_SIZE, OVERLAP = 1000, 150
 DIMS = 64
@@ -76,18 +76,26 @@ class Tables:
 
     @property
     def sparse_texts(self) -> DataFrame:
-        return lexical.sparse_expand(lexical.tfidf(self.index(T.terms)))
+        """Stored: the weights of a text are made once and read by every search."""
+        if "sparse" not in self._indexes:
+            path = scratch_folder(self.spark, "sparse")
+            lexical.sparse_expand(lexical.tfidf_rows(self.index(T.terms))).write.parquet(path)
+            self._indexes["sparse"] = self.spark.read.parquet(path)
+        return self._indexes["sparse"]
 
     @property
     def sparse_queries(self) -> DataFrame:
-        return lexical.sparse_queries(self.queries, self.chunks, self.index(T.terms))
+        if "sparse_queries" not in self._indexes:
+            self._indexes["sparse_queries"] = cut_lineage(
+                lexical.sparse_queries(self.queries, self.chunks, self.index(T.terms)))
+        return self._indexes["sparse_queries"]
 
     @property
     def sparse_scores(self) -> DataFrame:
         return lexical.sparse_scores(self.sparse_queries, self.sparse_texts)
 
     def sparse_hits(self, k: int) -> DataFrame:
-        return S.top_k(self.sparse_scores, k)
+        return lexical.sparse_search(self.sparse_queries, self.sparse_texts, k)
 
     def reranked(self, candidates: DataFrame, k: int) -> DataFrame:
         return fusion.rerank(candidates, self.chunks, fusion.ready_queries(self.queries, self.index()), k)
