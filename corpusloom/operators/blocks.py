@@ -113,6 +113,27 @@ def top_k_products(rows: DataFrame, weights: DataFrame, k: int, field: str,
     return S.top_k(rows.select(*columns).mapInArrow(run, _schema(rows, q_type, key)), k, tie=key)
 
 
+def unit_weights(rows: DataFrame, idf: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, terms array<struct<term,weight>>): tf times idf, rows of unit length, for a bounded idf table."""
+    table = idf.select("term", "idf").toPandas()  # bounded: counted by the caller
+    shared = rows.sparkSession.sparkContext.broadcast((list(table["term"]), table["idf"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, idf_of = shared.value
+        known = pa.array(words, pa.string())
+        for batch in batches:
+            row, terms, tf = _flat(batch.column("terms"), "tf")
+            raw = tf * idf_of[pc.index_in(terms, value_set=known).to_numpy(zero_copy_only=False)] if len(row) else tf
+            norm = np.sqrt(np.bincount(row, weights=raw * raw, minlength=batch.num_rows)) if len(row) else np.ones(batch.num_rows)
+            ends = np.cumsum(np.bincount(row, minlength=batch.num_rows)) if len(row) else np.zeros(batch.num_rows)
+            offsets = pa.array(np.concatenate([[0], ends]).astype("int32"))
+            pairs = pa.StructArray.from_arrays([terms, pa.array(raw / norm[row])], names=["term", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(offsets, pairs)], names=[key, "terms"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "terms").mapInArrow(run, f"`{key}` {kind}, terms array<struct<term: string, weight: double>>")
+
+
 def _finder(words: list[str]) -> Callable[[str], list[int]]:
     """Positions of the words that occur in a text."""
     try:

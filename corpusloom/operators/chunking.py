@@ -25,18 +25,24 @@ def clamp_chunk_params(size: Column, overlap: Column) -> tuple[Column, Column]:
 
 
 def chunk_fixed(docs: DataFrame, size: int, overlap: int, text: str = "text") -> DataFrame:
-    """Windows of ``size`` characters every ``size - overlap``; adds chunk_index and text.
+    """Windows of ``size`` characters every ``size - overlap``; adds chunk_index, replaces text.
 
-    One narrow stage: each document becomes its chunks in the same task.
+    One narrow stage: each document becomes its chunks in the same task. The text is cut into steps in
+    one pass and a chunk is a step with the start of the next one, so long documents cost linear time
+    and no chunk row carries its whole document.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
-    return (docs.filter(F.length(text) > 0)
-            .select("*", F.posexplode(starts).alias("chunk_index", "_start"))
-            .withColumn(text, F.substring(F.col(text), F.col("_start") + 1, F.lit(size)))
-            .drop("_start"))
+    others = [c for c in docs.columns if c != text]
+    if overlap <= step:
+        steps = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(.{{1,{step}}})"), F.lit(1))
+        chunks = T.let(steps, lambda p: F.transform(p, lambda s, i: F.concat(
+            s, F.left(F.coalesce(F.get(p, i + 1), F.lit("")), F.lit(overlap)))))
+    else:
+        starts = F.filter(F.sequence(F.lit(0), F.length(text), F.lit(step)), lambda i: i < F.length(text))
+        chunks = F.transform(starts, lambda i: F.substring(F.col(text), i + 1, F.lit(size)))
+    return docs.select(*others, F.posexplode(chunks).alias("chunk_index", text))
 
 
 def _pieces(text: str, separator: str, keep: bool) -> list[str]:

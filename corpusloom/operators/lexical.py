@@ -57,14 +57,6 @@ def build_postings(chunks: DataFrame, words=T.tokens, key: str = "chunk_id") ->
     return TermIndex(rows, _vocabulary(rows), key)
 
 
-def with_vocabulary(postings: DataFrame, table: DataFrame, vocabulary: DataFrame, spread_by: str) -> DataFrame:
-    """Postings joined with a table of one row per vocabulary word. A small vocabulary is broadcast; a
-    large one is joined with salt, because common words hold a large share of the postings."""
-    if has_at_most(vocabulary, BROADCAST_TERMS):
-        return postings.join(F.broadcast(table), "term")
-    return salted_join(postings, table, "term", spread_by)
-
-
 def query_terms(queries: DataFrame, words=T.tokens) -> DataFrame:
     """(query_id, term, qtf)"""
     return (queries.select("query_id", F.explode(words(F.col("query"))).alias("term"))
@@ -176,10 +168,18 @@ def smooth_idf(index: TermIndex) -> DataFrame:
 def tfidf_rows(index: TermIndex) -> DataFrame:
     """(key, terms array<struct<term,weight>>): tf times smooth idf, rows of unit length.
 
-    After the words got their idf, the words of a chunk come together once; the rest is done in the row.
+    A small vocabulary goes to the tasks that read the rows. A large one is joined with salt, because
+    common words hold a large share of the postings; then the words of a chunk come together once.
     """
     key = index.key
-    raw = (with_vocabulary(index.postings, smooth_idf(index), index.vocabulary, key)
+    if has_at_most(index.vocabulary, BROADCAST_TERMS):
+        return blocks.unit_weights(index.rows, smooth_idf(index), key)
+    return _joined_tfidf_rows(index)
+
+
+def _joined_tfidf_rows(index: TermIndex) -> DataFrame:
+    key = index.key
+    raw = (salted_join(index.postings, smooth_idf(index), "term", key)
            .groupBy(key).agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("raw"))).alias("r")))
     square = F.aggregate("r", F.lit(0.0), lambda acc, x: acc + x["raw"] * x["raw"])
     return raw.withColumn("_n", F.sqrt(square)).select(key, F.transform("r", lambda x: F.struct(
