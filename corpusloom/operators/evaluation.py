@@ -120,13 +120,13 @@ def score_rows(rows: DataFrame) -> DataFrame:
     """Adds correctness, completeness, specificity, recall, context hit and the composite score. The
     expected answer is the question's own passage."""
     answer, context = F.coalesce("answer", F.lit("")), F.coalesce("context", F.lit(""))
-    df = rows.select("*", F.round(T.word_overlap(F.col("query"), answer), 6).alias("correctness"),
+    df = rows.select("*", F.round(T.word_overlap(F.col("query"), answer) + 1e-9, 6).alias("correctness"),
                      T.completeness_by_length(answer).alias("completeness"),
-                     F.round(T.specificity(answer), 6).alias("specificity"),
-                     F.round(T.word_overlap(F.col("query"), context), 6).alias("recall"))
+                     F.round(T.specificity(answer) + 1e-9, 6).alias("specificity"),
+                     F.round(T.word_overlap(F.col("query"), context) + 1e-9, 6).alias("recall"))
     df = df.withColumn("correct", F.col("correctness") >= 0.5).withColumn("context_hit", F.col("recall") >= 0.3)
     return df.withColumn("composite", F.round(composite(
-        F.col("correct"), F.col("completeness"), F.col("recall"), F.col("latency")), 6)).drop("query", "answer", "context")
+        F.col("correct"), F.col("completeness"), F.col("recall"), F.col("latency")) + 1e-9, 6)).drop("query", "answer", "context")
 
 
 def fact_f1(answer: Column, expected: Column) -> Column:
@@ -159,10 +159,10 @@ def summarise_configs(scored: DataFrame) -> DataFrame:
     ok = ~F.col("error")
 
     def mean(c: Column, to: str) -> Column:
-        return F.round(F.coalesce(F.avg(F.when(ok, c)), F.lit(0.0)), 6).alias(to)
+        return F.round(F.coalesce(F.avg(F.when(ok, c)), F.lit(0.0)) + 1e-9, 6).alias(to)
 
     return scored.groupBy("config_id", "plan", "k").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(ok.cast("double")), 6).alias("success_rate"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(ok.cast("double")) + 1e-9, 6).alias("success_rate"),
         mean(F.col("latency"), "avg_latency"), mean(F.col("similarity"), "avg_similarity"),
         mean(F.col("context_hit").cast("double"), "hit_rate"), mean(F.col("correctness"), "avg_correctness"),
         mean(F.col("completeness"), "avg_completeness"), mean(F.col("specificity"), "avg_specificity"),
@@ -175,11 +175,11 @@ def overall_score() -> Column:
     speed = F.least(F.lit(0.1), 0.2 / F.greatest(F.col("avg_latency"), F.lit(0.1)))
     total = (0.3 * F.col("hit_rate") + 0.25 * F.col("avg_correctness") + 0.1 * F.col("avg_completeness")
              + 0.05 * F.col("avg_specificity") + 0.2 * F.col("success_rate") + speed)
-    return F.round(F.least(F.lit(1.0), total), 6)
+    return F.round(F.least(F.lit(1.0), total) + 1e-9, 6)
 
 
 def success_score() -> Column:
-    return F.round(0.6 * F.col("avg_composite") + 0.4 * F.col("avg_similarity"), 6)
+    return F.round(0.6 * F.col("avg_composite") + 0.4 * F.col("avg_similarity") + 1e-9, 6)
 
 
 def best_configs(summary: DataFrame, n: Column | int, score: str = "score") -> DataFrame:
@@ -220,7 +220,7 @@ def weighted_scores(summary: DataFrame) -> DataFrame:
         F.array("avg_correctness", "hit_rate", "avg_composite", "success_rate", speed))
     rows = summary.select("config_id", metrics.alias("m"), F.explode(table).alias("w"))
     out = rows.groupBy("config_id", F.col("w.family").alias("family")).agg(
-        F.round(F.sum(F.col("w.weight") * F.element_at("m", F.col("w.metric"))), 6).alias("score"))
+        F.round(F.sum(F.col("w.weight") * F.element_at("m", F.col("w.metric"))) + 1e-9, 6).alias("score"))
     band = F.when(F.col("score") >= 0.8, "EXCELLENT").when(F.col("score") >= 0.6, "GOOD").when(
         F.col("score") >= 0.4, "FAIR").when(F.col("score") >= 0.2, "POOR").otherwise("FAILED")
     return out.withColumn("band", band)
@@ -240,7 +240,7 @@ def metric_stats(summary: DataFrame) -> DataFrame:
 
 def _stats(long: DataFrame, by: list[str]) -> DataFrame:
     return long.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("value") + 1e-9, 6).alias("mean"), F.round(F.stddev_samp("value") + 1e-9, 6).alias("std"),
         F.min("value").alias("min_value"), F.max("value").alias("max_value"))
 
 
@@ -266,7 +266,7 @@ def spot_check_sample(scored: DataFrame, order: Column, slices: Column) -> DataF
     reason = (F.when((F.col("seq") >= 10) & (F.col("composite") > F.col("recent") + 0.2), "high")
               .when((F.col("seq") >= 10) & (F.col("composite") < F.col("recent") - 0.3), "low")
               .when(i % 20 == 0, "systematic"))
-    return df.select("seq", "config_id", "query_id", "composite", F.round("recent", 6).alias("recent"),
+    return df.select("seq", "config_id", "query_id", "composite", F.round(F.col("recent") + 1e-9, 6).alias("recent"),
                      reason.alias("reason")).filter("reason is not null")
 
 
@@ -280,8 +280,8 @@ def engine_insights(summary: DataFrame) -> DataFrame:
     df = summary.select(engine_family(F.col("plan")).alias("family"), success_score().alias("score"),
                         (F.col("avg_latency") * F.col("n")).alias("seconds"))
     return df.groupBy("family").agg(
-        F.count(F.lit(1)).alias("configs"), F.round(F.avg("score"), 6).alias("avg_score"),
-        F.round(F.max("score") - F.min("score"), 6).alias("gap"), F.round(F.sum("seconds"), 6).alias("seconds"))
+        F.count(F.lit(1)).alias("configs"), F.round(F.avg("score") + 1e-9, 6).alias("avg_score"),
+        F.round(F.max("score") - F.min("score") + 1e-9, 6).alias("gap"), F.round(F.sum("seconds") + 1e-9, 6).alias("seconds"))
 
 
 def recommendations(summary: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def current_leaders(summary: DataFrame) -> DataFrame:
         "best_overall": 0.4 * F.col("hit_rate") + 0.4 * F.col("avg_correctness") + 0.2 * F.col("success_rate"),
         "highest_quality": (F.col("hit_rate") + F.col("avg_correctness")) / 2,
         "most_accurate": F.col("avg_correctness"), "most_reliable": F.col("success_rate")}
-    pairs = F.array(*[F.struct(F.lit(n).alias("category"), F.round(c, 6).alias("score")) for n, c in categories.items()])
+    pairs = F.array(*[F.struct(F.lit(n).alias("category"), F.round(c + 1e-9, 6).alias("score")) for n, c in categories.items()])
     long = summary.select("config_id", F.explode(pairs).alias("x")).select("config_id", "x.*")
     return S.top_k(long, 1, by="category", tie="config_id").select("category", "config_id", "score")
 
@@ -311,7 +311,7 @@ def running_averages(summary: DataFrame) -> DataFrame:
     """Averages over the configurations done so far, per checkpoint. One row per configuration."""
     w = Window.orderBy("config_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return summary.select("config_id", F.row_number().over(Window.orderBy("config_id")).alias("checkpoint"),
-                          *[F.round(F.avg(c).over(w), 6).alias(f"running_{c}") for c in
+                          *[F.round(F.avg(c).over(w) + 1e-9, 6).alias(f"running_{c}") for c in
                             ("hit_rate", "avg_correctness", "success_rate", "avg_latency")])
 
 
@@ -342,9 +342,9 @@ def content_relevance(hits: DataFrame, expected: DataFrame, top: int = 10) -> Da
                 .groupBy("query_id").agg(F.avg(F.col("f").cast("double")).alias("accuracy")))
     relevance = F.least(F.lit(1.0), 0.7 * F.col("kw") + 0.3 * F.col("cx"))
     return ranking.join(accuracy, "query_id").select(
-        "query_id", F.round("accuracy", 6).alias("accuracy"), F.round(relevance, 6).alias("relevance"),
-        F.round("ranking", 6).alias("ranking"),
-        F.round(0.5 * F.col("accuracy") + 0.3 * relevance + 0.2 * F.col("ranking"), 6).alias("overall"))
+        "query_id", F.round(F.col("accuracy") + 1e-9, 6).alias("accuracy"), F.round(relevance + 1e-9, 6).alias("relevance"),
+        F.round(F.col("ranking") + 1e-9, 6).alias("ranking"),
+        F.round(0.5 * F.col("accuracy") + 0.3 * relevance + 0.2 * F.col("ranking") + 1e-9, 6).alias("overall"))
 
 
 def bridging_score(hits: DataFrame, expected: DataFrame, top: int = 5) -> DataFrame:
@@ -356,7 +356,7 @@ def bridging_score(hits: DataFrame, expected: DataFrame, top: int = 5) -> DataFr
                                        F.count_if((F.col("kind") == "keyword") & F.col("found")).alias("fk"))
     score = 0.7 * T.ratio(F.col("fr"), F.col("nr") * top) + 0.3 * T.ratio(F.col("fk"), F.col("nk") * top)
     return found.join(sizes, "query_id").select(
-        "query_id", F.round(score, 6).alias("score"), (score > 0.3).alias("success"),
+        "query_id", F.round(score + 1e-9, 6).alias("score"), (score > 0.3).alias("success"),
         F.col("fr").alias("required_found"), F.col("fk").alias("keywords_found"))
 
 
@@ -385,7 +385,7 @@ def topic_coverage(contexts: DataFrame, expected: DataFrame) -> DataFrame:
     for s in spellings:
         hit = hit | F.contains(c, s)
     df = (expected.join(contexts.select("query_id", F.lower("context").alias("_c")), "query_id")
-          .groupBy("query_id").agg(F.round(F.avg(hit.cast("double")), 6).alias("coverage")))
+          .groupBy("query_id").agg(F.round(F.avg(hit.cast("double")) + 1e-9, 6).alias("coverage")))
     return df.withColumn("assessment", F.when(F.col("coverage") >= 0.6, "GOOD").when(F.col("coverage") >= 0.4, "PARTIAL").otherwise("POOR"))
 
 
@@ -393,9 +393,9 @@ def ranking_metrics(coverage: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.agg(F.count(F.lit(1))).scalar()
     good = F.col("assessment") == "GOOD"
     return coverage.agg(
-        F.round(F.count(F.lit(1)) / asked, 6).alias("success_rate"), F.round(F.avg("coverage"), 6).alias("avg_coverage"),
-        F.round(F.stddev_pop("coverage"), 6).alias("coverage_std"), F.round(F.avg(good.cast("double")), 6).alias("good_rate"),
-        F.round(F.avg((good | (F.col("assessment") == "PARTIAL")).cast("double")), 6).alias("partial_or_better"))
+        F.round(F.count(F.lit(1)) / asked + 1e-9, 6).alias("success_rate"), F.round(F.avg("coverage") + 1e-9, 6).alias("avg_coverage"),
+        F.round(F.stddev_pop("coverage") + 1e-9, 6).alias("coverage_std"), F.round(F.avg(good.cast("double")) + 1e-9, 6).alias("good_rate"),
+        F.round(F.avg((good | (F.col("assessment") == "PARTIAL")).cast("double")) + 1e-9, 6).alias("partial_or_better"))
 
 
 def expected_content_found(hits: DataFrame, expected: DataFrame) -> DataFrame:
@@ -410,7 +410,7 @@ def expected_content_found(hits: DataFrame, expected: DataFrame) -> DataFrame:
 def success_rates(found: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.agg(F.count(F.lit(1))).scalar()
     rate = F.count_if(F.col("found") >= 2) / asked
-    df = found.agg(F.round(rate, 6).alias("success_rate"), F.round(F.count_if(F.col("found") >= 1) / asked, 6).alias("found_rate"))
+    df = found.agg(F.round(rate + 1e-9, 6).alias("success_rate"), F.round(F.count_if(F.col("found") >= 1) / asked + 1e-9, 6).alias("found_rate"))
     r = F.col("success_rate")
     return df.select("*", F.when(r >= 0.8, "EXCELLENT").when(r >= 0.6, "GOOD").when(r >= 0.4, "PARTIAL").otherwise("POOR")
                      .alias("band"), (r >= 0.75).alias("handles_natural_language"))
@@ -423,7 +423,7 @@ def gap_analysis(expected_chunks: DataFrame, hits: DataFrame, contexts: DataFram
     missing = F.array_join(F.array_sort(F.collect_list(F.when(F.col("_got").isNull(), F.col("chunk_id")))), ",")
     chunks = expected_chunks.select(*key).join(got, key, "left").groupBy("query_id").agg(
         missing.alias("missing_chunks"), F.count_if(F.col("_got").isNull()).alias("n_missing"),
-        F.round(100 * F.avg(F.col("_got").isNotNull().cast("double")), 6).alias("coverage_pct"))
+        F.round(100 * F.avg(F.col("_got").isNotNull().cast("double")) + 1e-9, 6).alias("coverage_pct"))
     areas = phrases_in_context(contexts, expected).groupBy("query_id").agg(F.array_join(F.array_sort(
         F.collect_list(F.when(~F.col("found"), F.col("phrase")))), ",").alias("missing_areas"))
     return chunks.join(areas, "query_id", "left")
@@ -487,8 +487,8 @@ def parameter_sweep(queries: DataFrame, hits: DataFrame, expected_chunks: DataFr
     success = (0.4 * F.col("coverage") + 0.3 * F.col("can_complete").cast("double")
                + 0.2 * F.col("success_probability") + 0.1 * F.col("confidence"))
     return rows.groupBy("threshold", "top_k").agg(
-        F.round(F.avg(success), 6).alias("success"), F.round(100 * F.avg("coverage"), 6).alias("coverage_pct"),
-        F.round(F.avg(F.col("can_complete").cast("double")), 6).alias("completion_rate"),
+        F.round(F.avg(success) + 1e-9, 6).alias("success"), F.round(100 * F.avg("coverage") + 1e-9, 6).alias("coverage_pct"),
+        F.round(F.avg(F.col("can_complete").cast("double")) + 1e-9, 6).alias("completion_rate"),
         F.count_if(F.col("coverage") >= 1).alias("fully_covered"))
 
 
@@ -499,7 +499,7 @@ def section_coverage(contexts: DataFrame, expected: DataFrame) -> DataFrame:
     return per.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("sections"), F.count_if(F.col("f") >= 0.7 * F.col("n")).alias("covered"),
         F.sum("f").alias("phrases_found")).select(
-        "*", F.round(100 * F.col("covered") / F.col("sections"), 6).alias("coverage_pct"),
+        "*", F.round(100 * F.col("covered") / F.col("sections") + 1e-9, 6).alias("coverage_pct"),
         (F.col("covered") >= 0.9 * F.col("sections")).alias("meets_target"))
 
 
@@ -509,9 +509,9 @@ def answer_gate(answers: DataFrame, expected: DataFrame) -> DataFrame:
     The criteria count as met by an answer of some length with some expected content.
     """
     df = answers.join(expected, "query_id").groupBy("query_id", "answer", "latency").agg(
-        F.round(F.avg(F.contains(F.lower("answer"), F.lower("phrase")).cast("double")), 6).alias("content"))
+        F.round(F.avg(F.contains(F.lower("answer"), F.lower("phrase")).cast("double")) + 1e-9, 6).alias("content"))
     criteria = ((F.length("answer") > 50) & (F.col("content") > 0) & (T.word_count(F.col("answer")) > 10)).cast("double")
-    score = F.round(F.when(T.strip(F.col("answer")) == "", 0.0).otherwise(0.6 * F.col("content") + 0.4 * criteria), 6)
+    score = F.round(F.when(T.strip(F.col("answer")) == "", 0.0).otherwise(0.6 * F.col("content") + 0.4 * criteria) + 1e-9, 6)
     df = df.select("query_id", "content", "latency", score.alias("score"))
     return df.withColumn("ready", (F.col("score") >= 0.7) & (F.col("content") >= 0.5) & (F.col("latency") < 10))
 
@@ -520,8 +520,8 @@ def release_gate(gate: DataFrame, critical: Column) -> DataFrame:
     """One row: rates over all and critical queries, and whether a release may go out."""
     c = critical
     out = gate.agg(
-        F.count(F.lit(1)).alias("queries"), F.round(F.avg("score"), 6).alias("avg_score"),
-        F.round(F.avg("latency"), 6).alias("avg_latency"), F.round(F.avg(F.col("ready").cast("double")), 6).alias("ready_rate"),
-        F.round(F.coalesce(F.avg(F.when(c, F.col("ready").cast("double"))), F.lit(1.0)), 6).alias("critical_ready_rate"))
+        F.count(F.lit(1)).alias("queries"), F.round(F.avg("score") + 1e-9, 6).alias("avg_score"),
+        F.round(F.avg("latency") + 1e-9, 6).alias("avg_latency"), F.round(F.avg(F.col("ready").cast("double")) + 1e-9, 6).alias("ready_rate"),
+        F.round(F.coalesce(F.avg(F.when(c, F.col("ready").cast("double"))), F.lit(1.0)) + 1e-9, 6).alias("critical_ready_rate"))
     return out.withColumn("release", (F.col("critical_ready_rate") >= 0.8) & (F.col("ready_rate") >= 0.67)
                           & (F.col("avg_latency") < 8) & (F.col("avg_score") >= 0.6))

@@ -38,29 +38,29 @@ ROWS = {
       USING (plan, k, query_id) LEFT JOIN lat USING (plan, query_id)""",
     "measured": f"""
       SELECT config_id, plan, k, query_id, latency, similarity, feedback, error,
-             round({Q.overlap('query', "coalesce(answer, '')")}, 6) AS correctness,
+             round({Q.overlap('query', "coalesce(answer, '')")} + 1e-9, 6) AS correctness,
              CASE WHEN coalesce(answer, '') IN ('', 'ERROR') THEN 0.0 WHEN length(answer) < 100 THEN 0.3 WHEN length(answer) < 250 THEN 0.7 ELSE 1.0 END AS completeness,
-             round(least({Q.count_of("lower(coalesce(answer, ''))", V.SPECIFIC_MARKS)} / 3.0, 1.0), 6) AS specificity,
-             round({Q.overlap('query', "coalesce(context, '')")}, 6) AS recall FROM eval_rows""",
+             round(least({Q.count_of("lower(coalesce(answer, ''))", V.SPECIFIC_MARKS)} / 3.0, 1.0) + 1e-9, 6) AS specificity,
+             round({Q.overlap('query', "coalesce(context, '')")} + 1e-9, 6) AS recall FROM eval_rows""",
     "scored": """
-      SELECT *, round(greatest(0, least(1, 0.5 * correct::INT + 0.2 * completeness + 0.2 * recall + 0.1 * (1 - least(latency / 2, 1)))), 6) AS composite
+      SELECT *, round(greatest(0, least(1, 0.5 * correct::INT + 0.2 * completeness + 0.2 * recall + 0.1 * (1 - least(latency / 2, 1)))) + 1e-9, 6) AS composite
       FROM (SELECT *, correctness >= 0.5 AS correct, recall >= 0.3 AS context_hit FROM measured)""",
 }
 
 
 def _mean(c: str, to: str) -> str:
-    return f"round(coalesce(avg({c}) FILTER (NOT error), 0), 6) AS {to}"
+    return f"round(coalesce(avg({c}) FILTER (NOT error), 0) + 1e-9, 6) AS {to}"
 
 
 SUMMARY_OF = f"""
-    SELECT config_id, plan, k, count(*) AS n, round(avg((NOT error)::INT), 6) AS success_rate, {_mean('latency', 'avg_latency')},
+    SELECT config_id, plan, k, count(*) AS n, round(avg((NOT error)::INT) + 1e-9, 6) AS success_rate, {_mean('latency', 'avg_latency')},
       {_mean('similarity', 'avg_similarity')}, {_mean('context_hit::INT', 'hit_rate')}, {_mean('correctness', 'avg_correctness')},
       {_mean('completeness', 'avg_completeness')}, {_mean('specificity', 'avg_specificity')}, {_mean('composite', 'avg_composite')},
       {_mean("(feedback = 'positive')::INT", 'positive_rate')}, {_mean("(feedback = 'negative')::INT", 'negative_rate')},
       {_mean("(feedback = 'neutral')::INT", 'neutral_rate')} FROM __rows GROUP BY 1, 2, 3"""
 OVERALL = """round(least(1.0, 0.3 * hit_rate + 0.25 * avg_correctness + 0.1 * avg_completeness + 0.05 * avg_specificity
-    + 0.2 * success_rate + least(0.1, 0.2 / greatest(avg_latency, 0.1))), 6)"""
-SUCCESS = "round(0.6 * avg_composite + 0.4 * avg_similarity, 6)"
+    + 0.2 * success_rate + least(0.1, 0.2 / greatest(avg_latency, 0.1))) + 1e-9, 6)"""
+SUCCESS = "round(0.6 * avg_composite + 0.4 * avg_similarity + 1e-9, 6)"
 CONFIGS = {**ROWS, "summary": SUMMARY_OF.replace("__rows", "scored")}
 BM_CTX = Q.context_sql("(SELECT query_id, rank, source, text FROM bm10 JOIN chunks USING (chunk_id))", 6000)
 CONTENT = {**LOGS, "ctx": BM_CTX, "shown": "SELECT query_id, rank, chunk_id, text FROM bm10 JOIN chunks USING (chunk_id)",
@@ -166,7 +166,7 @@ def _(t):
     best = shown_of(t).filter("rank = 1").select("query_id", "text").join(t.queries, "query_id")
     df = encoders.embed(encoders.embed(best, enc, "text", "a"), enc, "query", "e")
     sim = F.greatest(F.lit(0.0), S.cosine(F.col("a"), F.col("e")))
-    return df.select("query_id", F.round(sim, 6).alias("similarity"), (sim >= 0.8).alias("correct"))
+    return df.select("query_id", F.round(sim + 1e-9, 6).alias("similarity"), (sim >= 0.8).alias("correct"))
 
 
 _A = "answer || ' call 555-0100 or $' || length(question) || ' ' || length(answer)"
@@ -180,19 +180,19 @@ def _fact_texts():
 
 
 @query("v7_fact_f1", Q.sql("""
-    SELECT query_id, round(CASE WHEN len(e) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(a, e)) / (len(a) + len(e)) END, 6) AS f1
+    SELECT query_id, round(CASE WHEN len(e) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(a, e)) / (len(a) + len(e)) END + 1e-9, 6) AS f1
     FROM facts""", facts=f"SELECT query_id, {facts_sql('a')} AS a, {facts_sql('e')} AS e FROM (SELECT query_id, {_A} AS a, {_X} AS e FROM qa)"))
 def _(t):
     a, e = _fact_texts()
-    return t.qa.select("query_id", F.round(E.fact_f1(a, e), 6).alias("f1"))
+    return t.qa.select("query_id", F.round(E.fact_f1(a, e) + 1e-9, 6).alias("f1"))
 
 
 @query("v8_context_recall", Q.sql("""
-    SELECT query_id, round(CASE WHEN len(e) = 0 THEN 1.0 ELSE len(list_intersect(a, e))::DOUBLE / len(e) END, 6) AS recall
+    SELECT query_id, round(CASE WHEN len(e) = 0 THEN 1.0 ELSE len(list_intersect(a, e))::DOUBLE / len(e) END + 1e-9, 6) AS recall
     FROM facts""", facts=f"SELECT query_id, {facts_sql('a')} AS a, {facts_sql('e')} AS e FROM (SELECT query_id, {_A} AS a, {_X} AS e FROM qa)"))
 def _(t):
     a, e = _fact_texts()
-    return t.qa.select("query_id", F.round(E.fact_recall(a, e), 6).alias("recall"))
+    return t.qa.select("query_id", F.round(E.fact_recall(a, e) + 1e-9, 6).alias("recall"))
 
 
 @query("v9_composite", Q.sql("SELECT config_id, query_id, composite FROM scored", **ROWS))
@@ -212,7 +212,7 @@ def _(t):
     best = shown.filter("rank = 1").select("query_id", "text").join(t.queries, "query_id").join(contexts_of(t, shown), "query_id")
     df = encoders.embed(encoders.embed(encoders.embed(best, enc, "text", "a"), enc, "query", "q"), enc, "context", "c")
     score = E.semantic_answer_score(F.col("q"), F.col("q"), F.col("a"), F.col("c"), F.col("text"))
-    return df.select("query_id", F.round(score, 6).alias("score"))
+    return df.select("query_id", F.round(score + 1e-9, 6).alias("score"))
 
 
 # --- configurations -----------------------------------------------------------------------------
@@ -257,8 +257,8 @@ def _(t):
 # --- expected content ---------------------------------------------------------------------------
 
 @query("v16_content_relevance", Q.sql("""
-    SELECT query_id, round(accuracy, 6) AS accuracy, round(rel, 6) AS relevance, round(ranking, 6) AS ranking,
-           round(0.5 * accuracy + 0.3 * rel + 0.2 * ranking, 6) AS overall FROM (
+    SELECT query_id, round(accuracy + 1e-9, 6) AS accuracy, round(rel + 1e-9, 6) AS relevance, round(ranking + 1e-9, 6) AS ranking,
+           round(0.5 * accuracy + 0.3 * rel + 0.2 * ranking + 1e-9, 6) AS overall FROM (
       SELECT query_id, least(1, 0.7 * avg(kw) + 0.3 * avg(cx)) AS rel, sum((req * 0.5 + 0.3 * kw + 0.2 * cx) / rank) / sum(1.0 / rank) AS ranking FROM (
         SELECT query_id, rank, max((kind = 'required' AND found)::INT) AS req, coalesce(avg(found::INT) FILTER (kind = 'keyword'), 0) AS kw,
                coalesce(avg(found::INT) FILTER (kind = 'context'), 0) AS cx FROM judged GROUP BY 1, 2) GROUP BY 1)
@@ -269,7 +269,7 @@ def _(t):
 
 
 @query("v17_bridging_score", Q.sql("""
-    SELECT query_id, round(s, 6) AS score, s > 0.3 AS success, fr AS required_found, fk AS keywords_found FROM (
+    SELECT query_id, round(s + 1e-9, 6) AS score, s > 0.3 AS success, fr AS required_found, fk AS keywords_found FROM (
       SELECT *, 0.7 * fr / (nr * 5) + 0.3 * CASE WHEN nk = 0 THEN 0 ELSE fk::DOUBLE / (nk * 5) END AS s FROM (
         SELECT query_id, count(*) FILTER (kind = 'required' AND found) AS fr, count(*) FILTER (kind = 'keyword' AND found) AS fk
         FROM judged WHERE rank <= 5 GROUP BY 1)
@@ -289,7 +289,7 @@ def _(t):
 
 _TOPICS = """
     SELECT *, CASE WHEN coverage >= 0.6 THEN 'GOOD' WHEN coverage >= 0.4 THEN 'PARTIAL' ELSE 'POOR' END AS assessment FROM (
-      SELECT query_id, round(avg((contains(c, p) OR contains(c, replace(p, ' ', '')) OR contains(c, replace(p, '-', ' ')) OR contains(c, replace(p, '_', ' ')))::INT), 6) AS coverage
+      SELECT query_id, round(avg((contains(c, p) OR contains(c, replace(p, ' ', '')) OR contains(c, replace(p, '-', ' ')) OR contains(c, replace(p, '_', ' ')))::INT) + 1e-9, 6) AS coverage
       FROM (SELECT query_id, lower(context) AS c, lower(phrase) AS p FROM ctx JOIN expected USING (query_id)) GROUP BY 1)"""
 
 
@@ -299,16 +299,16 @@ def _(t):
 
 
 @query("v19_ranking_metrics", Q.sql("""
-    SELECT round(count(*)::DOUBLE / (SELECT count(*) FROM queries), 6) AS success_rate, round(avg(coverage), 6) AS avg_coverage,
-           round(stddev_pop(coverage), 6) AS coverage_std, round(avg((assessment = 'GOOD')::INT), 6) AS good_rate,
-           round(avg((assessment IN ('GOOD', 'PARTIAL'))::INT), 6) AS partial_or_better FROM topics""", topics=_TOPICS, **CONTENT))
+    SELECT round(count(*)::DOUBLE / (SELECT count(*) FROM queries) + 1e-9, 6) AS success_rate, round(avg(coverage) + 1e-9, 6) AS avg_coverage,
+           round(stddev_pop(coverage) + 1e-9, 6) AS coverage_std, round(avg((assessment = 'GOOD')::INT) + 1e-9, 6) AS good_rate,
+           round(avg((assessment IN ('GOOD', 'PARTIAL'))::INT) + 1e-9, 6) AS partial_or_better FROM topics""", topics=_TOPICS, **CONTENT))
 def _(t):
     return E.ranking_metrics(E.topic_coverage(contexts_of(t), expectations_of(t)), t.queries)
 
 
 @query("v20_weighted_model_score", Q.sql(f"""
     SELECT *, CASE WHEN score >= 0.8 THEN 'EXCELLENT' WHEN score >= 0.6 THEN 'GOOD' WHEN score >= 0.4 THEN 'FAIR' WHEN score >= 0.2 THEN 'POOR' ELSE 'FAILED' END AS band FROM (
-      {' UNION ALL '.join(f"SELECT config_id, '{f}' AS family, round({' + '.join(f'{w} * {m}' for m, w in ws.items())}, 6) AS score FROM (SELECT *, greatest(0, 1 - avg_latency) AS speed FROM summary)" for f, ws in E.WEIGHTS.items())})""", **CONFIGS))
+      {' UNION ALL '.join(f"SELECT config_id, '{f}' AS family, round({' + '.join(f'{w} * {m}' for m, w in ws.items())} + 1e-9, 6) AS score FROM (SELECT *, greatest(0, 1 - avg_latency) AS speed FROM summary)" for f, ws in E.WEIGHTS.items())})""", **CONFIGS))
 def _(t):
     return E.weighted_scores(E.summarise_configs(scored_of(t)))
 
@@ -327,8 +327,8 @@ def _(t):
 @query("v21_success_rates", Q.sql("""
     SELECT *, CASE WHEN success_rate >= 0.8 THEN 'EXCELLENT' WHEN success_rate >= 0.6 THEN 'GOOD' WHEN success_rate >= 0.4 THEN 'PARTIAL' ELSE 'POOR' END AS band,
            success_rate >= 0.75 AS handles_natural_language FROM (
-      SELECT round(count(*) FILTER (found >= 2)::DOUBLE / (SELECT count(*) FROM queries), 6) AS success_rate,
-             round(count(*) FILTER (found >= 1)::DOUBLE / (SELECT count(*) FROM queries), 6) AS found_rate FROM content_found)""", content_found=_FOUND, **CONTENT))
+      SELECT round(count(*) FILTER (found >= 2)::DOUBLE / (SELECT count(*) FROM queries) + 1e-9, 6) AS success_rate,
+             round(count(*) FILTER (found >= 1)::DOUBLE / (SELECT count(*) FROM queries) + 1e-9, 6) AS found_rate FROM content_found)""", content_found=_FOUND, **CONTENT))
 def _(t):
     return E.success_rates(E.expected_content_found(shown_of(t), expectations_of(t)), t.queries)
 
@@ -337,7 +337,7 @@ _VEC_CTX = Q.context_sql("(SELECT query_id, rank, source, text FROM vec10 JOIN c
 GAPS = {**LOGS, "ctx": _VEC_CTX, "told": CONTENT["told"], "should": CONTENT["should"], "gaps": """
     SELECT * FROM (
       SELECT query_id, coalesce(string_agg(chunk_id, ',' ORDER BY chunk_id) FILTER (r IS NULL), '') AS missing_chunks,
-             count(*) FILTER (r IS NULL) AS n_missing, round(100 * avg((r IS NOT NULL)::INT), 6) AS coverage_pct
+             count(*) FILTER (r IS NULL) AS n_missing, round(100 * avg((r IS NOT NULL)::INT) + 1e-9, 6) AS coverage_pct
       FROM should LEFT JOIN (SELECT query_id, chunk_id, rank AS r FROM vec10) USING (query_id, chunk_id) GROUP BY 1)
     LEFT JOIN (SELECT query_id, coalesce(string_agg(phrase, ',' ORDER BY phrase) FILTER (NOT found), '') AS missing_areas FROM told GROUP BY 1) USING (query_id)""",
         "vec_best": "SELECT query_id, text AS answer FROM vec10 JOIN chunks USING (chunk_id) WHERE rank = 1"}
@@ -368,7 +368,7 @@ _TOOLS, _SUBJECT = ["tion", "ment"], ["ein", "the"]
 
 
 @query("v24_answer_indicators", Q.sql(rf"""
-    SELECT query_id, round(c, 6) AS completeness, round(a, 6) AS actionability, round(v, 6) AS value,
+    SELECT query_id, round(c + 1e-9, 6) AS completeness, round(a + 1e-9, 6) AS actionability, round(v + 1e-9, 6) AS value,
            CASE WHEN length(answer) < 50 THEN 'none' WHEN v >= 0.8 THEN 'high' WHEN v >= 0.6 THEN 'moderate' WHEN v >= 0.4 THEN 'low' ELSE 'minimal' END AS value_band
     FROM (SELECT query_id, answer,
         ({Q.any_of('low', V.STEP_WORDS)}::INT + {Q.any_of('low', _TOOLS)}::INT + {Q.any_of('low', V.ACTION_WORDS)}::INT + (length(answer) > 300)::INT + {Q.any_of('low', V.CONTACT_WORDS)}::INT) / 5.0 AS c,
@@ -380,12 +380,12 @@ _TOOLS, _SUBJECT = ["tion", "ment"], ["ein", "the"]
 def _(t):
     cols = E.answer_indicators(F.col("question"), F.col("answer"), _TOOLS, _SUBJECT)
     df = t.qa.select("query_id", *cols)
-    return df.select("query_id", *[F.round(c, 6).alias(c) for c in ("completeness", "actionability", "value")], "value_band")
+    return df.select("query_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("completeness", "actionability", "value")], "value_band")
 
 
 @query("v25_parameter_sweep", Q.sql(f"""
-    SELECT threshold, top_k, round(avg(0.4 * cov + 0.3 * done::INT + 0.2 * prob + 0.1 * conf), 6) AS success, round(100 * avg(cov), 6) AS coverage_pct,
-           round(avg(done::INT), 6) AS completion_rate, count(*) FILTER (cov >= 1) AS fully_covered FROM (
+    SELECT threshold, top_k, round(avg(0.4 * cov + 0.3 * done::INT + 0.2 * prob + 0.1 * conf) + 1e-9, 6) AS success, round(100 * avg(cov) + 1e-9, 6) AS coverage_pct,
+           round(avg(done::INT) + 1e-9, 6) AS completion_rate, count(*) FILTER (cov >= 1) AS fully_covered FROM (
       SELECT threshold, top_k, covered::DOUBLE / n AS cov, l > 100 AND n - covered <= 1 AS done,
              CASE WHEN l <= 100 THEN 0.0 WHEN n = covered THEN 0.85 WHEN n - covered = 1 THEN 0.65 ELSE 0.25 END AS prob,
              CASE WHEN l <= 100 THEN 0.0 WHEN n = covered THEN 0.9 WHEN n - covered = 1 THEN 0.7 ELSE 0.3 END AS conf FROM (
@@ -402,7 +402,7 @@ def _(t):
 
 
 _LONG = " UNION ALL ".join(f"SELECT config_id, plan, k, '{m}' AS metric, {m}::DOUBLE AS value FROM summary" for m in E.METRICS)
-_STATS = "count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min_value, max(value) AS max_value"
+_STATS = "count(*) AS n, round(avg(value) + 1e-9, 6) AS mean, round(stddev_samp(value) + 1e-9, 6) AS std, min(value) AS min_value, max(value) AS max_value"
 
 
 @query("v26_metric_stats", Q.sql(f"SELECT metric, {_STATS} FROM long_m GROUP BY 1", **CONFIGS, long_m=_LONG))
@@ -426,7 +426,7 @@ def _(t):
 
 
 @query("v27_spot_check_sample", Q.sql("""
-    SELECT seq, config_id, query_id, composite, round(recent, 6) AS recent, reason FROM (
+    SELECT seq, config_id, query_id, composite, round(recent + 1e-9, 6) AS recent, reason FROM (
       SELECT *, CASE WHEN seq >= 10 AND composite > recent + 0.2 THEN 'high' WHEN seq >= 10 AND composite < recent - 0.3 THEN 'low'
                      WHEN (seq - 1) % 20 = 0 THEN 'systematic' END AS reason FROM (
         SELECT *, row_number() OVER (ORDER BY config_id, query_id) AS seq,
@@ -438,7 +438,7 @@ def _(t):
 
 
 @query("v28_engine_insights", Q.sql(f"""
-    SELECT family, count(*) AS configs, round(avg(score), 6) AS avg_score, round(max(score) - min(score), 6) AS gap, round(sum(seconds), 6) AS seconds FROM (
+    SELECT family, count(*) AS configs, round(avg(score) + 1e-9, 6) AS avg_score, round(max(score) - min(score) + 1e-9, 6) AS gap, round(sum(seconds) + 1e-9, 6) AS seconds FROM (
       SELECT CASE WHEN contains(plan, 'hybrid') THEN 'hybrid' WHEN contains(plan, 'vector') THEN 'vector' WHEN contains(plan, 'rerank') THEN 'reranking' ELSE 'other' END AS family,
              {SUCCESS} AS score, avg_latency * n AS seconds FROM summary) GROUP BY 1""", **CONFIGS))
 def _(t):
@@ -456,7 +456,7 @@ def _(t):
 
 
 @query("v30_section_coverage", Q.sql("""
-    SELECT *, round(100.0 * covered / sections, 6) AS coverage_pct, covered >= 0.9 * sections AS meets_target FROM (
+    SELECT *, round(100.0 * covered / sections + 1e-9, 6) AS coverage_pct, covered >= 0.9 * sections AS meets_target FROM (
       SELECT query_id, count(*) AS sections, count(*) FILTER (f >= 0.7 * n) AS covered, sum(f)::BIGINT AS phrases_found FROM (
         SELECT query_id, kind, count(*) AS n, count(*) FILTER (found) AS f FROM told GROUP BY 1, 2) GROUP BY 1)""", **CONTENT))
 def _(t):
@@ -465,8 +465,8 @@ def _(t):
 
 GATE = {**CONTENT, "lat": ROWS["lat"], "gate": f"""
     SELECT *, score >= 0.7 AND content >= 0.5 AND latency < 10 AS ready FROM (
-      SELECT query_id, content, latency, round(0.6 * content + 0.4 * (length(answer) > 50 AND content > 0 AND len({Q.tokens('answer')}) > 10)::INT, 6) AS score FROM (
-        SELECT query_id, answer, latency, round(avg(contains(lower(answer), lower(phrase))::INT), 6) AS content FROM (
+      SELECT query_id, content, latency, round(0.6 * content + 0.4 * (length(answer) > 50 AND content > 0 AND len({Q.tokens('answer')}) > 10)::INT + 1e-9, 6) AS score FROM (
+        SELECT query_id, answer, latency, round(avg(contains(lower(answer), lower(phrase))::INT) + 1e-9, 6) AS content FROM (
           SELECT query_id, answer, coalesce(latency, 0) AS latency FROM bm_best LEFT JOIN (SELECT query_id, latency FROM lat WHERE plan = 'bm25') USING (query_id))
         JOIN expected USING (query_id) GROUP BY 1, 2, 3))"""}
 
@@ -486,16 +486,16 @@ def _(t):
 
 @query("v31_release_gate", Q.sql("""
     SELECT *, critical_ready_rate >= 0.8 AND ready_rate >= 0.67 AND avg_latency < 8 AND avg_score >= 0.6 AS release FROM (
-      SELECT count(*) AS queries, round(avg(score), 6) AS avg_score, round(avg(latency), 6) AS avg_latency, round(avg(ready::INT), 6) AS ready_rate,
-             round(coalesce(avg(ready::INT) FILTER (length(query) > 200), 1.0), 6) AS critical_ready_rate FROM gate JOIN queries USING (query_id))""", **GATE))
+      SELECT count(*) AS queries, round(avg(score) + 1e-9, 6) AS avg_score, round(avg(latency) + 1e-9, 6) AS avg_latency, round(avg(ready::INT) + 1e-9, 6) AS ready_rate,
+             round(coalesce(avg(ready::INT) FILTER (length(query) > 200), 1.0) + 1e-9, 6) AS critical_ready_rate FROM gate JOIN queries USING (query_id))""", **GATE))
 def _(t):
     return E.release_gate(gate_of(t).join(t.queries, "query_id"), F.length("query") > 200)
 
 
 @query("v32_current_leaders", Q.sql("""
     SELECT category, config_id, score FROM (
-      SELECT 'best_overall' AS category, config_id, round(0.4 * hit_rate + 0.4 * avg_correctness + 0.2 * success_rate, 6) AS score FROM summary UNION ALL
-      SELECT 'highest_quality', config_id, round((hit_rate + avg_correctness) / 2, 6) FROM summary UNION ALL
+      SELECT 'best_overall' AS category, config_id, round(0.4 * hit_rate + 0.4 * avg_correctness + 0.2 * success_rate + 1e-9, 6) AS score FROM summary UNION ALL
+      SELECT 'highest_quality', config_id, round((hit_rate + avg_correctness) / 2 + 1e-9, 6) FROM summary UNION ALL
       SELECT 'most_accurate', config_id, avg_correctness FROM summary UNION ALL SELECT 'most_reliable', config_id, success_rate FROM summary)
     QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, config_id) = 1""", **CONFIGS))
 def _(t):
@@ -504,7 +504,7 @@ def _(t):
 
 @query("v32_running_averages", Q.sql(f"""
     SELECT config_id, row_number() OVER (ORDER BY config_id)::INT AS checkpoint,
-           {', '.join(f"round(avg({c}) OVER (ORDER BY config_id), 6) AS running_{c}" for c in ("hit_rate", "avg_correctness", "success_rate", "avg_latency"))}
+           {', '.join(f"round(avg({c}) OVER (ORDER BY config_id) + 1e-9, 6) AS running_{c}" for c in ("hit_rate", "avg_correctness", "success_rate", "avg_latency"))}
     FROM summary""", **CONFIGS))
 def _(t):
     return E.running_averages(summary_of(t))
