@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
@@ -11,13 +13,24 @@ from ..functions import scores as S, text as T
 def read_text_files(spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = True
                     ) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects): one row per file; empty files go to the rejects."""
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", recursive).text(path)
+    files = (spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
              .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source"),
                      F.col("value").alias("text")))
-    listed = list_files(spark, path, glob, recursive)
     docs = files.filter(F.length("text") > 0).withColumn("n_chars", F.length("text"))
-    return docs, listed.filter("size = 0").select("path", F.lit("empty file").alias("reason"))
+    rejects = [(p, "empty file") for p in empty_files(spark, path, glob, recursive)]
+    return docs, spark.createDataFrame(rejects, "path string, reason string")
+
+
+def empty_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> list[str]:
+    """Paths of files without content. File sources skip such files, so the folder is listed."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, recursive)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        if status.getLen() == 0 and fnmatch(status.getPath().getName(), glob):
+            found.append(status.getPath().toString())
+    return found
 
 
 def read_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
