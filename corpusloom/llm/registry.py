@@ -1,6 +1,11 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import language_id
+from . import language_id, mixing, near_duplicates, surrogates
 
-QUERIES = {"op3_language_id": language_id.op3_language_id}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_pii_surrogates": surrogates.op2_pii_surrogates,
+    "op3_language_id": language_id.op3_language_id,
+    "op6_simhash_near_duplicates": near_duplicates.op6_simhash_near_duplicates,
+    "op9_pareto_mixing": mixing.op9_pareto_mixing,
+}
+ORACLES: dict[str, str] = {"op9_pareto_mixing": mixing.SQL}
