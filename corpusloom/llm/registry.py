@@ -1,11 +1,14 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import language_id, mixing, near_duplicates, surrogates
+from . import language_id, licenses, mixing, near_duplicates, quality_rules, sentencepieces, surrogates
 
 QUERIES = {
     "op2_pii_surrogates": surrogates.op2_pii_surrogates,
     "op3_language_id": language_id.op3_language_id,
+    "op4_sentencepiece": sentencepieces.op4_sentencepiece,
+    "op5_quality_cascade": quality_rules.op5_quality_cascade,
     "op6_simhash_near_duplicates": near_duplicates.op6_simhash_near_duplicates,
     "op9_pareto_mixing": mixing.op9_pareto_mixing,
+    "op10_license_scan": licenses.op10_license_scan,
 }
-ORACLES: dict[str, str] = {"op9_pareto_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op5_quality_cascade": quality_rules.SQL, "op9_pareto_mixing": mixing.SQL}
