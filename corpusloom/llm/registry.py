@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import language_id, licenses, mixing, near_duplicates, quality_rules, sentencepieces, surrogates
+from . import language_id, licenses, mixing, near_duplicates, quality_rules, sentencepieces, surrogates, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_pii_surrogates": surrogates.op2_pii_surrogates,
     "op3_language_id": language_id.op3_language_id,
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
