@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import language_id, licenses, mixing, near_duplicates, quality_rules, sentencepieces, surrogates, token_counts, toxicity
+from . import language_id, licenses, mixing, near_duplicates, prefix_forest, quality_rules, sentencepieces, surrogates, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op5_quality_cascade": quality_rules.op5_quality_cascade,
     "op6_simhash_near_duplicates": near_duplicates.op6_simhash_near_duplicates,
+    "op7_prefix_forest": prefix_forest.op7_prefix_forest,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_pareto_mixing": mixing.op9_pareto_mixing,
     "op10_license_scan": licenses.op10_license_scan,
