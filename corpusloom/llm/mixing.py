@@ -58,7 +58,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     rows = (rows.withColumn("all_words", F.sum("total").over(everything)).withColumn("all_weight", F.sum("weight").over(everything))
             .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("used", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
             .withColumn("level", (F.col("all_words") * SHARE - F.col("capped")) / (F.col("all_weight") - F.col("used"))))
-    level = F.min(F.when(F.col("level") <= F.col("full"), F.col("level"))).over(everything)
+    # the first source in this order that its share does not fill is the first one without a cap
+    rows = rows.withColumn("place", F.row_number().over(line)).withColumn("open", F.min(F.when(F.col("level") <= F.col("full"), F.col("place"))).over(everything))
+    level = F.max(F.when(F.col("place") == F.col("open"), F.col("level"))).over(everything)
     return rows.withColumn("at", level).select("source", "total", F.least("cap", F.coalesce(F.col("weight") * F.col("at"), F.col("cap"))).alias("target"))
 
 
@@ -146,9 +148,12 @@ summed as (
          coalesce(sum(weight) over (order by full_at, source is null, source rows between unbounded preceding and 1 preceding), 0) as used
   from lined),
 levelled as (
-  select *, (all_words * 1.5::double - capped) / (all_weight - used) as level from summed),
+  select *, (all_words * 1.5::double - capped) / (all_weight - used) as level,
+         row_number() over (order by full_at, source is null, source) as place from summed),
+opened as (
+  select *, min(case when level <= full_at then place end) over () as open from levelled),
 planned as (
-  select source, total, least(cap, coalesce(weight * (min(case when level <= full_at then level end) over ()), cap)) as target from levelled),
+  select source, total, least(cap, coalesce(weight * (max(case when place = open then level end) over ()), cap)) as target from opened),
 rated as (
   select *, case when total > 0 then target / total else 0 end as r from planned),
 ranked as (
