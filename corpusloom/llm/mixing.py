@@ -98,7 +98,8 @@ def plan(sized: DataFrame) -> DataFrame:
 
 
 def pareto_rank(u: Column, p: Column) -> Column:
-    return (u / (1 - u)) / (p / (1 - p))
+    """Null where no further copy is drawn."""
+    return F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p)))
 
 
 def attach(docs: DataFrame, small: DataFrame, on: Column, how: str = "left") -> DataFrame:
