@@ -114,7 +114,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     base = base.select("doc_id", "h", "n_words", sum((F.size(a) for a in at[1:]), F.size(at[0])).cast("long").alias("n_base"),
                        F.least(*[F.array_min(a) for a in at]).cast("long").alias("first_word"), F.greatest(*[F.array_max(a) for a in at]).cast("long").alias("last_word"),
                        labels.alias("base"))
-    voted = spans(rows, spark).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set("label").alias("own"), F.max("covered").alias("best"))
+    voted = spans(rows, spark).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("first", "last", "covered", "label")).alias("s"))
+    # of overlapping spans (notices that share most of their words) the better covered one stays
+    better = lambda o, x: (o["covered"] > x["covered"]) & (o["first"] <= x["last"]) & (x["first"] <= o["last"])
+    voted = voted.withColumn("s", F.filter("s", lambda x: ~F.exists("s", lambda o: better(o, x))))
+    voted = voted.select("_d", "_h", F.col("s.label").alias("own"), F.array_max("s.covered").alias("best"))
     both = base.join(voted, base["doc_id"].eqNullSafe(voted["_d"]) & (base["h"] == voted["_h"]), "left")
     none = F.array().cast("array<string>")
     return both.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"),

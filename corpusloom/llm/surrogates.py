@@ -216,9 +216,9 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", spread: str
     joined = left.join(right, ["kind", "canon", "salt"]).select("h", "raw", _layout(F.col("raw"), F.col("kind"), F.col("core")).alias("new"))
     given = found.where("kind = 'given'").select("h", "raw", _given(F.col("raw"), key).alias("new"))
     per_text = joined.unionByName(given).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias(mark))
-    per_text = cut_lineage(per_text.withColumn("_pii_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    per_text = cut_lineage(per_text.withColumnRenamed("h", "_pii_h").withColumn("_pii_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     keyed = hits.withColumn(own, F.md5(F.col(text))).withColumn("_pii_salt", F.pmod(F.xxhash64(F.col(spread).cast("string")), F.lit(salts)).cast("int"))
-    both = keyed.join(per_text, (keyed[own] == per_text["h"]) & (keyed["_pii_salt"] == per_text["_pii_salt"]))
+    both = keyed.join(per_text, (keyed[own] == per_text["_pii_h"]) & (keyed["_pii_salt"] == per_text["_pii_salt"]))
     gaps = F.split(F.col(text), PATTERN, -1)
     raws = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     rebuilt = F.concat(F.array_join(F.zip_with(gaps, raws, lambda g, r: F.concat(g, F.when(r.isNull(), F.lit("")).otherwise(F.element_at(F.col(mark), r)))), ""))

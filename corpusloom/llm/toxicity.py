@@ -196,18 +196,23 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1000.0, ro
 
 def _logistic(r: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of P(toxic | response), classes weighted evenly, slightly regularised."""
-    a, b = 5.0, -2.5
     w = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * r + b, -30, 30)))
-        g = np.array([(w * (p - y) * r).sum() + 1e-4 * a, (w * (p - y)).sum() + 1e-5 * b])
-        s = w * p * (1 - p)
-        h = np.array([[(s * r * r).sum() + 1e-4, (s * r).sum()], [(s * r).sum(), s.sum() + 1e-5]])
-        d = np.linalg.solve(h, g)
-        a, b = a - d[0], b - d[1]
-        if np.abs(d).max() < 1e-6:
+    mid, wide = r.mean(), max(float(r.std()), 1e-6)
+    x = np.stack([(r - mid) / wide, np.ones(len(r))], axis=1)
+    ridge = np.array([1e-3, 1e-6])
+    loss = lambda v: (w * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v))).sum() + (ridge * v * v).sum() / 2
+    v = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        g = x.T @ (w * (p - y)) + ridge * v
+        d = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge), g)
+        step = 1.0
+        while loss(v - step * d) > loss(v) and step > 1e-6:
+            step /= 2
+        v = v - step * d
+        if np.abs(step * d).max() < 1e-9:
             break
-    return float(a), float(b)
+    return float(v[0] / wide), float(v[1] - v[0] * mid / wide)
 
 
 def train(texts: list[str], toxic: list[int], landmarks: int = 320, rounds: int = 4, seed: int = 5) -> Machine | None:
@@ -216,8 +221,8 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 320, rounds: int
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
-    bags = [[units(s) for s in re.split(r"(?<=[.!?])\s+|\n", t)] for t in texts]
-    whole = [set().union(*b) if b else set() for b in bags]
+    one = {}
+    whole = [{one.setdefault(u, u) for s in re.split(r"(?<=[.!?])\s+|\n", t) for u in units(s)} for t in texts]
     seen = {k: Counter(u for own, l in zip(whole, y) if l == k for u in own) for k in (0, 1)}
     n1, n0 = int(y.sum()), int((y == 0).sum())
     odds = {u: np.log((c + 0.1) / n1) - np.log((seen[0][u] + 0.1) / n0) for u, c in seen[1].items() if len(u) > 2}
