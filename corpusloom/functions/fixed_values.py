@@ -77,12 +77,14 @@ CONFIDENCE_FLOOR = "Answer has very limited support from the context"
 TERM_DISTINCTIONS = [
     r"(?:different|distinct) (?:types?|categories|classifications) of [\p{L}\p{N}_\s]+",
     r"(?:not to be confused with|distinguished from|different from) [\p{L}\p{N}_\s]+",
+    r"[\p{L}\p{N}_]+ (?:refers to|means|is defined as) [^,.]+, while [\p{L}\p{N}_]+ (?:refers to|means|is defined as) [^,.]+",
+    r"[\p{L}\p{N}_]+ and [\p{L}\p{N}_]+ are (?:different|distinct) [\p{L}\p{N}_\s]+",
     r"[\p{L}\p{N}_]+ (?:is classified as|is categorized as|falls under) [\p{L}\p{N}_\s]+",
 ]
 # Pairs of words that contradict each other in one answer (general part of the list).
 CONFUSED_TERMS = [
-    (r"free.*?(?:charge|cost|fee|price)", "free items carry no charge"),
-    (r"billable.*?(?:free|no charge|no cost)", "billable items are not free"),
+    (r"\bfree\b.*?\b(?:charge|cost|fee|price)\b", "free items carry no charge"),
+    (r"\bbillable\b.*?\b(?:free|no charge|no cost)\b", "billable items are not free"),
 ]
 
 # Marks of a specific answer.

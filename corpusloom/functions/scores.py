@@ -68,18 +68,29 @@ def upper_median(df: DataFrame, keys: list[str], value: str, to: str) -> DataFra
     return at.groupBy(*keys).agg(F.min(value).alias(to))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key; the columns of ``left`` stay and those of ``right`` beyond the keys follow."""
+    renamed = right.select(*[F.col(k).alias(f"_right_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{i}")) for i, k in enumerate(keys)]
+    condition = on[0]
+    for c in on[1:]:
+        condition = condition & c
+    return left.join(renamed, condition, how).drop(*[f"_right_{i}" for i in range(len(keys))])
+
+
 def numbered(df: DataFrame, order: str, slices: Column, to: str = "seq", keys: tuple[str, ...] = ()) -> DataFrame:
     """1, 2, 3 ... in ``order`` (per ``keys``), without one task holding a whole key.
 
     ``slices`` is a value that grows with ``order`` (a day, a bucket of ids). Each slice counts its
     own rows and starts after the slices before it; only the slice counts go through one window.
+    Rows with a null key are one key, rows with a null order come first.
     """
     df = df.withColumn("_slice", slices)
     counts = df.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(order)
-    return (df.join(starts, [*keys, "_slice"])
+    return (join_null_safe(df, starts, [*keys, "_slice"])
             .withColumn(to, F.col("_start") + F.row_number().over(inside)).drop("_start", "_slice"))
 
 
@@ -93,7 +104,7 @@ def previous(df: DataFrame, keys: list[str], order: str, value: str, slices: Col
     w = Window.partitionBy(*keys).orderBy("_slice")
     before = lasts.select(*keys, "_slice", F.lag("_last").over(w).alias("_before"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(order)
-    return (df.withColumn("_lag", F.lag(value).over(inside)).join(before, [*keys, "_slice"])
+    return (join_null_safe(df.withColumn("_lag", F.lag(value).over(inside)), before, [*keys, "_slice"])
             .withColumn(to, F.coalesce("_lag", "_before")).drop("_lag", "_before", "_slice"))
 
 

@@ -248,8 +248,16 @@ def vector_store_check(vectors: DataFrame, expected_rows: int | None = None, key
 # --- similarity joins ----------------------------------------------------------------------
 
 def distinct_vectors(vectors: DataFrame, key: str) -> DataFrame:
-    """One row per different vector, named by its smallest id; equal rows fold before the shuffle."""
-    return vectors.groupBy("embedding").agg(F.min(key).alias(key)).select(key, "embedding")
+    """One row per different vector, named by its smallest id; equal rows fold before the shuffle.
+
+    Vectors without length (blank texts) are similar to nothing, so each of them stays a row of its own.
+    """
+    alone = F.when(is_zero("embedding"), F.col(key))
+    return vectors.groupBy("embedding", alone.alias("_alone")).agg(F.min(key).alias(key)).select(key, "embedding")
+
+
+def is_zero(vector: str) -> Column:
+    return ~F.exists(vector, lambda x: x != 0)
 
 
 def _pivots(vectors: DataFrame, rows: int, key: str) -> np.ndarray:
@@ -335,7 +343,9 @@ def _later_matches(left: pd.DataFrame, right: pd.DataFrame, key: str, threshold:
 
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", neighbours: int = 10) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: for each row its most similar later rows, at most
-    ``neighbours``. Equal vectors are compared once and listed as (smallest id, copy, 1.0)."""
+    ``neighbours``. Copies are one class: pairs stand between the smallest ids of classes, and (smallest id,
+    copy, 1.0) lists the members, so every pair of rows follows without a list of all pairs of copies.
+    Vectors without length are in no pair."""
     kind = vectors.schema[key].dataType.simpleString()
     unique = distinct_vectors(vectors, key)
 
@@ -348,7 +358,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", nei
 
     pairs = _block_join(unique, unique, key, threshold, kernel, f"id_a {kind}, id_b {kind}, similarity double")
     firsts = unique.withColumnRenamed(key, "id_a")
-    copies = (vectors.join(firsts, "embedding").filter(F.col(key) != F.col("id_a"))
+    copies = (vectors.filter(~is_zero("embedding")).join(firsts, "embedding").filter(F.col(key) != F.col("id_a"))
               .select("id_a", F.col(key).alias("id_b"), F.lit(1.0).alias("similarity")))
     best = S.top_k(pairs, neighbours, by="id_a", score="similarity", tie="id_b")
     return best.select("id_a", "id_b", "similarity").unionByName(copies)

@@ -90,11 +90,11 @@ def _(t):
       SELECT a.doc_id AS id_a, b.doc_id AS id_b, round(list_inner_product(a.e, b.e) + 1e-9, 6) AS similarity
       FROM uniq a JOIN uniq b ON a.doc_id < b.doc_id) WHERE similarity > 0.95
     QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY similarity DESC, id_b) <= 10
-    UNION ALL SELECT u.doc_id, e.doc_id, 1.0 FROM uniq u JOIN dense e ON e.e = u.e AND e.doc_id <> u.doc_id""",
+    UNION ALL SELECT u.doc_id, e.doc_id, 1.0 FROM uniq u JOIN dense e ON e.e = u.e AND e.doc_id <> u.doc_id AND list_inner_product(u.e, u.e) > 0""",
     doc_vec=Q.hash_vectors("documents", "doc_id", "text"),
     dense="""SELECT doc_id, list(coalesce(x, 0.0) ORDER BY i) AS e FROM (SELECT doc_id, i FROM documents, range(64) r(i))
              LEFT JOIN doc_vec ON doc_vec.doc_id = documents.doc_id AND d = i GROUP BY 1""".replace("doc_vec.doc_id = documents.doc_id AND d = i", "USING_").replace("LEFT JOIN doc_vec ON USING_", "LEFT JOIN (SELECT doc_id, d AS i, x FROM doc_vec) USING (doc_id, i)"),
-    uniq="SELECT min(doc_id) AS doc_id, e FROM dense GROUP BY 2"))
+    uniq="SELECT min(doc_id) AS doc_id, e FROM dense GROUP BY e, CASE WHEN list_inner_product(e, e) = 0 THEN doc_id END"))
 def _(t):
     return vectors.similar_pairs(_document_vectors(t), 0.95, key="doc_id")
 

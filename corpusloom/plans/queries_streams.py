@@ -80,7 +80,7 @@ def _(t):
     feedback = (_log(t).join(t.labels.select(F.col("doc_id").alias("event_id"), kind.alias("type")), "event_id"))
     out = scratch_folder(t.spark, "sink")
     rate = streams.feedback_rate(feedback)
-    streams.run_once(rate.writeStream.outputMode("update").foreachBatch(streams.upsert_batch(out)), scratch_folder(t.spark, "progress"))
+    streams.run_once(rate.writeStream.outputMode("update").foreachBatch(streams.upsert_batch(out, "start")), scratch_folder(t.spark, "progress"))
     return _plain_time(streams.read_upserted(t.spark, out, "start"), "start")
 
 

@@ -75,9 +75,17 @@ def document_manifest(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def read_jsonl_log(spark: SparkSession, path: str, schema=schemas.QUERY_LOG) -> DataFrame:
-    """Log entries; lines that are no JSON are skipped and routing events (with an event_type) left out."""
-    return (spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-            .filter("event_type IS NULL AND query_hash IS NOT NULL").drop("event_type"))
+    """Log entries of any of the log schemas; lines that are no JSON or hold none of the schema's plain fields are
+    skipped, and so are routing events (with an event_type) where the schema has them."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    plain = [F.col(f.name).cast("string") for f in rows.schema.fields if f.dataType.typeName() not in ("struct", "array", "map") and f.name != "event_type"]
+    rows = rows.filter(F.coalesce(*plain).isNotNull())
+    return rows.filter("event_type IS NULL").drop("event_type") if "event_type" in rows.columns else rows
+
+
+def read_feedback_log(spark: SparkSession, path: str) -> DataFrame:
+    """Feedback entries of a JSON-lines log."""
+    return read_jsonl_log(spark, path, schemas.FEEDBACK)
 
 
 def read_qa(spark: SparkSession, paths: dict[str, str], multi_line: bool = True) -> DataFrame:

@@ -24,13 +24,27 @@ def dimension(vectors: DataFrame) -> int | None:
     return row["lo"]
 
 
+def stored_dimension(spark: SparkSession, path: str) -> int | None:
+    """The dimension of a store, from one of its rows; None if there is no store at the path.
+
+    Anything else that cannot be read (other columns, broken files) is an error and not an empty store.
+    """
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    if "embedding" not in stored.columns:
+        raise ValueError(f"{path} holds columns {stored.columns} and no embedding; it is left as it is")
+    row = stored.select(F.size("embedding").alias("n")).where("embedding IS NOT NULL").first()
+    return row["n"] if row else None
+
+
 def update_store(spark: SparkSession, path: str, new: DataFrame, append: bool = True) -> str:
     """Append to or replace a store; vectors of another dimension replace it. Returns what was done."""
     dims = dimension(new)
-    try:
-        old = dimension(spark.read.parquet(path))
-    except AnalysisException:
-        old = None
+    old = stored_dimension(spark, path)
     mode = "append" if append and old is not None and old == dims else "overwrite"
     new.write.mode(mode).parquet(path)
     return mode

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as T
 from ..operators import chunking, lexical
@@ -69,9 +70,30 @@ def sessions(log: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> D
 # A store of upserts is a folder with one part per batch. A batch that is run again after a failure
 # replaces its own part and nothing else, so it counts once. Readers take the row of the latest batch.
 
-def upsert_batch(path: str) -> Callable[[DataFrame, int], None]:
+def next_batch(spark: SparkSession, path: str) -> int:
+    """One more than the largest batch of a store (0 for a new one): the ``first`` of a stream with a new checkpoint."""
+    try:
+        rows = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return 0
+        raise
+    return int(rows.agg(F.max("batch")).first()[0]) + 1
+
+
+def upsert_batch(path: str, key: str = "chunk_id", order: str | None = None, first: int = 0) -> Callable[[DataFrame, int], None]:
+    """Writer of one part per batch, with one row per key.
+
+    Of several rows of a key in one batch the one of largest ``order`` stays, and of equal ones (or without an
+    order) the largest row, so the result does not depend on the order of arrival. A stream that starts with a
+    new checkpoint counts batches from 0 again and must pass ``first=next_batch(...)``, which keeps older parts.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        columns = [c for c in batch.columns if c != key]
+        row = F.struct(*columns)
+        by = F.struct(order, row) if order else row
+        latest = batch.groupBy(key).agg(F.max_by(row, by).alias("r")).select(key, "r.*")
+        latest.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={first + batch_id}")
     return write
 
 

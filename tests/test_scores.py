@@ -46,3 +46,12 @@ def test_upper_median(df):
 def test_top_k_breaks_ties_by_id(spark):
     df = spark.createDataFrame([(0, "b", 1.0), (0, "a", 1.0), (0, "c", 2.0)], "query_id long, chunk_id string, score double")
     assert [r["chunk_id"] for r in S.top_k(df, 2).orderBy("rank").collect()] == ["c", "a"]
+
+
+def test_null_keys_are_numbered_too(spark):
+    from corpusloom.functions import scores as S
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4), ("a", None)], "k string, o int")
+    out = S.numbered(rows, "o", F.floor(F.col("o") / 10), keys=("k",))
+    assert sorted(((r["k"] or "", r["o"] or 0, r["seq"]) for r in out.collect())) == [("", 3, 1), ("", 4, 2), ("a", 0, 1), ("a", 1, 2), ("a", 2, 3)]
+    lag = S.previous(rows, ["k"], "o", "o", F.floor(F.col("o") / 10), "before")
+    assert sorted(((r["k"] or "", r["o"] or 0, r["before"]) for r in lag.collect()), key=str) == [("", 3, None), ("", 4, 3), ("a", 0, None), ("a", 1, None), ("a", 2, 1)]

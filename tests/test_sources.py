@@ -64,3 +64,21 @@ def test_questions_follow_turns(spark):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="chunk_id"):
         schemas.need(spark.range(1), "id", "chunk_id")
+
+
+def test_update_store_keeps_what_it_cannot_read(spark, tmp_path):
+    import pytest
+    path = str(tmp_path / "other")
+    spark.range(5).write.parquet(path)
+    new = spark.createDataFrame([(1, [1.0, 2.0])], "id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        sinks.update_store(spark, path, new)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_feedback_log_and_entries_without_hash(spark, tmp_path):
+    (tmp_path / "f.jsonl").write_text('{"feedback_id": "1", "feedback": {"type": "positive"}}\nno json\n')
+    rows = readers.read_feedback_log(spark, str(tmp_path / "f.jsonl")).collect()
+    assert [(r["feedback_id"], r["feedback"]["type"]) for r in rows] == [("1", "positive")]
+    (tmp_path / "q.jsonl").write_text('{"query": "a"}\n{"event_type": "route", "query": "b"}\nbroken\n')
+    assert [r["query"] for r in readers.read_jsonl_log(spark, str(tmp_path / "q.jsonl")).collect()] == ["a"]

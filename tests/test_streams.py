@@ -64,3 +64,12 @@ def test_upserts_take_the_latest_batch_and_repeat_safely(spark, tmp_path):
     assert {r["chunk_id"]: r["v"] for r in streams.read_upserted(spark, path).collect()} == want
     streams.compact(spark, path, str(tmp_path / "small"))
     assert {r["chunk_id"]: r["v"] for r in streams.read_upserted(spark, str(tmp_path / "small")).collect()} == want
+
+
+def test_upserts_of_one_batch_and_of_a_new_checkpoint(spark, tmp_path):
+    path = str(tmp_path / "ups")
+    rows = lambda *r: spark.createDataFrame(list(r), "chunk_id string, v int, at int")
+    streams.upsert_batch(path, order="at")(rows(("a", 1, 2), ("a", 9, 1), ("b", 3, 1)), 0)
+    first = streams.next_batch(spark, path)
+    streams.upsert_batch(path, order="at", first=first)(rows(("b", 4, 1)), 0)
+    assert first == 1 and {r["chunk_id"]: r["v"] for r in streams.read_upserted(spark, path).collect()} == {"a": 1, "b": 4}

@@ -104,3 +104,11 @@ def test_pair_bands(spark):
     pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "a long, b long")
     got = {r["b"]: r["band"] for r in X.pair_similarity(pairs, v, "vec_id").collect()}
     assert got == {1: "HIGH", 2: "MEDIUM", 3: "LOW"}
+
+
+def test_vectors_without_length_are_similar_to_nothing(spark):
+    from corpusloom.operators import dedup
+    rows = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.99, 0.1])], "vec_id long, embedding array<double>")
+    assert sorted(r["vec_id"] for r in dedup.semantic_dedup(rows, 0.9, key="vec_id").collect()) == [0, 1, 2]
+    pairs = {(r["id_a"], r["id_b"]) for r in X.similar_pairs(rows, 0.9).collect()}
+    assert pairs == {(2, 3), (2, 4)}
