@@ -101,8 +101,10 @@ def top_k_products(rows: DataFrame, weights: DataFrame, k: int, field: str,
                     hit = col >= 0
                     m = np.zeros((batch.num_rows, len(wanted)))
                     m[row[hit], col[hit]] = amount[hit]
-                    scores = np.round(m @ dense, 6)
-                    match = (m != 0) @ seen > 0 if seen is not None else scores != 0
+                    raw = m @ dense
+                    # a hit shares a term, also where its score rounds to 0
+                    match = (m != 0) @ seen > 0 if seen is not None else raw != 0
+                    scores = np.round(raw, 6)
                     for q in range(dense.shape[1]):
                         ok = match[:, q]
                         best.add(at + q, scores[ok, q], ids[ok])

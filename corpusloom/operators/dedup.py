@@ -67,21 +67,21 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 MOST_HITS = 500
 
 
-def per_query(hits: DataFrame, run, schema: str) -> DataFrame:
+def per_query(hits: DataFrame, run, schema: str, most_hits: int = MOST_HITS) -> DataFrame:
     """Grouped map over the hits of one query, which are bounded by the fetch depth.
 
     The work per query is heavy and its rows are few, so queries are spread by number of tasks and not
-    by size.
+    by size. More than ``most_hits`` hits are an error.
     """
     def checked(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_HITS:
-            raise ValueError(f"{len(pdf)} hits for one query; cut them to {MOST_HITS} first")
+        if len(pdf) > most_hits:
+            raise ValueError(f"{len(pdf)} hits for one query; cut them to {most_hits} first")
         return run(pdf)
     tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return hits.repartition(tasks, "query_id").groupBy("query_id").applyInPandas(checked, schema)
 
 
-def dedup_context(hits: DataFrame, threshold: float = 0.8, shortest: int = 50) -> DataFrame:
+def dedup_context(hits: DataFrame, threshold: float = 0.8, shortest: int = 50, most_hits: int = MOST_HITS) -> DataFrame:
     """Best first, drop a hit too much like a kept one (sequence ratio or containment).
 
     Texts below ``shortest`` characters match nothing. Needs (query_id, chunk_id, rank, text).
@@ -110,7 +110,7 @@ def dedup_context(hits: DataFrame, threshold: float = 0.8, shortest: int = 50) -
 
     q = hits.schema["query_id"].dataType.simpleString()
     return per_query(ready.select("query_id", "chunk_id", "rank", "text", "norm"), run,
-                     f"query_id {q}, chunk_id string, rank int")
+                     f"query_id {q}, chunk_id string, rank int", most_hits)
 
 
 def dedup_hits(hits: DataFrame, limit: float = 0.6) -> DataFrame:

@@ -20,6 +20,8 @@ from ..session import has_at_most
 BROADCAST_QUERIES = 8192
 # Rows of one side in one task of a block join.
 BLOCK_ROWS = 20_000
+# Scores that a task holds at once (64 MB).
+TILE = 8_000_000
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -52,40 +54,34 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def _scan_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str, probe: bool) -> DataFrame:
+def _scan_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str) -> DataFrame:
     """One pass over the vectors; each task keeps k hits per query. Queries are bounded."""
     # At most BROADCAST_QUERIES rows: the caller has counted them.
-    block = queries.select("query_id", "embedding", *(["cells"] if probe else [])).toPandas()
+    block = queries.select("query_id", "embedding").toPandas()
     shared = vectors.sparkSession.sparkContext.broadcast((
-        block["query_id"].to_numpy(), _matrix(block["embedding"]) if len(block) else np.zeros((0, 0)),
-        [set(c) for c in block["cells"]] if probe else None))
+        block["query_id"].to_numpy(), _matrix(block["embedding"]) if len(block) else np.zeros((0, 0))))
     id_type = vectors.schema[key].dataType.simpleString()
     q_type = queries.schema["query_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q_mat, q_cells = shared.value
+        q_ids, q_mat = shared.value
         kept: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(q_ids)
-        for pdf in batches:
-            if not len(pdf) or not len(q_ids):
-                continue
-            ids, mat = pdf[key].to_numpy(), _matrix(pdf["embedding"])
-            cells = pdf["cell"].to_numpy() if probe else None
-            sims = _round(q_mat @ mat.T)
-            for q in range(len(q_ids)):
-                s, i = sims[q], ids
-                if probe:
-                    mine = np.isin(cells, list(q_cells[q]))
-                    s, i = s[mine], i[mine]
-                if kept[q] is not None:
-                    s, i = np.concatenate([kept[q][0], s]), np.concatenate([kept[q][1], i])
-                at = _best(s, i, k)
-                kept[q] = (s[at], i[at])
+        step = max(1, TILE // max(1, len(q_ids)))
+        for whole in batches:
+            for start in range(0, len(whole) if len(q_ids) else 0, step):
+                pdf = whole.iloc[start:start + step]
+                ids, sims = pdf[key].to_numpy(), _round(q_mat @ _matrix(pdf["embedding"]).T)
+                for q in range(len(q_ids)):
+                    s, i = sims[q], ids
+                    if kept[q] is not None:
+                        s, i = np.concatenate([kept[q][0], s]), np.concatenate([kept[q][1], i])
+                    at = _best(s, i, k)
+                    kept[q] = (s[at], i[at])
         for q, hit in enumerate(kept):
             if hit is not None and len(hit[0]):
                 yield pd.DataFrame({"query_id": q_ids[q], key: hit[1], "score": hit[0]})
 
-    columns = [key, "embedding"] + (["cell"] if probe else [])
-    found = vectors.select(*columns).mapInPandas(
+    found = vectors.select(key, "embedding").mapInPandas(
         run, f"query_id {q_type}, `{key}` {id_type}, score double")
     return S.top_k(found, k, tie=key)
 
@@ -104,29 +100,34 @@ def _grid_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str) -> Dat
     id_type = vectors.schema[key].dataType.simpleString()
     q_type = queries.schema["query_id"].dataType.simpleString()
 
+    found = (left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
+             .applyInPandas(_block_top_k(k, key), f"query_id {q_type}, `{key}` {id_type}, score double"))
+    return S.top_k(found, k, tie=key)
+
+
+def _block_top_k(k: int, key: str):
+    """Best rows of one block of vectors for one block of queries, in tiles of ``TILE`` scores."""
     def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(v):
-            ids, sims = v[key].to_numpy(), _round(_matrix(q["embedding"]) @ _matrix(v["embedding"]).T)
-            for row, q_id in enumerate(q["query_id"]):
-                at = _best(sims[row], ids, k)
-                out.append(pd.DataFrame({"query_id": q_id, key: ids[at], "score": sims[row][at]}))
+            ids, mat, q_ids, q_mat = v[key].to_numpy(), _matrix(v["embedding"]), q["query_id"].to_numpy(), _matrix(q["embedding"])
+            step = max(1, TILE // len(ids))
+            for start in range(0, len(q_ids), step):
+                for q_id, row in zip(q_ids[start:start + step], _round(q_mat[start:start + step] @ mat.T)):
+                    at = _best(row, ids, k)
+                    out.append(pd.DataFrame({"query_id": q_id, key: ids[at], "score": row[at]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "score": []})
-
-    found = (left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
-             .applyInPandas(run, f"query_id {q_type}, `{key}` {id_type}, score double"))
-    return S.top_k(found, k, tie=key)
+    return run
 
 
 def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """hits(query_id, key, score, rank): the k most similar vectors of every query."""
     if has_at_most(queries, BROADCAST_QUERIES):
-        return _scan_top_k(queries, vectors, k, key, probe=False)
+        return _scan_top_k(queries, vectors, k, key)
     return _grid_top_k(queries, vectors, k, key)
 
 
 PROBES = {"low": 10, "medium": 20, "high": 50}
-FLAT_BELOW = 1000
 
 
 def cell_count(rows: int) -> int:
@@ -148,14 +149,13 @@ def assign_cells(vectors: DataFrame, cells: int, key: str, seed: int = 42) -> tu
 
 
 def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id",
-            recall: str = "medium") -> DataFrame:
+            recall: str = "medium", flat_below: int = 0) -> DataFrame:
     """Approximate top-k: only the ``nprobe`` cells nearest to a query are scored.
 
-    Below 1,000 vectors the exact scan is used. A task skips the (query, row) pairs whose cell the
-    query does not probe, so a cell of any size is spread over all tasks that hold a part of it.
+    With ``flat_below`` a collection of fewer vectors is searched exactly.
     """
     rows = vectors.count()
-    if rows < FLAT_BELOW:
+    if rows < max(flat_below, 4):
         return knn_exact(queries, vectors, k, key)
     celled, centroids = assign_cells(vectors, cell_count(rows), key)
     return probe_cells(queries, celled, centroids, k, key, PROBES[recall])
@@ -163,9 +163,11 @@ def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id
 
 def probe_cells(queries: DataFrame, celled: DataFrame, centroids: np.ndarray, k: int, key: str,
                 nprobe: int) -> DataFrame:
-    """Search a store that already has a cell column."""
-    if not has_at_most(queries, BROADCAST_QUERIES):
-        raise ValueError(f"split the queries into parts of at most {BROADCAST_QUERIES}")
+    """Search a store that already has a cell column, for any number of queries.
+
+    A query goes to the cells it probes and meets no vector of the others. Large cells are cut into blocks
+    of at most about ``BLOCK_ROWS`` queries and vectors.
+    """
     centres = _unit(centroids)
     probes = min(nprobe, len(centres))
 
@@ -174,7 +176,25 @@ def probe_cells(queries: DataFrame, celled: DataFrame, centroids: np.ndarray, k:
         order = np.argsort(-(_matrix(v) @ centres.T), axis=1, kind="stable")[:, :probes]
         return pd.Series(list(order.astype("int32")))
 
-    return _scan_top_k(queries.withColumn("cells", nearest("embedding")), celled, k, key, probe=True)
+    asked = queries.select("query_id", "embedding", F.explode(nearest("embedding")).alias("cell"))
+    sizes = (asked.select("cell", F.lit(1).alias("q"), F.lit(0).alias("v"))
+             .union(celled.select("cell", F.lit(0).alias("q"), F.lit(1).alias("v")))
+             .groupBy("cell").agg(F.ceil(F.sum("q") / BLOCK_ROWS).cast("int").alias("qn"),
+                                  F.ceil(F.sum("v") / BLOCK_ROWS).cast("int").alias("vn"))
+             .filter("qn > 0 and vn > 0"))  # one row per cell, at most 256
+
+    def spread(df: DataFrame, own: str, own_n: str, other: str, other_n: str, by: str) -> DataFrame:
+        return (df.join(F.broadcast(sizes), "cell").withColumn(own, F.pmod(F.xxhash64(by), F.col(own_n)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
+                .select("cell", "qb", "vb", by, "embedding"))
+
+    grid = ["cell", "qb", "vb"]
+    left, right = spread(asked, "qb", "qn", "vb", "vn", "query_id"), spread(celled, "vb", "vn", "qb", "qn", key)
+    id_type = celled.schema[key].dataType.simpleString()
+    q_type = queries.schema["query_id"].dataType.simpleString()
+    found = (left.groupBy(*grid).cogroup(right.groupBy(*grid))
+             .applyInPandas(_block_top_k(k, key), f"query_id {q_type}, `{key}` {id_type}, score double"))
+    return S.top_k(found, k, tie=key)
 
 
 def pair_similarity(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
@@ -343,25 +363,26 @@ def _later_matches(left: pd.DataFrame, right: pd.DataFrame, key: str, threshold:
 
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", neighbours: int = 10) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: for each row its most similar later rows, at most
-    ``neighbours``. Copies are one class: pairs stand between the smallest ids of classes, and (smallest id,
-    copy, 1.0) lists the members, so every pair of rows follows without a list of all pairs of copies.
-    Vectors without length are in no pair."""
+    ``neighbours``. Copies are rows like any other; each block keeps ``neighbours`` rows of a row, so a large
+    group of copies costs rows, not pairs. Vectors without length are in no pair."""
     kind = vectors.schema[key].dataType.simpleString()
-    unique = distinct_vectors(vectors, key)
+    rows = vectors.filter(~is_zero("embedding")).select(key, "embedding")
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"id_a": a, "id_b": b, "similarity": s})
-               .sort_values(["id_a", "similarity", "id_b"], ascending=[True, False, True])
-               .groupby("id_a").head(neighbours)
-               for a, b, s in _later_matches(left, right, key, threshold)]
+        out = []
+        if len(left) and len(right):
+            l_ids, r_ids, r_mat = left[key].to_numpy(), right[key].to_numpy(), _matrix(right["embedding"])
+            for at in range(0, len(left), 512):
+                sims = _round(_matrix(left["embedding"].iloc[at:at + 512]) @ r_mat.T)
+                for a, row in zip(l_ids[at:at + 512], sims):
+                    later = np.flatnonzero((row > threshold) & (r_ids > a))
+                    if len(later):
+                        best = later[_best(row[later], r_ids[later], neighbours)]
+                        out.append(pd.DataFrame({"id_a": a, "id_b": r_ids[best], "similarity": row[best]}))
         return pd.concat(out) if out else pd.DataFrame({"id_a": [], "id_b": [], "similarity": []})
 
-    pairs = _block_join(unique, unique, key, threshold, kernel, f"id_a {kind}, id_b {kind}, similarity double")
-    firsts = unique.withColumnRenamed(key, "id_a")
-    copies = (vectors.filter(~is_zero("embedding")).join(firsts, "embedding").filter(F.col(key) != F.col("id_a"))
-              .select("id_a", F.col(key).alias("id_b"), F.lit(1.0).alias("similarity")))
-    best = S.top_k(pairs, neighbours, by="id_a", score="similarity", tie="id_b")
-    return best.select("id_a", "id_b", "similarity").unionByName(copies)
+    pairs = _block_join(rows, rows, key, threshold, kernel, f"id_a {kind}, id_b {kind}, similarity double")
+    return S.top_k(pairs, neighbours, by="id_a", score="similarity", tie="id_b").select("id_a", "id_b", "similarity")
 
 
 def first_similar(left: DataFrame, right: DataFrame, threshold: float, key: str) -> DataFrame:

@@ -74,37 +74,57 @@ def _document_vectors(t):
     return encoders.embed(docs, encoders.hashing_encoder(64), dims=64).select("doc_id", "embedding")
 
 
+DENSE = {
+    "doc_vec": Q.hash_vectors("documents", "doc_id", "text"),
+    "dense": """
+      SELECT doc_id, list(coalesce(x, 0.0) ORDER BY i) AS e FROM (SELECT doc_id, i FROM documents, range(64) r(i))
+      LEFT JOIN (SELECT doc_id, d AS i, x FROM doc_vec) USING (doc_id, i) GROUP BY 1""",
+    "vecs": "SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings",
+}
+
+
+def _later(table: str, key: str, threshold: float) -> str:
+    """All pairs of rows above the threshold; a vector without length is similar to nothing."""
+    return f"""
+      SELECT id_a, id_b, similarity FROM (
+        SELECT a.{key} AS id_a, b.{key} AS id_b,
+               round(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) + 1e-9, 6) AS similarity
+        FROM {table} a JOIN {table} b ON a.{key} < b.{key}
+        WHERE list_inner_product(a.e, a.e) > 0 AND list_inner_product(b.e, b.e) > 0) WHERE similarity > {threshold}"""
+
+
+def _greedy(table: str, key: str, threshold: float) -> str:
+    """Rows in key order; a row stays if no kept row is similar to it."""
+    return Q.sql(f"""
+      SELECT unnest(kept) AS {key} FROM (SELECT kept FROM greedy ORDER BY n DESC LIMIT 1)""",
+      pairs=_later(table, key, threshold),
+      lined=f"""SELECT {key} AS id, row_number() OVER (ORDER BY {key}) AS n, coalesce(before, []) AS before FROM {table}
+                LEFT JOIN (SELECT id_b, list(id_a) AS before FROM pairs GROUP BY 1) ON id_b = {key}""",
+      greedy="""SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL
+                SELECT l.n, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, id) END FROM greedy g JOIN lined l ON l.n = g.n + 1""",
+      **DENSE)
+
+
 @query("h1_similar_pairs", Q.sql("""
-    SELECT id_a, id_b, similarity FROM (
-      SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding, b.embedding) + 1e-9, 6) AS similarity
-      FROM uniq a JOIN uniq b ON a.vec_id < b.vec_id) WHERE similarity > 0.35
-    QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY similarity DESC, id_b) <= 10
-    UNION ALL SELECT u.vec_id, e.vec_id, 1.0 FROM uniq u JOIN embeddings e ON e.embedding::DOUBLE[] = u.embedding AND e.vec_id <> u.vec_id""",
-    uniq="SELECT min(vec_id) AS vec_id, embedding::DOUBLE[] AS embedding FROM embeddings GROUP BY 2"))
+    SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY similarity DESC, id_b) <= 10""",
+    pairs=_later("vecs", "vec_id", 0.35), **DENSE))
 def _(t):
     return vectors.similar_pairs(t.embeddings, 0.35)
 
 
 @query("h1_similar_documents", Q.sql("""
-    SELECT * FROM (
-      SELECT a.doc_id AS id_a, b.doc_id AS id_b, round(list_inner_product(a.e, b.e) + 1e-9, 6) AS similarity
-      FROM uniq a JOIN uniq b ON a.doc_id < b.doc_id) WHERE similarity > 0.95
-    QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY similarity DESC, id_b) <= 10
-    UNION ALL SELECT u.doc_id, e.doc_id, 1.0 FROM uniq u JOIN dense e ON e.e = u.e AND e.doc_id <> u.doc_id AND list_inner_product(u.e, u.e) > 0""",
-    doc_vec=Q.hash_vectors("documents", "doc_id", "text"),
-    dense="""SELECT doc_id, list(coalesce(x, 0.0) ORDER BY i) AS e FROM (SELECT doc_id, i FROM documents, range(64) r(i))
-             LEFT JOIN doc_vec ON doc_vec.doc_id = documents.doc_id AND d = i GROUP BY 1""".replace("doc_vec.doc_id = documents.doc_id AND d = i", "USING_").replace("LEFT JOIN doc_vec ON USING_", "LEFT JOIN (SELECT doc_id, d AS i, x FROM doc_vec) USING (doc_id, i)"),
-    uniq="SELECT min(doc_id) AS doc_id, e FROM dense GROUP BY e, CASE WHEN list_inner_product(e, e) = 0 THEN doc_id END"))
+    SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY similarity DESC, id_b) <= 10""",
+    pairs=_later("dense", "doc_id", 0.95), **DENSE))
 def _(t):
     return vectors.similar_pairs(_document_vectors(t), 0.95, key="doc_id")
 
 
-@query("h2_semantic_dedup")
+@query("h2_semantic_dedup", _greedy("vecs", "vec_id", 0.35))
 def _(t):
     return dedup.semantic_dedup(t.embeddings.select("vec_id", "embedding"), 0.35, key="vec_id")
 
 
-@query("h2_semantic_dedup_documents")
+@query("h2_semantic_dedup_documents", _greedy("dense", "doc_id", 0.95))
 def _(t):
     return dedup.semantic_dedup(_document_vectors(t), 0.95, key="doc_id")
 

@@ -42,8 +42,9 @@ def test_k_above_corpus_size(spark):
     assert X.knn_exact(frame(spark, v[:1], "query_id"), frame(spark, v), 10, "vec_id").count() == 3
 
 
-def test_cells_find_most_of_the_exact_hits(spark, clustered, monkeypatch):
-    monkeypatch.setattr(X, "FLAT_BELOW", 10)
+@pytest.mark.parametrize("block", [20_000, 15])
+def test_cells_find_most_of_the_exact_hits(spark, clustered, monkeypatch, block):
+    monkeypatch.setattr(X, "BLOCK_ROWS", block)
     q = clustered[::25]
     got = {(r["query_id"], r["vec_id"]) for r in X.knn_ivf(
         frame(spark, q, "query_id"), frame(spark, clustered), 10, "vec_id", recall="low").collect()}
@@ -111,4 +112,10 @@ def test_vectors_without_length_are_similar_to_nothing(spark):
     rows = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.99, 0.1])], "vec_id long, embedding array<double>")
     assert sorted(r["vec_id"] for r in dedup.semantic_dedup(rows, 0.9, key="vec_id").collect()) == [0, 1, 2]
     pairs = {(r["id_a"], r["id_b"]) for r in X.similar_pairs(rows, 0.9).collect()}
-    assert pairs == {(2, 3), (2, 4)}
+    assert pairs == {(2, 3), (2, 4), (3, 4)}
+
+
+def test_copies_count_within_the_neighbours(spark):
+    rows = frame(spark, np.array([[1.0, 0.0]] * 5 + [[0.99, 0.1]]))
+    pairs = sorted((r["id_a"], r["id_b"]) for r in X.similar_pairs(rows, 0.9, neighbours=2).collect())
+    assert pairs == [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (3, 5), (4, 5)]
