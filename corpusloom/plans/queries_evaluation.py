@@ -24,8 +24,7 @@ ROWS = {
     "plan_hits": "SELECT 'bm25' AS plan, query_id, chunk_id, score, rank FROM bm10 UNION ALL SELECT 'vector', query_id, chunk_id, score, rank FROM vec10",
     "scaled": """SELECT *, CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE 0 END AS s
                  FROM plan_hits JOIN chunks USING (chunk_id) WINDOW w AS (PARTITION BY plan, query_id)""",
-    "lat": """SELECT CASE event_type WHEN 'view' THEN 'bm25' WHEN 'click' THEN 'vector' END AS plan, user_id AS query_id,
-                     avg(value) / 100 AS latency FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2""",
+    "lat": f"SELECT plan, user_id AS query_id, avg(value) / 100 AS latency FROM events, (SELECT unnest({PLANS}) AS plan) GROUP BY 1, 2",
     "eval_rows": f"""
       SELECT plan || '-' || k AS config_id, plan, k, query_id, query, answer, context, coalesce(latency, 0) AS latency,
              coalesce(similarity, 0) AS similarity, coalesce(feedback, 'neutral') AS feedback, answer IS NULL AS error
@@ -71,14 +70,17 @@ CONTENT = {**LOGS, "ctx": BM_CTX, "shown": "SELECT query_id, rank, chunk_id, tex
            "bm_best": "SELECT query_id, text AS answer FROM shown WHERE rank = 1"}
 
 
+def latency_of(t):
+    return t.events.groupBy(F.col("user_id").alias("query_id")).agg((F.avg("value") / 100).alias("latency"))
+
+
 def scored_of(t):
     docs = F.split_part("chunk_id", F.lit("-"), F.lit(1)).cast("long")
     hits = (t.bm25_hits(10).withColumn("plan", F.lit("bm25"))
             .unionByName(t.vector_hits(10).withColumn("plan", F.lit("vector"))))
     hits = hits.join(t.chunks.select("chunk_id", "text"), "chunk_id").withColumn("doc_id", docs)
-    plan = F.when(F.col("event_type") == "view", "bm25").when(F.col("event_type") == "click", "vector")
-    latency = (t.events.filter("event_type in ('view', 'click')").groupBy(plan.alias("plan"), F.col("user_id").alias("query_id"))
-               .agg((F.avg("value") / 100).alias("latency")))
+    # the tables hold no times of single plans: both have the mean over all events of a user
+    latency = latency_of(t).withColumn("plan", F.explode(F.array(*[F.lit(p) for p in PLANS])))
     feedback = t.labels.select("doc_id", F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative").alias("feedback"))
     return E.score_rows(E.eval_rows(t.queries, hits, latency, feedback, KS, PLANS))
 
@@ -472,9 +474,7 @@ GATE = {**CONTENT, "lat": ROWS["lat"], "gate": f"""
 
 
 def gate_of(t):
-    latency = (t.events.filter("event_type = 'view'").groupBy(F.col("user_id").alias("query_id"))
-               .agg((F.avg("value") / 100).alias("latency")))
-    answers = shown_of(t).filter("rank = 1").join(latency, "query_id", "left").select(
+    answers = shown_of(t).filter("rank = 1").join(latency_of(t), "query_id", "left").select(
         "query_id", F.col("text").alias("answer"), F.coalesce("latency", F.lit(0.0)).alias("latency"))
     return E.answer_gate(answers, expectations_of(t))
 

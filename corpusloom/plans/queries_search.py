@@ -164,6 +164,7 @@ ALL_PLANS = " UNION ALL ".join(f"SELECT query_id, chunk_id, score, rank, '{name}
 
 
 def corpus_of(t) -> search.Corpus:
+    t.store()
     return search.Corpus(t.chunks, t.chunk_vectors, t.index(), t.sparse_texts)
 
 
@@ -222,7 +223,18 @@ def _(t):
     return search.run_plans(names, corpus_of(t), questions_of(t), 10)
 
 
-@query("f8_dedup_hits")
+@query("f8_dedup_hits", Q.sql("""
+    SELECT query_id, chunk_id, score, rank FROM bm10 JOIN (SELECT query_id, arg_max(kept, n) AS kept FROM folded GROUP BY 1) USING (query_id)
+    WHERE list_contains(kept, rank)""",
+    shown="SELECT query_id, rank, text FROM bm10 JOIN chunks USING (chunk_id)",
+    alike=f"""
+      SELECT x.query_id, y.rank, list(x.rank) AS before FROM shown x JOIN shown y ON x.query_id = y.query_id AND x.rank < y.rank
+      WHERE {Q.jaccard('x.text', 'y.text')} > 0.6 GROUP BY 1, 2""",
+    lined="SELECT query_id, rank, coalesce(before, []::INT[]) AS before FROM shown LEFT JOIN alike USING (query_id, rank)",
+    folded="""
+      SELECT query_id, 0 AS n, []::INT[] AS kept FROM queries UNION ALL
+      SELECT f.query_id, l.rank, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, l.rank) END
+      FROM folded f JOIN lined l ON l.query_id = f.query_id AND l.rank = f.n + 1"""))
 def _(t):
     return fusion_dedup(t)
 

@@ -36,7 +36,16 @@ class Tables:
     @property
     def chunks(self) -> DataFrame:
         """(doc_id, source, lang, chunk_index, text, chunk_id) of all documents, valid chunks only."""
-        return chunking.filter_valid_chunks(self.raw_chunks)
+        return self._indexes.get("chunks") or chunking.filter_valid_chunks(self.raw_chunks)
+
+    def store(self) -> "Tables":
+        """Write the chunks and their vectors once; every later part of this object reads them."""
+        for name in ("chunks", "chunk_vectors"):
+            if name not in self._indexes:
+                path = scratch_folder(self.spark, name)
+                getattr(self, name).write.parquet(path)
+                self._indexes[name] = self.spark.read.parquet(path)
+        return self
 
     def index(self, words=T.tokens) -> lexical.TermIndex:
         """The stored term index of the chunks; written at its first use."""
@@ -46,7 +55,7 @@ class Tables:
 
     @property
     def chunk_vectors(self) -> DataFrame:
-        return (encoders.embed(self.chunks.select("chunk_id", "text"), encoders.hashing_encoder(DIMS), dims=DIMS)
+        return self._indexes.get("chunk_vectors") or (encoders.embed(self.chunks.select("chunk_id", "text"), encoders.hashing_encoder(DIMS), dims=DIMS)
                 .select("chunk_id", "embedding"))
 
     @property

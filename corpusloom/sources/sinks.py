@@ -7,7 +7,8 @@ from pyspark.sql.utils import AnalysisException
 
 
 def save_chunk_store(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Replace a store. Spark's commit protocol makes readers see the old or the new one."""
+    """Replace a store. The old files are removed before the new ones are committed: a run that fails in
+    between leaves no store, so write to a new path and switch readers where that matters."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
