@@ -4,7 +4,8 @@ Detection is one regular expression over whole texts. Every distinct entity of t
 a function of the secret key, its type, its canonical form and an attempt number, so all mentions of an entity
 change alike (coreference). A collision check compares the surrogates of all distinct entities: two entities
 may not share one and a surrogate may not be an entity that occurs in the corpus (given names of the
-lists apart, which are permuted among themselves). Losers take the next attempt until none is left.
+lists apart, which are permuted among themselves). Losers take the next attempt until none is left; after
+``PLAIN`` attempts their surrogates get longer with every further one, so small formats never run out.
 
 Everything is DataFrame functions. Only distinct entities are shuffled to find surrogates; texts without an
 entity are never shuffled.
@@ -20,7 +21,8 @@ from corpusloom.session import cut_lineage
 
 from . import common
 
-ATTEMPTS = 24
+#: Attempts in the entity's own format; later ones are one character (or syllable) longer each.
+PLAIN = 8
 #: Given names by script and gender (fixed values). A name is replaced by another of its own list.
 GIVEN = {
     "latin_female": "Anna Maria Julia Laura Sophie Emma Clara Lucia Elena Camille Ingrid Katharina Isabel Carmen Alice Margaret".split(),
@@ -34,6 +36,17 @@ TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Se
 #: Endings of surnames that show a gender; they stay.
 GENDERED = "(ova|eva|ska|ov|ev|ski|ова|ева|ина|ская|ов|ев|ин|ский|πούλου|ίδου|όπουλος|ίδης)$"
 ALPHABETS = {"digit": "0123456789", "hex": "0123456789abcdef", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+#: Characters outside ASCII by class, the first that holds; letters of other scripts become Latin ones.
+OTHERS = [(r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя"),
+          (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"), (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
+          (r"[\p{IsLatin}&&\p{Lu}]", "ÀÁÂÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ"), (r"\p{IsLatin}", "àáâäåçèéêëìíîïñòóôöùúûü"),
+          (r"\p{IsHan}", "一丁七三上下不中主九也了事二于五人今他以们会位住何作使来便保信個先光入全公六其具内再出分前力"),
+          (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ"),
+          (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ"),
+          (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후"),
+          (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"), (r"\p{N}", "0123456789")]
+#: What the other characters of a secret become.
+SYMBOLS = "!#$%&*+-./:=?@^_|~"
 #: Consonants and vowels of made-up names, by script.
 SOUNDS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρστ", "αειου")}
 
@@ -91,14 +104,27 @@ def _places(c: Column) -> Column:
     return F.when(F.length(c) > 0, F.sequence(F.lit(0), F.length(c) - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _like(c: Column, h: Column, hexadecimal: Column, skip: int = 0) -> Column:
-    """Every digit and letter becomes another of its class; other characters stay."""
-    def one(i):
-        x = c.substr(i + 1, F.lit(1))
-        n = _number(h, i)
-        return (F.when(i < skip, x).when(hexadecimal, _char(ALPHABETS["hex"], n)).when(x.rlike("[0-9]"), _char(ALPHABETS["digit"], n))
-                .when(x.rlike("[a-z]"), _char(ALPHABETS["lower"], n)).when(x.rlike("[A-Z]"), _char(ALPHABETS["upper"], n)).otherwise(x))
-    return F.array_join(F.transform(_places(c), one), "")
+def _chars(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def _like(c: Column, h: Column, hexadecimal: Column, skip: int = 0, symbols: Column | None = None) -> Column:
+    """Every digit and letter becomes another of its class, where ``symbols`` holds every other character too."""
+    kept = F.lit(None).cast("string") if symbols is None else F.when(symbols, F.lit(SYMBOLS))
+
+    def one(x, i):
+        of = (F.when(i < skip, F.lit(None).cast("string")).when(hexadecimal, ALPHABETS["hex"]).when(x.rlike("[0-9]"), ALPHABETS["digit"])
+              .when(x.rlike("[a-z]"), ALPHABETS["lower"]).when(x.rlike("[A-Z]"), ALPHABETS["upper"]).when(x.rlike("^[\\x00-\\x7F]$"), kept))
+        for pattern, alphabet in OTHERS:
+            of = of.when(x.rlike(pattern), alphabet)
+        of = of.otherwise(kept)
+        return F.coalesce(of.substr(_number(h, i) % F.length(of) + 1, F.lit(1)), x)
+    return F.array_join(F.transform(_chars(c), one), "")
+
+
+def _tail(alphabet: str, h: Column, length: int) -> Column:
+    """Further characters of a surrogate whose format is used up."""
+    return F.concat(F.lit(""), *[_char(alphabet, _number(F.sha2(F.concat(h, F.lit(f"tail{i // 16}")), 256), F.lit(i % 16))) for i in range(length)])
 
 
 def _luhn(digits: Column) -> Column:
@@ -111,10 +137,10 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(_places(digits), one), F.lit(0), lambda a, x: a + x) % 10
 
 
-def _made_up_name(canon: Column, h: Column) -> Column:
-    """Two to four syllables in the script of the name, with its gendered ending."""
+def _made_up_name(canon: Column, h: Column, more: int = 0) -> Column:
+    """Two to four syllables (and ``more``) in the script of the name, with its gendered ending."""
     ending = F.regexp_extract(canon, GENDERED, 1)
-    count = F.greatest(F.lit(2), F.least(F.lit(4), ((F.length(canon) - F.length(ending)) / 2).cast("int")))
+    count = F.greatest(F.lit(2), F.least(F.lit(4), ((F.length(canon) - F.length(ending)) / 2).cast("int"))) + more
 
     def of(script):
         consonants, vowels = SOUNDS[script]
@@ -123,9 +149,13 @@ def _made_up_name(canon: Column, h: Column) -> Column:
     return F.concat(body, ending)
 
 
-def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
-    """Candidate for the canonical form."""
-    h = _hash(kind, canon, attempt, key)
+def surrogate(kind: Column, canon: Column, attempt: int, h: Column) -> Column:
+    """Candidate for the canonical form from its hash of the attempt; from attempt ``PLAIN`` on longer than it.
+
+    Telephone numbers first give up their exchange; numbers of a fixed length grow four attempts later.
+    """
+    wide = max(0, attempt - PLAIN + 1)
+    more = max(0, wide - 4)
     no = F.lit(False)
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     labels = F.split(domain, "\\.")
@@ -135,13 +165,20 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
     free = F.concat(F.substring(canon, 1, 1), _like(canon.substr(F.lit(2), F.length(canon) - 2), h, no))
     # the last digit keeps the Luhn sum of the number, right or wrong
     check = (_luhn(canon) - _luhn(F.concat(free, F.lit("0"))) + 10) % 10
-    card = F.concat(free, check.cast("string"))
-    phone = F.when(F.length(canon) == 10, F.concat((_number(h, F.lit(80)) % 8 + 2).cast("string"), _like(canon.substr(2, 2), h, no), F.substring(canon, 4, 3),
+    card = F.concat(free, check.cast("string"), _tail(ALPHABETS["digit"], h, more))
+    phone = F.when(F.length(canon) == 10, F.concat((_number(h, F.lit(80)) % 8 + 2).cast("string"), _like(canon.substr(2, 2), h, no), F.substring(canon, 4, 3) if not wide else _like(F.substring(canon, 4, 3), F.sha2(F.concat(h, F.lit("exchange")), 256), no),
                                                    _like(F.substring(canon, -4, 4), F.sha2(h, 256), no))).otherwise(_like(canon, h, no))
-    name = _made_up_name(canon, h)
-    return (F.when(kind == "email", F.concat(_like(local, h, no), F.lit("@"), host)).when(kind == "key", _like(canon, h, no, 4))
-            .when(kind == "address", octets).when(kind == "card", card).when(kind == "phone", phone).when(kind == "name", name)
-            .otherwise(_like(canon, h, kind == "hex")))
+    phone = F.concat(phone, _tail(ALPHABETS["digit"], h, more))
+    name = _made_up_name(canon, h, wide)
+    port = F.concat(F.lit(":" if more else ""), _tail("123456789", h, more))
+    # numbers that are no telephone number keep their signs
+    figures = canon.rlike("^[-+() ]*[0-9][-+() 0-9]*$")
+    secret = F.concat(_like(canon, h, no, symbols=~figures), F.when(figures, _tail(ALPHABETS["digit"], h, wide)).otherwise(_tail(ALPHABETS["lower"], h, wide)))
+    return (F.when(kind == "email", F.concat(_like(local, h, no), _tail(ALPHABETS["lower"], h, wide), F.lit("@"), host))
+            .when(kind == "key", F.concat(_like(canon, h, no, 4), _tail(ALPHABETS["upper"], h, wide)))
+            .when(kind == "address", F.concat(octets, port)).when(kind == "card", card).when(kind == "phone", phone).when(kind == "name", name)
+            .when(kind == "hex", F.concat(_like(canon, h, F.lit(True)), _tail(ALPHABETS["hex"], h, wide)))
+            .when(kind == "national", F.concat(_like(canon, h, no), _tail(ALPHABETS["digit"], h, more))).otherwise(secret))
 
 
 def _given(e: Column, key: str) -> Column:
@@ -155,35 +192,39 @@ def _given(e: Column, key: str) -> Column:
     return F.create_map(*[F.lit(x) for p in pairs for x in p])[e]
 
 
-def _layout(raw: Column, kind: Column, core: Column) -> Column:
-    """The surrogate in the format of one mention: its separators, country code and letter case."""
+def _layout(raw: Column, kind: Column, core: Column, canon: Column) -> Column:
+    """The surrogate in the format of one mention: its separators, country code and letter case; what is longer follows."""
     digits = F.length(F.regexp_replace(raw, "[^0-9]", ""))
-    lead = digits - F.length(core)
+    lead = digits - F.length(canon)
 
     def digit(i):
         x = raw.substr(i + 1, F.lit(1))
         before = F.length(F.regexp_replace(raw.substr(F.lit(1), i), "[^0-9]", ""))
         return F.when(x.rlike("[0-9]") & (before >= lead), core.substr(before - lead + 1, F.lit(1))).otherwise(x)
 
-    def cased(i):
-        x, y = raw.substr(i + 1, F.lit(1)), core.substr(i + 1, F.lit(1))
-        return F.when(x.rlike("\\p{Lu}"), F.upper(y)).otherwise(y)
+    def cased(a, b):
+        return F.array_join(F.zip_with(_chars(a), _chars(b), lambda x, y: F.when(x.rlike("\\p{Lu}"), F.upper(y)).otherwise(y)), "")
+
+    def part(c, n):
+        return F.substring_index(c, "@", n)
 
-    numbers = F.array_join(F.transform(_places(raw), digit), "")
-    mail = F.array_join(F.transform(_places(raw), cased), "")
+    numbers = F.concat(F.array_join(F.transform(_places(raw), digit), ""), core.substr(F.length(canon) + 1, F.length(core)))
+    mail = F.concat(cased(part(raw, 1), part(core, 1)), F.lit("@"), cased(part(raw, -1), part(core, -1)))
     name = F.when((raw == F.upper(raw)) & (F.length(raw) > 1), F.upper(core)).otherwise(F.concat(F.upper(F.substring(core, 1, 1)), core.substr(F.lit(2), F.length(core))))
-    return F.when(kind.isin("card", "national", "phone"), numbers).when(kind.isin("email", "hex"), mail).when(kind == "name", name).otherwise(core)
+    return F.when(kind.isin("card", "national", "phone"), numbers).when(kind == "email", mail).when(kind == "hex", cased(raw, core)).when(kind == "name", name).otherwise(core)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, core for distinct (kind, canon) rows; distinct entities never share a core.
 
-    An error after ``ATTEMPTS`` rounds says that a format has too few values for its entities.
+    It always ends: from round ``PLAIN`` on the surrogates of the losers grow, so each further round has
+    many times the values of the last one, and soon more characters than any entity.
     """
     real = entities.select("kind", F.col("canon").alias("core"))
-    pending, done = entities, None
-    for attempt in range(ATTEMPTS):
-        cand = pending.withColumn("core", surrogate(F.col("kind"), F.col("canon"), attempt, key))
+    pending, done, attempt = entities, None, 0
+    while True:
+        cand = pending.withColumn("_h", _hash(F.col("kind"), F.col("canon"), attempt, key))
+        cand = cand.withColumn("core", surrogate(F.col("kind"), F.col("canon"), attempt, F.col("_h")))
         taken = real if done is None else real.unionByName(done.select("kind", "core"))
         free = cand.join(taken, ["kind", "core"], "left_anti")
         won = free.groupBy("kind", "core").agg(F.min("canon").alias("canon"))
@@ -192,7 +233,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         pending = cut_lineage(pending.join(won, ["kind", "canon"], "left_anti"))
         if not pending.limit(1).count():
             return done
-    raise ValueError("a kind of entity has too few surrogates of its format")
+        attempt += 1
 
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text", spread: str = "doc_id") -> tuple[DataFrame, str]:
@@ -213,7 +254,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", spread: str
     salts = 32
     left = found.where("kind <> 'given'").withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(salts)).cast("int"))
     right = mapping.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = left.join(right, ["kind", "canon", "salt"]).select("h", "raw", _layout(F.col("raw"), F.col("kind"), F.col("core")).alias("new"))
+    joined = left.join(right, ["kind", "canon", "salt"]).select("h", "raw", _layout(F.col("raw"), F.col("kind"), F.col("core"), F.col("canon")).alias("new"))
     given = found.where("kind = 'given'").select("h", "raw", _given(F.col("raw"), key).alias("new"))
     per_text = joined.unionByName(given).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias(mark))
     per_text = cut_lineage(per_text.withColumnRenamed("h", "_pii_h").withColumn("_pii_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))

@@ -134,6 +134,19 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(got)) == len(raw) and not set(got) & set(raw)
 
 
+def test_surrogates_of_small_formats(spark):
+    texts = ["password=****", "password=пароль", "password=密码密码", "password=a***", "password=----"]
+    got = [r["text"] for r in surrogates.replace_entities(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), "k")[0].orderBy("doc_id").collect()]
+    assert all(len(a) == len(b) and a != b and a.startswith("password=") for a, b in zip(got, texts)) and "пароль" not in got[1]
+    # every value of the format is an entity itself
+    full = [("secret", str(i)) for i in range(10)] + [("hex", c) for c in "0123456789abcdef"] + [("phone", f"{i:02d}") for i in range(100)]
+    rows = surrogates.assign(spark.createDataFrame(full, "kind string, canon string"), "k").collect()
+    cores = {(r["kind"], r["core"]) for r in rows}
+    assert len(rows) == len(cores) == len(full) and not cores & set(full)
+    shown = surrogates._layout(F.lit("+4 (2)"), F.lit("phone"), F.lit("5678"), F.lit("42"))
+    assert spark.range(1).select(shown).first()[0] == "+5 (6)78"
+
+
 # -- 3 -------------------------------------------------------------------------------------------------
 def test_language_id(spark, docs, odd):
     out = registry.QUERIES["op3_language_id"](spark, FOLDER)
