@@ -4,10 +4,12 @@ Every tree gives a vector a long string of random hyperplane signs. A tree is th
 sorted order, so the vectors that share a prefix with a query are one range of it. A query first descends every tree:
 for each prefix length it counts the vectors in its range. Then it ascends all trees together: the
 longest prefix length is taken at which the ranges of all trees hold ``share`` of the collection, and all vectors in
-these ranges are compared by the exact inner product.
+these ranges are compared by the exact inner product. Queries whose ranges of ``BASE`` bits hold too few ascend
+further, to the root if need be, where they meet all vectors; so no query finds fewer than there are, up to k.
 
 Scale: the sorted arrays are cut at the first ``BASE`` bits and again into blocks of at most ``BLOCK`` strings (by a hash of
-the key), so no task holds a tree or a hot prefix; a query visits the blocks of its own prefix only. Counts and
+the key), so no task holds a tree or a hot prefix; a query visits the blocks of its own prefix only (above
+``BASE`` bits those of all prefixes in its range, at the root those of one tree). Counts and
 best candidates per block are small rows. Equal vectors are one candidate that stands for its smallest ids
 (no more than are asked for can be wanted), and equal queries are asked once.
 
@@ -74,15 +76,26 @@ def hashed(reps: DataFrame, most: float, asked: bool) -> DataFrame:
     return reps.select("vkey", "vec").mapInArrow(run, "vkey string, vec array<double>, tree int, code long")
 
 
-def _dealt(entries: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the block they meet in: tree, prefix, block."""
-    prefix = F.shiftright("code", BITS - BASE).alias("prefix")
-    entries, queries = entries.select("*", prefix), queries.select("*", prefix)
-    blocks = entries.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    blocks = cut_lineage(blocks)   # at most trees x 2^BASE rows for each number of dimensions
-    own = entries.join(blocks, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("vkey"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = queries.join(blocks, ["tree", "prefix"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    return own, asked
+def _dealt(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vectors with their tree, prefix and block; and of every tree and prefix the number of vectors and blocks."""
+    entries = entries.select("*", F.shiftright("code", BITS - BASE).alias("prefix"))
+    sizes = entries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size"))
+    sizes = cut_lineage(sizes.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")))   # at most trees x 2^BASE rows for each number of dimensions
+    own = entries.join(sizes, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("vkey"), F.col("blocks")).cast("int")).drop("blocks", "size")
+    return own, sizes
+
+
+def _visits(queries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A row of each query for every block of its prefixes (array ``prefixes``)."""
+    asked = queries.withColumn("prefix", F.explode("prefixes")).drop("prefixes").join(sizes.drop("size"), ["tree", "prefix"])
+    return asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+
+def _prefixes(level: Column) -> Column:
+    """The prefixes of BASE bits in the range of a query's first ``level`` bits."""
+    own = F.shiftright("code", BITS - BASE)
+    width = F.when(level >= BASE, F.lit(1)).otherwise(F.pow(F.lit(2), F.lit(BASE) - level)).cast("long")
+    return F.sequence(own - own % width, own - own % width + width - 1)
 
 
 def _ranges(sorted_codes: np.ndarray, codes: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +124,23 @@ def descend(own: DataFrame, asked: DataFrame) -> DataFrame:
     return counted.groupBy("vkey").agg(*[F.sum(l).alias(l) for l in levels])
 
 
-def ascend(counts: DataFrame, wanted: int) -> DataFrame:
-    """vkey, level: the longest prefix length whose ranges hold ``wanted`` vectors over all trees, else the shortest."""
-    level = F.lit(BASE)
+def ascend(counts: DataFrame, queries: DataFrame, sizes: DataFrame, wanted: int) -> DataFrame:
+    """vkey, level of every query: the longest prefix length whose ranges hold ``wanted`` vectors over all trees, else 0.
+
+    Below ``BASE`` bits the ranges are whole prefixes, so their sizes are enough to count.
+    """
+    level = F.lit(None).cast("int")
     for l in range(BASE, BITS + 1):
         level = F.when(F.col(f"l{l}") >= wanted, F.lit(l)).otherwise(level)
-    return counts.select("vkey", level.alias("level"))
+    deep = cut_lineage(counts.select("vkey", level.alias("level")).where("level is not null"))
+    # a query without any vector under its prefixes has no counts
+    rest = queries.join(deep, "vkey", "left_anti")
+    tops = F.explode(F.array(*[F.struct(F.lit(l).alias("l"), F.shiftright("prefix", BASE - l).alias("top")) for l in range(1, BASE)]))
+    held = sizes.select("tree", "size", tops.alias("t")).groupBy("tree", "t.l", "t.top").agg(F.sum("size").alias("size"))
+    asked = rest.select("vkey", "tree", F.shiftright("code", BITS - BASE).alias("prefix")).select("vkey", "tree", tops.alias("t")).select("vkey", "tree", "t.*")
+    enough = asked.join(held, ["tree", "l", "top"]).groupBy("vkey", "l").agg(F.sum("size").alias("size")).where(F.col("size") >= wanted)
+    short = rest.select("vkey").distinct().join(enough.groupBy("vkey").agg(F.max("l").alias("level")), "vkey", "left")
+    return deep.unionByName(short.select("vkey", F.coalesce("level", F.lit(0)).alias("level")))
 
 
 def candidates(own: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -177,10 +201,14 @@ def search(vectors: DataFrame, asks: Column, k: int = 20, share: float = SHARE,
     n, most = reps.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    own, asked = _dealt(hashed(reps, most, False), hashed(reps.where("asks = 1"), most, True))
-    own, asked = cut_lineage(own), cut_lineage(asked)
-    level = ascend(descend(own, asked), max(8 * k, int(share * n)))
-    found = candidates(own, asked.join(level, "vkey"), k + 1).groupBy("query", "vkey").agg(F.max("score").alias("score"))
+    own, sizes = _dealt(hashed(reps, most, False))
+    own, queries = cut_lineage(own), cut_lineage(hashed(reps.where("asks = 1"), most, True))
+    # a vector counts once per tree, so this many are at least k + 1 different ones
+    wanted = max(TREES * (k + 1), int(share * n))
+    level = ascend(descend(own, _visits(queries.withColumn("prefixes", _prefixes(F.lit(BASE))), sizes)), queries, sizes, wanted)
+    # at the root every tree holds the same vectors
+    levelled = queries.join(level, "vkey").where((F.col("level") > 0) | (F.col("tree") % TREES == 0))
+    found = candidates(own, _visits(levelled.withColumn("prefixes", _prefixes(F.col("level"))), sizes), k + 1).groupBy("query", "vkey").agg(F.max("score").alias("score"))
     # k + 1 different vectors are enough; those of equal score all stay, as the smaller id decides among them
     found = found.withColumn("n", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") <= k + 1).drop("n")
     pairs = found.join(ids, "vkey").select(F.col("query").alias("vkey"), "vec_id", "score")

@@ -295,6 +295,28 @@ def test_prefix_forest(spark):
     assert sorted(r["vec_id"] for r in few) == [1, 2]
 
 
+def test_prefix_forest_ascends_to_the_root(spark):
+    rng = np.random.default_rng(5)
+    few = rng.normal(size=(12, 8))
+    other = rng.normal(size=(30, 5))     # a small group of another dimension
+    uneven = rng.normal(size=(300, 6))
+    uneven[7] *= 1e5
+    for groups in ([few], [uneven], [uneven, other]):
+        at = [(g, v) for g, x in enumerate(groups) for v in x]
+        rows = [(i, [float(c) for c in v]) for i, (_, v) in enumerate(at)]
+        got = {}
+        for r in prefix_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = total = 0
+        for i in range(0, len(at), 2):
+            peers = [j for j in range(len(at)) if j != i and at[j][0] == at[i][0]]
+            best = sorted(peers, key=lambda j: (-float(at[j][1] @ at[i][1]), j))[:20]
+            assert len(got[i]) == len(best)
+            hits, total = hits + len(got[i] & set(best)), total + len(best)
+        assert hits >= 0.9 * total
+
+
+
 # -- 8 -------------------------------------------------------------------------------------------------
 def test_token_counts_equal_the_library(spark, docs, odd):
     tokenizers = pytest.importorskip("tokenizers")
