@@ -53,9 +53,18 @@ SOUNDS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмн
 _known = "(?:" + "|".join(n for names in GIVEN.values() for n in names) + ")"
 _titles = "(?:" + "|".join(TITLES) + ")"
 _octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+#: Letters of scripts that are written without spaces (or, Hangul, with endings right after a foreign word).
+_unspaced = (r"\u0E00-\u0EFF\u1000-\u109F\u1100-\u11FF\u1780-\u17FF\u3005-\u3007\u3041-\u30FF\u3131-\u318E\u31F0-\u31FF\u3400-\u4DBF"
+             r"\u4E00-\u9FFF\uAC00-\uD7A3\uF900-\uFAFF\uFF66-\uFFDC\x{20000}-\x{323AF}")
+_alnum = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_unspaced}]]"
+#: The local part has letters of any script; it starts where an unspaced script ends, or is a whole run of such a script.
+EMAIL = rf"(?:[A-Za-z0-9{_alnum}][A-Za-z0-9._%+\-{_alnum}]*+|[{_unspaced}]++)@(?:[A-Za-z0-9-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}"
+#: Where a mail address may start. After a sign that follows a letter an earlier start has failed at the same '@',
+#: unless another entity ends there; so a long run of letters and signs is not read again from each of its places.
+EMAIL_START = (rf"(?:(?=[A-Za-z0-9{_alnum}])(?:(?<![A-Za-z0-9{_alnum}])(?:(?<![._%+-])|(?<![A-Za-z0-9{_alnum}][._%+-]{{1,8}})|(?<=\G[._%+-]{{1,8}}))|\G)"
+               rf"|(?=[^\x00-\x7F])(?=[{_unspaced}])(?<![{_unspaced}]))")
 KEY_ID = r"AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-PASSWORD = r"(?<=[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]=)[^\s\"'<>,;]{4,256}"
+PASSWORD = r"(?<==)(?<=[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]=)[^\s\"'<>,;]{4,}+"
 HEX_TOKEN = r"(?<=\")[0-9a-fA-F]{32,64}(?=\")"
 ADDRESS = rf"(?<![0-9]\.){_octet}\.{_octet}\.{_octet}\.{_octet}(?![0-9])(?!\.[0-9])"
 CARD = r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
@@ -64,8 +73,9 @@ NATIONAL = r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 NUMBERS = rf"(?=[0-9+(])(?:{ADDRESS}|{CARD}|{PHONE}|{NATIONAL})"
 NAME = (rf"(?=\p{{Lu}}\p{{L}})(?:{_known}(?= \p{{Lu}}\p{{Ll}})"
         rf"|(?<=[\p{{L}}.] )(?:(?<=(?<!\p{{L}}){_titles}\.? )|(?<=(?<!\p{{L}}){_known} ))\p{{Lu}}\p{{L}}{{1,30}})")
-#: No entity starts inside a word or number, so most places of a text fail at the first test.
-PATTERN = rf"(?<![\p{{L}}\p{{N}}])(?:{NUMBERS}|{KEY_ID}|{EMAIL}|{PASSWORD}|{HEX_TOKEN}|{NAME})"
+#: No entity starts after a character that could continue its kind; each kind begins with a test that most places fail.
+PATTERN = (rf"(?:(?=[0-9+(])(?<![0-9])(?:{NUMBERS})|(?=AKIA)(?<![A-Za-z0-9]){KEY_ID}|{EMAIL_START}{EMAIL}|{PASSWORD}|{HEX_TOKEN}"
+           rf"|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:{NAME}))")
 
 
 def kind_of(e: Column) -> Column:
