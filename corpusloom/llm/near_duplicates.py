@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, salted_join
 
 from . import common
 
@@ -190,28 +190,30 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rank: DataFrame) -> DataFrame:
-    """fp, component: the smallest ``least`` among the fingerprints reachable over ``edges``.
+    """fp, component: the smallest ``least`` among the fingerprints reachable over ``edges``; null only if all are.
 
-    ``rank`` has one row (fp, least) per fingerprint. Every round gives each node the smallest value of
-    itself, its neighbours and the nodes these point at; rounds are written to the checkpoint folder.
+    ``rank`` has one row (fp, least) per fingerprint. The parts are found by fingerprints, which are never null: every
+    round gives each node the smallest fingerprint of itself, its neighbours and the nodes these point at; rounds are
+    written to the checkpoint folder.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     touched = cut_lineage(both)
     if not touched.limit(1).count():
         return rank.select("fp", F.col("least").alias("component"))
-    nodes = touched.select(F.col("a").alias("fp")).distinct()
-    label = cut_lineage(rank.join(nodes, "fp").select("fp", F.col("least").alias("component")))
+    label = cut_lineage(touched.select(F.col("a").alias("fp")).distinct().withColumn("part", F.col("fp")))
     while True:
-        near = touched.join(label.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("component").alias("near"))
-        joined = label.join(near, "fp").select("fp", "component", F.least("component", "near").alias("new"))
-        # pointer jumping: take over the label of the fingerprint that owns the new label
-        owner = label.join(rank, "fp").select(F.col("least").alias("new"), F.col("component").alias("far"))
-        moved = cut_lineage(joined.join(owner, "new", "left").select("fp", "component", F.least("new", F.coalesce("far", "new")).alias("new")))
-        changed = moved.where("new <> component").limit(1).count()
-        label = moved.select("fp", F.col("new").alias("component"))
+        near = touched.join(label.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("part").alias("near"))
+        joined = label.join(near, "fp").select("fp", "part", F.least("part", "near").alias("new"))
+        # pointer jumping: take over the label of the fingerprint that names the new label
+        owner = label.select(F.col("fp").alias("new"), F.col("part").alias("far"))
+        moved = cut_lineage(joined.join(owner, "new").select("fp", "part", F.least("new", "far").alias("new")))
+        changed = moved.where("new <> part").limit(1).count()
+        label = moved.select("fp", F.col("new").alias("part"))
         if not changed:
             break
-    return rank.join(label, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    names = label.join(rank, "fp").groupBy("part").agg(F.min("least").alias("component"))
+    named = salted_join(label, names, "part", "fp").select("fp", "component", F.lit(True).alias("linked"))
+    return rank.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("least")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,7 +224,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     prints = cut_lineage(fingerprints(docs, key, text))
     rank = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    named = components(links(rank.select("fp")), rank.where("least is not null").unionByName(rank.where("least is null")))
+    named = components(links(rank.select("fp")), rank)
     # a fingerprint of a third of all rows meets its one row in many tasks
     salts = 64
     left = prints.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
@@ -237,17 +239,20 @@ def op6_simhash_near_duplicates(spark, folder: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """Pipeline stage: of each group only the row with the smallest doc_id stays.
+    """Pipeline stage: of each group only one row stays, the first by doc_id (nulls last) and hash of the text.
 
     Near-duplicates are found on 3-word shingle fingerprints as in ``near_duplicates``; documents without a
-    word are one group. Of rows that repeat a doc_id the one with the smallest text stays.
+    word are one group. Rows that repeat a doc_id with different texts are judged each in its own group.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    keep = cut_lineage(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_nd_id")).agg(F.count(F.lit(1)).alias("_nd_rows")))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_nd_id"]))
+    hashed = F.md5(F.coalesce("text", F.lit("")))
+    # equal ids and texts have one fingerprint, so the pair names one group only
+    found = near_duplicates(docs.select(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), hashed.alias("t")).alias("doc_id"), "text"))
+    keep = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_nd_rows"))
+    keep = cut_lineage(keep.select(F.col("doc_id.d").alias("_nd_id"), F.col("doc_id.t").alias("_nd_text"), "_nd_rows"))
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_nd_id"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == keep["_nd_text"]))
     out = kept.where("_nd_rows = 1").select(*docs.columns)
     if keep.where("_nd_rows > 1").limit(1).count():
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        first = kept.where("_nd_rows > 1").groupBy("_nd_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("_nd_row"))
+        first = kept.where("_nd_rows > 1").groupBy("_nd_id", "_nd_text").agg(F.min_by(row, F.md5(F.to_json(row))).alias("_nd_row"))
         out = out.unionByName(first.select("_nd_row.*"))
     return out

@@ -285,6 +285,24 @@ def test_simhash_edges(spark, odd):
     assert near_duplicates.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicate_stage_keeps_a_row_of_each_group(spark):
+    one, two, three, four = ("the first clean text of all", "quite another one about trees", "nothing in common with these", "a fourth about ships at sea")
+    rows = [(None, one, "en", "a"), (None, two, "en", "a"), (None, two, "en", "b"), (3, three, "en", "a"), (3, four, "en", "a"), (2, one + " ", "en", "a"),
+            (3, one, "en", "c"), (1, three, "en", "c")]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in near_duplicates.stage(spark, frame(spark, rows), "").collect())
+    assert kept == [(0, two), (1, three), (2, one + " "), (3, four)]
+
+
+def test_components_pass_through_null_ids(spark):
+    ids = [7] + [None] * 9 + [3]
+    # by number of the fingerprint the chain runs up and down
+    chain = [5, 40, 6, 39, 7, 38, 8, 37, 9, 36, 10]
+    edges = spark.createDataFrame(list(zip(chain, chain[1:])) + [(100, 101)], "a long, b long")
+    rank = spark.createDataFrame(list(zip(chain, ids)) + [(100, None), (101, None), (200, None), (201, 4)], "fp long, least long")
+    got = {r["fp"]: r["component"] for r in near_duplicates.components(edges, rank).collect()}
+    assert got == {c: 3 for c in chain} | {100: None, 101: None, 200: None, 201: 4}
+
+
 # -- 7 -------------------------------------------------------------------------------------------------
 def test_prefix_forest(spark):
     rng = np.random.default_rng(2)
