@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from corpusloom.session import scratch_folder
 
 #: A word is a run of bytes that are neither a space nor one of the five ASCII control spaces.
 SPACES = "\x20\x09-\x0D"
@@ -78,3 +80,29 @@ def bounded_sample(labelled: DataFrame, label: str, text: str, key: str, per_lab
         share = F.when(F.col(label) == row[0], F.lit(min(1.0, per_label / row[1]))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return labelled.where(draw < share).limit(2 * per_label * max(1, len(counts)))
+
+
+def stored(df: DataFrame, name: str, parts: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it again: cuts lineage, survives lost executors."""
+    folder = scratch_folder(df.sparkSession, name)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(*parts) if parts else out).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Adds ``pos`` (from 0, by ``order`` inside ``group``) and ``total`` (rows of the group); no task holds a whole group.
+
+    Two passes: rows are range-partitioned and sorted, each part's rows per group are counted, and the running
+    sums of these counts (one row per part and group) give every part its offset. Rows equal in ``order`` are told
+    apart by the place at which they were read, so a group of equal rows spreads as well.
+    """
+    tied = stored(rows.withColumn("_tie", F.monotonically_increasing_id()), f"{name}-rows")
+    line = [F.col(c).asc_nulls_first() for c in (group, *order, "_tie")]
+    lined = stored(tied.repartitionByRange(*line).sortWithinPartitions(*line).drop("_tie").withColumn("_at", F.monotonically_increasing_id()), f"{name}-lined")
+    lined = lined.withColumn("_part", F.shiftright("_at", 33))
+    own = Window.partitionBy("_g")
+    counts = (lined.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+              .withColumn("_offset", F.sum("_n").over(own.orderBy("_p")) - F.col("_n")).withColumn("total", F.sum("_n").over(own)))
+    return (lined.join(counts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+            .withColumn("pos", F.col("_at") - F.col("_first") + F.col("_offset")).drop("_at", "_part", "_g", "_p", "_first", "_n", "_offset"))
