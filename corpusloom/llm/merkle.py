@@ -121,7 +121,7 @@ def manifest(docs: DataFrame, changed: Column | None = None, n_chars_changed: Co
     high = rounds(subroots.select(F.col("all").alias("g"), "pos", "total", "node", F.struct("name", "node").alias("item")), run, depth, "merkle-high")
     root = ends(high, run ** depth).first()
     root = F.lit(root["node"] if root else None).cast("string")
-    one = docs.sparkSession.range(1).select(F.lit(0).alias("g"), F.array().cast(SEGMENTS).alias("segments"), F.lit(0).alias("top"))
+    one = docs.sparkSession.range(1).select(F.col("id").cast("int").alias("g"), F.array().cast(SEGMENTS).alias("segments"), F.lit(0).alias("top"))
     tops = descend(high, one, run, depth).select(F.col("item.name").alias("g"), "segments", F.col("item.node").alias("top"))
     out = descend(low, tops, run, depth).select(F.col("item._key").alias(key), F.col("g").alias(group), F.col("item.leaf").alias("leaf"), F.col("top").alias("subroot"),
                                                root.alias("root"), "segments", F.col("item.other").alias("_other"))
