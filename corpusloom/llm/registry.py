@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import language_id, licenses, merkle, mixing, near_duplicates, phrases, prefix_forest, quality_rules, sentencepieces, surrogates, token_counts, toxicity
+from . import language_id, licenses, merkle, mixing, near_duplicates, phrases, prefix_forest, quality_rules, sentencepieces, surrogates, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,12 +13,14 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_pareto_mixing": mixing.op9_pareto_mixing,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_token_store": token_store.op11_token_store,
     "op12_setm_phrases": phrases.op12_setm_phrases,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_cascade": quality_rules.SQL,
     "op9_pareto_mixing": mixing.SQL,
+    "op11_token_store": token_store.op11_token_store,
     "op12_setm_phrases": phrases.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }
