@@ -54,7 +54,7 @@ def _strings(vectors: np.ndarray, extra: np.ndarray, dims: int) -> np.ndarray:
 
 
 def hashed(reps: DataFrame, most: float, asked: bool) -> DataFrame:
-    """vkey, vec, tree, code: one row per tree. ``most`` is the largest length; queries get no extra coordinate."""
+    """vkey, least, vec, tree, code: one row per tree. ``most`` is the largest length; queries get no extra coordinate."""
     def run(batches):
         for batch in batches:
             lists = batch.column(1).to_pylist()
@@ -68,12 +68,12 @@ def hashed(reps: DataFrame, most: float, asked: bool) -> DataFrame:
                     extra = np.zeros(len(own)) if asked else np.sqrt(np.maximum(0, 1 - (size / most) ** 2))
                     codes = _strings(scaled, extra, dims)
                     take = pa.array(own)
-                    keys = batch.column(0).take(take).to_pylist()
+                    keys, least = batch.column(0).take(take).to_pylist(), batch.column(2).take(take)
                     vec = pa.array(list(x), pa.list_(pa.float64()))
                     for t in range(TREES):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), vec, pa.array([dims * TREES + t] * len(own), pa.int32()),
-                                                          pa.array(codes[:, t], pa.int64())], names=["vkey", "vec", "tree", "code"])
-    return reps.select("vkey", "vec").mapInArrow(run, "vkey string, vec array<double>, tree int, code long")
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), least, vec, pa.array([dims * TREES + t] * len(own), pa.int32()),
+                                                          pa.array(codes[:, t], pa.int64())], names=["vkey", "least", "vec", "tree", "code"])
+    return reps.select("vkey", "vec", "least").mapInArrow(run, "vkey string, least long, vec array<double>, tree int, code long")
 
 
 def _dealt(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -144,23 +144,26 @@ def ascend(counts: DataFrame, queries: DataFrame, sizes: DataFrame, wanted: int)
 
 
 def candidates(own: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """query, vkey, score: for every block the k best of the vectors in a query's range (asked: with level and vec)."""
+    """query, vkey, least, score: for every block the k best of the vectors in a query's range (asked: with level and vec).
+
+    Among equal scores the vectors of smallest ids (``least``) stay.
+    """
     none = F.lit(None).cast("int")
-    both = (own.select("tree", "prefix", "block", "vkey", "vec", "code", none.alias("level"))
-            .unionByName(asked.select("tree", "prefix", "block", "vkey", "vec", "code", "level")))
+    both = (own.select("tree", "prefix", "block", "vkey", "least", "vec", "code", none.alias("level"))
+            .unionByName(asked.select("tree", "prefix", "block", "vkey", "least", "vec", "code", "level")))
 
     def run(key, table):
         table = table.combine_chunks()
         query = ~np.asarray(table.column("level").is_null())
         dims = key[0].as_py() // TREES
-        names = np.array(table.column("vkey").to_pylist(), object)
+        names, ids = np.array(table.column("vkey").to_pylist(), object), np.asarray(table.column("least"))
         codes = np.asarray(table.column("code"))
         x = np.asarray(pa.concat_arrays(table.column("vec").chunks).flatten(), np.float64).reshape(-1, dims) if table.num_rows else np.zeros((0, dims))
         order = np.argsort(codes[~query], kind="stable")
-        tree, vec, whose = codes[~query][order], x[~query][order], names[~query][order]
+        tree, vec, whose, least = codes[~query][order], x[~query][order], names[~query][order], ids[~query][order]
         mine, q, level, who = codes[query], x[query], np.asarray(table.column("level").filter(pa.array(query))).astype(np.int64), names[query]
         lo, hi = _ranges(tree, mine, level)
-        out_q, out_v, out_s = [], [], []
+        out_q, out_v, out_l, out_s = [], [], [], []
         at = np.lexsort((hi, lo))
         edges = np.flatnonzero(np.diff(lo[at]) | np.diff(hi[at])) + 1
         for same in np.split(at, edges) if len(at) else []:
@@ -170,19 +173,23 @@ def candidates(own: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             for s in range(0, len(same), 128):
                 part = same[s:s + 128]
                 near = q[part] @ vec[a:b].T
-                most = min(b - a, k + 8)
-                best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-                for i, row in zip(part, best):
+                worst = np.partition(near, max(0, b - a - k), axis=1)[:, max(0, b - a - k)]
+                # the product's rounding may differ from the final measure by this much
+                slack = 1e-12 * dims * np.abs(q[part]).max(1) * np.abs(vec[a:b]).max()
+                for i, row, edge in zip(part, near, worst - slack):
+                    best = np.flatnonzero(row >= edge)
                     # the final measure sums products in one order, wherever the vector stands
-                    score = (vec[a + row] * q[i]).sum(1)
-                    keep = np.argsort(-score, kind="stable")[:k]
+                    score = (vec[a + best] * q[i]).sum(1)
+                    keep = np.lexsort((least[a + best], -score))[:k]
                     out_q += [who[i]] * len(keep)
-                    out_v += whose[a + row[keep]].tolist()
+                    out_v += whose[a + best[keep]].tolist()
+                    out_l.append(least[a + best[keep]])
                     out_s.append(score[keep])
         scores = np.concatenate(out_s) if out_s else np.zeros(0)
-        return pa.table({"query": pa.array(out_q, pa.string()), "vkey": pa.array(out_v, pa.string()), "score": pa.array(scores, pa.float64())})
+        lows = np.concatenate(out_l) if out_l else np.zeros(0, np.int64)
+        return pa.table({"query": pa.array(out_q, pa.string()), "vkey": pa.array(out_v, pa.string()), "least": pa.array(lows, pa.int64()), "score": pa.array(scores, pa.float64())})
 
-    return both.groupBy("tree", "prefix", "block").applyInArrow(run, "query string, vkey string, score double")
+    return both.groupBy("tree", "prefix", "block").applyInArrow(run, "query string, vkey string, least long, score double")
 
 
 def search(vectors: DataFrame, asks: Column, k: int = 20, share: float = SHARE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -197,7 +204,7 @@ def search(vectors: DataFrame, asks: Column, k: int = 20, share: float = SHARE,
     # of equal vectors the k + 1 smallest ids can be wanted (one may be the query itself)
     ids = rows.select("vkey", "vec_id").distinct()
     ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("vkey").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    reps = cut_lineage(rows.groupBy("vkey").agg(F.first("vec").alias("vec"), F.max(F.col("asks").cast("int")).alias("asks")))
+    reps = cut_lineage(rows.groupBy("vkey").agg(F.first("vec").alias("vec"), F.max(F.col("asks").cast("int")).alias("asks"), F.min("vec_id").alias("least")))
     n, most = reps.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
@@ -208,9 +215,10 @@ def search(vectors: DataFrame, asks: Column, k: int = 20, share: float = SHARE,
     level = ascend(descend(own, _visits(queries.withColumn("prefixes", _prefixes(F.lit(BASE))), sizes)), queries, sizes, wanted)
     # at the root every tree holds the same vectors
     levelled = queries.join(level, "vkey").where((F.col("level") > 0) | (F.col("tree") % TREES == 0))
-    found = candidates(own, _visits(levelled.withColumn("prefixes", _prefixes(F.col("level"))), sizes), k + 1).groupBy("query", "vkey").agg(F.max("score").alias("score"))
-    # k + 1 different vectors are enough; those of equal score all stay, as the smaller id decides among them
-    found = found.withColumn("n", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") <= k + 1).drop("n")
+    found = candidates(own, _visits(levelled.withColumn("prefixes", _prefixes(F.col("level"))), sizes), k + 1).groupBy("query", "vkey", "least").agg(F.max("score").alias("score"))
+    # k + 1 different vectors are enough, of equal scores those with the smallest ids
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
+    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n", "least")
     pairs = found.join(ids, "vkey").select(F.col("query").alias("vkey"), "vec_id", "score")
     queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), "vkey").distinct()
     out = queries.join(pairs, "vkey").where("query_id <> vec_id")

@@ -350,6 +350,13 @@ def test_prefix_forest_ascends_to_the_root(spark):
         assert hits >= 0.9 * total
 
 
+def test_prefix_forest_ties(spark):
+    """Among many different vectors of equal score the smallest ids are found."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, *map(float, rng.integers(0, 2, 9))]) for i in range(400)]
+    rows[0] = (0, [1.0] + [0.0] * 9)
+    got = prefix_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, share=100).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(1, 21)) and {r["score"] for r in got} == {1.0}
 
 # -- 8 -------------------------------------------------------------------------------------------------
 def test_token_counts_equal_the_library(spark, docs, odd):
@@ -384,6 +391,47 @@ def test_mix(spark, odd):
     assert mixing.stage(spark, rows, "").count() == got.copies.sum() and mixing.stage(spark, odd, "").columns == odd.columns
 
 
+def _taken(got):
+    taken = (got["size"] * got.copies).groupby(got.source.fillna("~")).sum()
+    return taken, got.target.groupby(got.source.fillna("~")).first()
+
+
+@pytest.mark.parametrize("others", [200, 300, 400, 401, 500, 600, 700, 999])
+def test_mix_of_equal_sizes(spark, others):
+    """Limits that fall on the end of a bucket or of a document, at many rests."""
+    ten = " ".join(["w"] * 10)
+    rows = frame(spark, [(i, ten, "en", "a" if i < 1200 else "b") for i in range(1200 + others)])
+    taken, target = _taken(mixing.mix(rows).toPandas())
+    assert (abs(taken - target) <= 10).all()
+
+
+def test_mix_of_repeated_and_null_ids(spark):
+    """A third of the rows without an id, another third one repeated row: each is drawn for itself."""
+    ten = " ".join(["w"] * 10)
+    data = [(i, ten, "en", "a") for i in range(400)] + [(None, f"{ten} {i}", "en", "b") for i in range(400)] + [(7, ten, "en", "c")] * 400
+    rows = frame(spark, data)
+    got = mixing.mix(rows).toPandas()
+    taken, target = _taken(got)
+    assert len(got) == 1200 and (abs(taken - target) <= 11).all()
+    assert sorted(got[got.source == "c"].copies.unique()) == [0, 1] or sorted(got[got.source == "c"].copies.unique()) == [1, 2]
+    kept = mixing.stage(spark, rows, "")
+    assert kept.count() == got.copies.sum() and kept.columns == rows.columns
+
+
+def test_mix_is_unequal_and_equals_sql(spark):
+    """Shorter documents are likelier, ranks do not order as draws do, and SQL on odd rows takes the same."""
+    import duckdb
+    r = random.Random(1)
+    data = [(r.choice([None, i, i, i % 50]), " ".join(["w"] * r.choice([1, 5, 10, 80, 200])), "en", r.choice(["a", "a", "a", "b", "c", None, "d"])) for i in range(2000)]
+    rows = frame(spark, data)
+    got = mixing.mix(rows).toPandas()
+    a = got[got.source == "a"]
+    assert a[a["size"] <= 10].copies.mean() > a[a["size"] == 200].copies.mean() + 0.05
+    documents = rows.select("doc_id", "text", "source").toArrow()  # noqa: F841
+    want = sorted(((-1 if i is None else int(i)), int(s), int(t)) for i, s, _, _, t in duckdb.sql(mixing.SQL).fetchall())
+    assert sorted((-1 if i != i else int(i), int(s), int(s * c)) for i, s, c in zip(got.doc_id, got["size"], got.copies)) == want
+
+
 # -- 10 ------------------------------------------------------------------------------------------------
 def test_licenses(spark, odd):
     rows = frame(spark, [(1, "Released under the MIT License. under the mit license", "en", "a"), (2, "This program is free software: you can redistribute it and/or modify "
