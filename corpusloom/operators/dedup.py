@@ -24,23 +24,32 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return firsts
 
 
-def semantic_dedup(vectors: DataFrame, threshold: float = 0.95, key: str = "chunk_id") -> DataFrame:
+def semantic_dedup(vectors: DataFrame, threshold: float = 0.95, key: str = "chunk_id", miss: float = 1e-4, exact: bool = False,
+                   rounds: list | None = None) -> DataFrame:
     """Keys kept by the greedy rule: in key order, a kept row removes the later rows like it.
 
     Each round keeps the rows without a similar smaller undecided row and removes the rows similar to
-    those; the smallest undecided row is always decided, so it ends. No list of pairs is built.
+    those. No list of pairs is built, and keys of the join (``vectors.join_keys``) are made once for all rounds.
+
+    A row that is undecided after a round has a smaller one that was, and the smallest of any chain of similar
+    rows of falling keys is decided each time with the row after it. So a corpus whose longest such chain has n rows
+    takes n // 2 + 1 rounds at most; ``rounds`` collects the number of rows that each round began with.
     """
-    undecided = cut_lineage(X.distinct_vectors(vectors, key))
+    rows = cut_lineage(X.distinct_vectors(vectors, key))
+    keys = X.join_keys(rows.count(), threshold, miss, exact)
+    undecided = cut_lineage(X.with_keys(rows, keys, key)) if keys.bands else X.with_keys(rows, keys, key)
     kept: DataFrame | None = None
-    while not undecided.isEmpty():
-        behind = cut_lineage(X.first_similar(undecided, undecided, threshold, key))
+    while left := undecided.count():
+        if rounds is not None:
+            rounds.append(left)
+        behind = cut_lineage(X.first_similar(undecided, undecided, threshold, key, keys))
         roots = undecided.join(behind, key, "left_anti")
-        rest = cut_lineage(undecided.join(behind, key, "left_semi"))
         found = cut_lineage(roots.select(key))
         kept = found if kept is None else kept.unionByName(found)
+        rest = cut_lineage(undecided.join(behind, key, "left_semi"))
         if rest.isEmpty():
             break
-        gone = X.first_similar(undecided.join(found, key, "left_semi"), rest, threshold, key)
+        gone = X.first_similar(undecided.join(found, key, "left_semi"), rest, threshold, key, keys)
         undecided = cut_lineage(rest.join(gone, key, "left_anti"))
     return kept if kept is not None else undecided.select(key)
 

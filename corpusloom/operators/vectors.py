@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as ty
 
 from ..functions import scores as S
-from ..session import has_at_most
+from ..session import cut_lineage, has_at_most
 
 # Queries up to this number are sent to every task (64 MB at 1,024 dimensions of 8 bytes).
 BROADCAST_QUERIES = 8192
@@ -280,72 +281,97 @@ def is_zero(vector: str) -> Column:
     return ~F.exists(vector, lambda x: x != 0)
 
 
-def _pivots(vectors: DataFrame, rows: int, key: str) -> np.ndarray:
-    wanted = max(1, min(64, rows // BLOCK_ROWS))
-    if wanted == 1:
-        return np.zeros((0, 0))
-    picked = vectors.orderBy(F.xxhash64(key)).limit(wanted).select("embedding").toPandas()
-    return _matrix(picked["embedding"])
+@dataclass(frozen=True)
+class Keys:
+    """Join keys of a similarity join: ``bands`` keys of ``bits`` hyperplane signs each; a row is copied once per band.
+
+    Two vectors at angle x share a sign with probability 1 - x / pi, so a pair at the threshold or above shares at
+    least one whole key with a probability of ``recall`` or more. Without bands all rows meet in blocks: exact.
+    """
+
+    bits: int
+    bands: int
+    recall: float
+
+
+#: Rows that a key should hold on average, and the most copies of a row.
+KEY_ROWS = 2_500
+MOST_BANDS = 64
 
 
-def _in_cells(df: DataFrame, pivots: np.ndarray, key: str, angle: float, outer: bool) -> DataFrame:
-    """(cell, key, embedding): the nearest pivot's cell and, with ``outer``, every cell that can hold
-    the home of a row within ``angle``. By the triangle inequality those are the cells whose pivot is
-    at most 2 * angle farther than the nearest one, so no pair is lost."""
-    if len(pivots) == 0:
-        return df.select(F.lit(0).alias("cell"), key, "embedding")
+def join_keys(rows: int, threshold: float, miss: float = 1e-4, exact: bool = False) -> Keys:
+    """The keys for a join of ``rows`` vectors. A pair may be missed with probability ``miss`` at most.
+
+    Rows that fit into one block need no keys. Where the threshold is so low that keys would hardly spare any
+    comparison, the join is refused unless ``exact`` asks for all blocks.
+    """
+    if exact or rows <= BLOCK_ROWS:
+        return Keys(0, 0, 1.0)
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold - 1e-6))) / math.pi
+    wanted = min(30, max(1, math.ceil(math.log2(rows / KEY_ROWS))))
+    for bits in sorted(range(1, 31), key=lambda b: abs(b - wanted)):
+        bands = math.ceil(math.log(miss) / math.log1p(-same ** bits))
+        if bands <= MOST_BANDS and bands < 2 ** bits / 4:
+            return Keys(bits, bands, 1 - (1 - same ** bits) ** bands)
+    raise ValueError(f"no keys find pairs above {threshold} with recall {1 - miss}; raise miss or threshold, or ask for exact=True (all blocks)")
+
+
+def with_keys(vectors: DataFrame, keys: Keys, key: str, seed: int = 42) -> DataFrame:
+    """(key, embedding, keys): the signs of each band as one number."""
+    if not keys.bands:
+        return vectors.select(key, "embedding", F.array().cast("array<int>").alias("keys"))
 
     @F.pandas_udf("array<int>")
-    def cells(v: pd.Series) -> pd.Series:
-        away = np.arccos(np.clip(_matrix(v) @ pivots.T, -1.0, 1.0))
-        near = away.min(axis=1, keepdims=True)
-        if not outer:
-            return pd.Series([[int(c)] for c in away.argmin(axis=1)])
-        return pd.Series([np.flatnonzero(row).astype("int32").tolist()
-                          for row in away - near <= 2 * angle + 1e-9])
+    def signs(v: pd.Series) -> pd.Series:
+        matrix = _matrix(v)
+        planes = np.random.default_rng(seed + matrix.shape[1]).normal(size=(matrix.shape[1], keys.bands * keys.bits))
+        bits = (matrix @ planes > 0).reshape(len(matrix), keys.bands, keys.bits)
+        return pd.Series(list((bits << np.arange(keys.bits)).sum(axis=2).astype("int32")))
 
-    return df.select(F.explode(cells("embedding")).alias("cell"), key, "embedding")
+    return vectors.select(key, "embedding", signs("embedding").alias("keys"))
 
 
-def _block_join(left: DataFrame, right: DataFrame, key: str, threshold: float, kernel, schema: str) -> DataFrame:
-    """Run ``kernel`` on blocks of rows that can hold pairs above the threshold.
+def _block_join(left: DataFrame, right: DataFrame, key: str, keys: Keys, kernel, schema: str) -> DataFrame:
+    """Run ``kernel(left rows, right rows, band)`` on rows that share a key; inputs are from ``with_keys``.
 
-    Left rows sit in their home cell, right rows in every cell in reach. A cell with many rows is cut
-    into a grid of blocks, so no task gets more than about BLOCK_ROWS rows of a side. If the cells
-    overlap so much that they would only copy rows, one cell is used.
+    A key with many rows is cut into a grid of blocks, so no task gets more than about BLOCK_ROWS rows of a side.
     """
-    rows = left.count()
-    angle = math.acos(max(-1.0, min(1.0, threshold - 1e-6)))
-    pivots = _pivots(left, rows, key)
-    lc, rc = _in_cells(left, pivots, key, angle, False), _in_cells(right, pivots, key, angle, True)
-    if len(pivots):
-        copies = rc.count() / max(1, right.count())
-        if copies > len(pivots) / 4:
-            none = np.zeros((0, 0))
-            lc, rc = _in_cells(left, none, key, angle, False), _in_cells(right, none, key, angle, True)
-    sizes = (lc.select("cell", F.lit(1).alias("l"), F.lit(0).alias("r"))
-             .union(rc.select("cell", F.lit(0).alias("l"), F.lit(1).alias("r")))
-             .groupBy("cell").agg(F.ceil(F.sum("l") / BLOCK_ROWS).cast("int").alias("ln"),
-                                  F.ceil(F.sum("r") / BLOCK_ROWS).cast("int").alias("rn"))
-             .filter("ln > 0 and rn > 0"))  # one row per cell, at most 64
+    def cells(df: DataFrame) -> DataFrame:
+        if not keys.bands:
+            return df.select(F.lit(0).alias("band"), F.lit(0).alias("cell"), key, "embedding", "keys")
+        return df.select(F.posexplode("keys").alias("band", "cell"), key, "embedding", "keys")
+
+    lc, rc = cells(left), cells(right)
+    sizes = (lc.select("band", "cell", F.lit(1).alias("l"), F.lit(0).alias("r"))
+             .union(rc.select("band", "cell", F.lit(0).alias("l"), F.lit(1).alias("r")))
+             .groupBy("band", "cell").agg(F.ceil(F.sum("l") / BLOCK_ROWS).cast("int").alias("ln"),
+                                          F.ceil(F.sum("r") / BLOCK_ROWS).cast("int").alias("rn")))
+    # only keys with more than a block of rows; the others are one block
+    large = cut_lineage(sizes.filter("ln > 1 or rn > 1"))
+    large = F.broadcast(large) if has_at_most(large, BLOCK_ROWS) else large
 
     def blocks(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        return (df.join(F.broadcast(sizes), "cell")
-                .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
-                .select("cell", "lb", "rb", key, "embedding"))
+        count = lambda n: F.greatest(F.coalesce(n, F.lit(1)), F.lit(1))
+        return (df.join(large, ["band", "cell"], "left").withColumn(own, F.pmod(F.xxhash64(key), count(own_n)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), count(other_n) - 1)))
+                .select("band", "cell", "lb", "rb", key, "embedding", "keys"))
 
-    grid = ["cell", "lb", "rb"]
+    grid = ["band", "cell", "lb", "rb"]
     near = blocks(rc, "rb", "rn", "lb", "ln")
     near = near.select([F.col(c).alias(f"right_{c}") for c in near.columns])
 
-    def run(l_pdf: pd.DataFrame, r_pdf: pd.DataFrame) -> pd.DataFrame:
-        return kernel(l_pdf, r_pdf.rename(columns=lambda c: c.removeprefix("right_")))
+    def run(at, l_pdf: pd.DataFrame, r_pdf: pd.DataFrame) -> pd.DataFrame:
+        return kernel(l_pdf, r_pdf.rename(columns=lambda c: c.removeprefix("right_")), int(at[0]))
 
     return (blocks(lc, "lb", "ln", "rb", "rn").groupBy(*grid)
             .cogroup(near.groupBy(*[f"right_{c}" for c in grid])).applyInPandas(run, schema))
 
 
+def _first_met(left: np.ndarray, right: np.ndarray, band: int) -> np.ndarray:
+    """True for pairs of key rows that share no earlier band, so each pair comes from one band only."""
+    return ~(left[:, :band] == right[:, :band]).any(axis=1)
+
+
 def _later_matches(left: pd.DataFrame, right: pd.DataFrame, key: str, threshold: float,
                    step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(left row, right ids, similarities) above the threshold with left id < right id."""
@@ -361,41 +387,48 @@ def _later_matches(left: pd.DataFrame, right: pd.DataFrame, key: str, threshold:
         yield l_ids[at:at + step][rows], r_ids[cols], sims[rows, cols]
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", neighbours: int = 10) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", neighbours: int = 10, miss: float = 1e-4,
+                  exact: bool = False) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: for each row its most similar later rows, at most
     ``neighbours``. Copies are rows like any other; each block keeps ``neighbours`` rows of a row, so a large
-    group of copies costs rows, not pairs. Vectors without length are in no pair."""
+    group of copies costs rows, not pairs. Vectors without length are in no pair. See ``join_keys`` for
+    ``miss`` and ``exact``; ``join_keys(rows, threshold).bands`` tells how often a row is copied."""
     kind = vectors.schema[key].dataType.simpleString()
-    rows = vectors.filter(~is_zero("embedding")).select(key, "embedding")
+    rows = cut_lineage(vectors.filter(~is_zero("embedding")).select(key, "embedding"))
+    keys = join_keys(rows.count(), threshold, miss, exact)
+    keyed = with_keys(rows, keys, key)
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def kernel(left: pd.DataFrame, right: pd.DataFrame, band: int) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             l_ids, r_ids, r_mat = left[key].to_numpy(), right[key].to_numpy(), _matrix(right["embedding"])
+            l_keys, r_keys = (np.stack(x["keys"].to_numpy()) for x in (left, right))
             for at in range(0, len(left), 512):
                 sims = _round(_matrix(left["embedding"].iloc[at:at + 512]) @ r_mat.T)
-                for a, row in zip(l_ids[at:at + 512], sims):
+                for a, own, row in zip(l_ids[at:at + 512], l_keys[at:at + 512], sims):
                     later = np.flatnonzero((row > threshold) & (r_ids > a))
+                    if band and len(later):
+                        later = later[_first_met(own[None, :], r_keys[later], band)]
                     if len(later):
                         best = later[_best(row[later], r_ids[later], neighbours)]
                         out.append(pd.DataFrame({"id_a": a, "id_b": r_ids[best], "similarity": row[best]}))
         return pd.concat(out) if out else pd.DataFrame({"id_a": [], "id_b": [], "similarity": []})
 
-    pairs = _block_join(rows, rows, key, threshold, kernel, f"id_a {kind}, id_b {kind}, similarity double")
+    pairs = _block_join(keyed, keyed, key, keys, kernel, f"id_a {kind}, id_b {kind}, similarity double")
     return S.top_k(pairs, neighbours, by="id_a", score="similarity", tie="id_b").select("id_a", "id_b", "similarity")
 
 
-def first_similar(left: DataFrame, right: DataFrame, threshold: float, key: str) -> DataFrame:
+def first_similar(left: DataFrame, right: DataFrame, threshold: float, key: str, keys: Keys) -> DataFrame:
     """(key, by): for each right row with a similar smaller left row, the smallest such row.
 
-    Each block gives at most one row per right row, so a large group of alike rows costs rows, not
-    pairs."""
+    Both sides are from ``with_keys``. Each block gives at most one row per right row, so a large group of
+    alike rows costs rows, not pairs."""
     kind = right.schema[key].dataType.simpleString()
 
-    def kernel(l_pdf: pd.DataFrame, r_pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(l_pdf: pd.DataFrame, r_pdf: pd.DataFrame, band: int) -> pd.DataFrame:
         out = [pd.DataFrame({key: b, "by": a}).groupby(key, as_index=False)["by"].min()
                for a, b, _ in _later_matches(l_pdf, r_pdf, key, threshold)]
         return pd.concat(out) if out else pd.DataFrame({key: [], "by": []})
 
-    found = _block_join(left, right, key, threshold, kernel, f"`{key}` {kind}, by {kind}")
+    found = _block_join(left, right, key, keys, kernel, f"`{key}` {kind}, by {kind}")
     return found.groupBy(key).agg(F.min("by").alias("by"))

@@ -109,7 +109,8 @@ def _greedy(table: str, key: str, threshold: float) -> str:
     SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY similarity DESC, id_b) <= 10""",
     pairs=_later("vecs", "vec_id", 0.35), **DENSE))
 def _(t):
-    return vectors.similar_pairs(t.embeddings, 0.35)
+    # keys spare nothing at so low a threshold
+    return vectors.similar_pairs(t.embeddings, 0.35, exact=True)
 
 
 @query("h1_similar_documents", Q.sql("""
@@ -121,7 +122,7 @@ def _(t):
 
 @query("h2_semantic_dedup", _greedy("vecs", "vec_id", 0.35))
 def _(t):
-    return dedup.semantic_dedup(t.embeddings.select("vec_id", "embedding"), 0.35, key="vec_id")
+    return dedup.semantic_dedup(t.embeddings.select("vec_id", "embedding"), 0.35, key="vec_id", exact=True)
 
 
 @query("h2_semantic_dedup_documents", _greedy("dense", "doc_id", 0.95))

@@ -84,6 +84,39 @@ def test_similar_pairs_lose_nothing(spark, clustered, monkeypatch, block):
     assert got == want and want
 
 
+def test_keys_equal_the_exact_join(spark, clustered, monkeypatch):
+    """With keys (several blocks of rows, hot keys cut) the join finds what the exact one finds, each pair once."""
+    m = np.concatenate([clustered, np.random.default_rng(5).normal(size=(400, 16))])
+    want = sorted(tuple(r) for r in X.similar_pairs(frame(spark, m), 0.9, neighbours=10).collect())
+    kept = sorted(r[0] for r in dedup.semantic_dedup(frame(spark, m), 0.9, key="vec_id").collect())
+    monkeypatch.setattr(X, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(X, "KEY_ROWS", 10)
+    keys = X.join_keys(len(m), 0.9)
+    assert 0 < keys.bands <= X.MOST_BANDS and keys.recall >= 0.999
+    got = sorted(tuple(r) for r in X.similar_pairs(frame(spark, m), 0.9, neighbours=10).collect())
+    assert got == want and len(got) > 100
+    assert sorted(r[0] for r in dedup.semantic_dedup(frame(spark, m), 0.9, key="vec_id").collect()) == kept == greedy(m, 0.9)
+
+
+def test_keys_are_refused_where_they_spare_nothing():
+    assert X.join_keys(X.BLOCK_ROWS, 0.1) == X.Keys(0, 0, 1.0) == X.join_keys(10**9, 0.1, exact=True)
+    with pytest.raises(ValueError, match="exact"):
+        X.join_keys(10**6, 0.35)
+    for rows in (10**5, 10**7, 10**9):
+        keys = X.join_keys(rows, 0.95)
+        # compared pairs are a small share of all, and pairs at the threshold are hardly ever missed
+        assert keys.bands * 2.0 ** -keys.bits < 0.25 and keys.recall >= 0.9999 - 1e-9
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 7, 10])
+def test_rounds_follow_the_longest_chain(spark, length):
+    angle = np.radians(15.0 * np.arange(length))
+    m = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    rounds = []
+    got = sorted(r[0] for r in dedup.semantic_dedup(frame(spark, m), 0.95, key="vec_id", rounds=rounds).collect())
+    assert got == list(range(0, length, 2)) and len(rounds) <= length // 2 + 1
+
+
 def test_mixed_dimensions_are_reported_and_refused(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0])], "vec_id long, embedding array<double>")
     assert {r["check"] for r in X.vector_store_check(df).collect()} == {"mixed_dimensions", "very_few_chunks"}
