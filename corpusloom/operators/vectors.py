@@ -12,10 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as ty
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scores as S
-from ..session import cut_lineage, has_at_most
+from ..session import cut_lineage, has_at_most, scratch_folder
 
 # Queries up to this number are sent to every task (64 MB at 1,024 dimensions of 8 bytes).
 BROADCAST_QUERIES = 8192
@@ -129,60 +129,121 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_
 
 
 PROBES = {"low": 10, "medium": 20, "high": 50}
+#: Rows per cell that k-means is trained on, drawn by a hash of the key; every row gets a cell.
+TRAIN_PER_CELL = 64
 
 
 def cell_count(rows: int) -> int:
-    return max(4, min(int(math.sqrt(rows)), rows // 39, 256))
+    """About the square root of the rows, with 39 rows a cell at least."""
+    return max(4, min(int(math.sqrt(rows)), rows // 39))
 
 
-def assign_cells(vectors: DataFrame, cells: int, key: str, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """Cell number of every vector and the centroids (at most 256 rows).
+class CellStore:
+    """Vectors partitioned by cell on storage, and the centroids beside them (one row per cell, about sqrt(rows))."""
 
-    Spark ML's k-means trains distributed; the cell column is what a store is partitioned by.
+    def __init__(self, vectors: DataFrame, centroids: np.ndarray, cells: np.ndarray, key: str):
+        self.vectors, self.centroids, self.cells, self.key = vectors, centroids, cells, key
+
+
+def write_cells(vectors: DataFrame, path: str, key: str, cells: int | None = None, seed: int = 42) -> None:
+    """Train cells, and write ``path/vectors`` (partitioned by cell) and ``path/centroids``.
+
+    Spark ML's k-means runs on ``TRAIN_PER_CELL`` rows per cell. Vectors without length lie in the cell whose centroid is
+    first; they score 0 wherever they lie.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    df = vectors.select(key, "embedding", array_to_vector(S.l2_normalize(F.col("embedding"))).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10, predictionCol="cell", featuresCol="features").fit(df)
+    rows = cut_lineage(vectors.select(key, "embedding"))
+    count = rows.count()
+    cells = cells or cell_count(count)
+    share = cells * TRAIN_PER_CELL / max(count, 1)
+    sample = rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else rows
+    features = cut_lineage(sample.select(array_to_vector(S.l2_normalize(F.col("embedding"))).alias("features")))
+    model = KMeans(k=cells, seed=seed, maxIter=8, initMode="random", featuresCol="features").fit(features)
     centroids = np.stack(model.clusterCenters())
-    return model.transform(df).select(key, "embedding", "cell"), centroids
+    shared = rows.sparkSession.sparkContext.broadcast(_unit(centroids))
 
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        return pd.Series((_matrix(v) @ shared.value.T).argmax(axis=1).astype("int32"))
 
-def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id",
-            recall: str = "medium", flat_below: int = 0) -> DataFrame:
-    """Approximate top-k: only the ``nprobe`` cells nearest to a query are scored.
+    placed = rows.withColumn("cell", nearest("embedding"))
+    # a large cell is written by several tasks, a small one by one
+    salt = F.pmod(F.xxhash64(key), F.lit(max(1, math.ceil(count / cells / BLOCK_ROWS))))
+    placed.repartition("cell", salt).write.partitionBy("cell").mode("overwrite").parquet(f"{path}/vectors")
+    spark = rows.sparkSession
+    spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
-    With ``flat_below`` a collection of fewer vectors is searched exactly.
-    """
-    rows = vectors.count()
-    if rows < max(flat_below, 4):
-        return knn_exact(queries, vectors, k, key)
-    celled, centroids = assign_cells(vectors, cell_count(rows), key)
-    return probe_cells(queries, celled, centroids, k, key, PROBES[recall])
+
+def open_cells(spark: SparkSession, path: str, key: str) -> CellStore:
+    table = spark.read.parquet(f"{path}/centroids").orderBy("cell").toPandas()
+    return CellStore(spark.read.parquet(f"{path}/vectors"), np.stack(table["centroid"].to_numpy()), table["cell"].to_numpy(), key)
 
 
-def probe_cells(queries: DataFrame, celled: DataFrame, centroids: np.ndarray, k: int, key: str,
-                nprobe: int) -> DataFrame:
-    """Search a store that already has a cell column, for any number of queries.
+def search_cells(queries: DataFrame, store: CellStore, k: int, nprobe: int) -> DataFrame:
+    """hits(query_id, key, score, rank) among the ``nprobe`` cells nearest to each query, for any number of queries.
 
-    A query goes to the cells it probes and meets no vector of the others. Large cells are cut into blocks
-    of at most about ``BLOCK_ROWS`` queries and vectors.
+    Only the asked cells are read (partition filter). Up to ``BROADCAST_QUERIES`` queries go to the tasks that read
+    the cells, where a query meets no vector of another cell and each task keeps its k best; beyond that, blocks
+    of queries and vectors of a cell meet in a join.
     """
-    centres = _unit(centroids)
+    centres, cells, key = _unit(store.centroids), store.cells, store.key
     probes = min(nprobe, len(centres))
 
     @F.pandas_udf("array<int>")
     def nearest(v: pd.Series) -> pd.Series:
         order = np.argsort(-(_matrix(v) @ centres.T), axis=1, kind="stable")[:, :probes]
-        return pd.Series(list(order.astype("int32")))
+        return pd.Series(list(cells[order].astype("int32")))
+
+    probed = queries.select("query_id", "embedding", nearest("embedding").alias("cells"))
+    if not has_at_most(queries, BROADCAST_QUERIES):
+        return _join_cells(cut_lineage(probed.select("query_id", "embedding", F.explode("cells").alias("cell"))), store.vectors, k, key)
+    block = probed.toPandas()
+    asked = sorted({int(c) for row in block["cells"] for c in row})
+    own = {c: [] for c in asked}
+    for i, row in enumerate(block["cells"]):
+        for c in row:
+            own[int(c)].append(i)
+    shared = queries.sparkSession.sparkContext.broadcast((
+        block["query_id"].to_numpy(), _matrix(block["embedding"]) if len(block) else np.zeros((0, 0)), {c: np.array(q) for c, q in own.items()}))
+    id_type = store.vectors.schema[key].dataType.simpleString()
+    q_type = queries.schema["query_id"].dataType.simpleString()
 
-    asked = queries.select("query_id", "embedding", F.explode(nearest("embedding")).alias("cell"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q_mat, by_cell = shared.value
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            cell, ids = np.asarray(batch.column("cell")), batch.column(key).to_numpy(zero_copy_only=False)
+            mat = _matrix(batch.column("embedding"))
+            for c in np.unique(cell):
+                at, who = np.flatnonzero(cell == c), by_cell[int(c)]
+                step = max(1, TILE // len(at))
+                for start in range(0, len(who), step):
+                    part = who[start:start + step]
+                    for q, row in zip(part.tolist(), _round(q_mat[part] @ mat[at].T)):
+                        s, i = row, ids[at]
+                        if q in kept:
+                            s, i = np.concatenate([kept[q][0], s]), np.concatenate([kept[q][1], i])
+                        best = _best(s, i, k)
+                        kept[q] = (s[best], i[best])
+        if kept:
+            sizes = [len(s) for s, _ in kept.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[list(kept)], sizes)), pa.array(np.concatenate([i for _, i in kept.values()])),
+                                              pa.array(np.concatenate([s for s, _ in kept.values()]))], names=["query_id", key, "score"])
+
+    pruned = store.vectors.where(F.col("cell").isin(asked))
+    found = pruned.select("cell", key, "embedding").mapInArrow(run, f"query_id {q_type}, `{key}` {id_type}, score double")
+    return S.top_k(found, k, tie=key)
+
+
+def _join_cells(asked: DataFrame, celled: DataFrame, k: int, key: str) -> DataFrame:
+    """Queries meet the vectors of their cells; large cells are cut into blocks of about ``BLOCK_ROWS`` of each side."""
     sizes = (asked.select("cell", F.lit(1).alias("q"), F.lit(0).alias("v"))
              .union(celled.select("cell", F.lit(0).alias("q"), F.lit(1).alias("v")))
              .groupBy("cell").agg(F.ceil(F.sum("q") / BLOCK_ROWS).cast("int").alias("qn"),
                                   F.ceil(F.sum("v") / BLOCK_ROWS).cast("int").alias("vn"))
-             .filter("qn > 0 and vn > 0"))  # one row per cell, at most 256
+             .filter("qn > 0 and vn > 0"))  # one row per cell, as the centroids that every task holds
 
     def spread(df: DataFrame, own: str, own_n: str, other: str, other_n: str, by: str) -> DataFrame:
         return (df.join(F.broadcast(sizes), "cell").withColumn(own, F.pmod(F.xxhash64(by), F.col(own_n)).cast("int"))
@@ -192,12 +253,26 @@ def probe_cells(queries: DataFrame, celled: DataFrame, centroids: np.ndarray, k:
     grid = ["cell", "qb", "vb"]
     left, right = spread(asked, "qb", "qn", "vb", "vn", "query_id"), spread(celled, "vb", "vn", "qb", "qn", key)
     id_type = celled.schema[key].dataType.simpleString()
-    q_type = queries.schema["query_id"].dataType.simpleString()
+    q_type = asked.schema["query_id"].dataType.simpleString()
     found = (left.groupBy(*grid).cogroup(right.groupBy(*grid))
              .applyInPandas(_block_top_k(k, key), f"query_id {q_type}, `{key}` {id_type}, score double"))
     return S.top_k(found, k, tie=key)
 
 
+def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id",
+            recall: str = "medium", flat_below: int = 0, path: str | None = None) -> DataFrame:
+    """Approximate top-k over vectors that have no store yet: writes one (at ``path`` or in the scratch folder) and searches it.
+
+    With ``flat_below`` a collection of fewer vectors is searched exactly.
+    """
+    rows = vectors.count()
+    if rows < max(flat_below, 4):
+        return knn_exact(queries, vectors, k, key)
+    path = path or scratch_folder(vectors.sparkSession, "cells")
+    write_cells(vectors, path, key)
+    return search_cells(queries, open_cells(vectors.sparkSession, path, key), k, PROBES[recall])
+
+
 def pair_similarity(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Cosine and band of listed pairs (a, b)."""
     left = vectors.select(F.col(key).alias("a"), F.col("embedding").alias("_va"))

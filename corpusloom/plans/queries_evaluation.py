@@ -400,6 +400,7 @@ def _(t):
         LEFT JOIN should s ON s.query_id = h.query_id AND s.chunk_id = h.chunk_id GROUP BY 1, 2, 3))
     GROUP BY 1, 2""", should=CONTENT["should"], vec50=Q.ranked("vec", 50)))
 def _(t):
+    t.store()
     return E.parameter_sweep(t.queries, fusion.with_text(t.vector_hits(50), t.chunks), t.bm25_hits(3))
 
 

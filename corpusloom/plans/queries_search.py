@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import scores as S, text as T
 from ..operators import encoders, fusion, lexical, vectors
 from ..session import cut_lineage, scratch_folder
-from ..sources import sinks
 from . import search
 from . import sqlparts as Q
 from .registry import query
@@ -37,14 +36,35 @@ def _(t):
 
 @query("d3_knn_ivf")
 def _(t):
-    return vectors.knn_ivf(t.class_centres, t.embeddings, 10, "vec_id")
+    return vectors.search_cells(t.class_centres, t.cells("embeddings", "vec_id"), 10, vectors.PROBES["medium"])
 
 
 @query("d3_knn_ivf_text")
 def _(t):
-    path = scratch_folder(t.spark, "vectors")
-    sinks.save_chunk_store(t.chunk_vectors, path)
-    return vectors.knn_ivf(t.query_vectors, t.spark.read.parquet(path), 10)
+    return vectors.search_cells(t.query_vectors, t.cells("chunk_vectors", "chunk_id"), 10, vectors.PROBES["medium"])
+
+
+def _recall(t, hits, exact, key):
+    """Per query: is the share of the exact hits that were found at least .8, and are all found scores exact ones?"""
+    both = exact.select("query_id", key, F.col("score").alias("_s")).join(hits.select("query_id", key, "score"), ["query_id", key], "left")
+    return both.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), (F.count("score") >= 0.8 * F.count(F.lit(1))).alias("recall_80"),
+                                        F.bool_and(F.coalesce(F.col("score") == F.col("_s"), F.lit(True))).alias("scores_exact"))
+
+
+_RECALLED = "SELECT query_id, count(*) AS wanted, true AS recall_80, true AS scores_exact FROM {0} GROUP BY 1"
+
+
+@query("d3_recall", Q.sql(_RECALLED.format("(" + Q.ranked("centre_scores", 10, tie="vec_id") + ")")))
+def _(t):
+    hits = vectors.search_cells(t.class_centres, t.cells("embeddings", "vec_id"), 10, vectors.PROBES["high"])
+    return _recall(t, hits, vectors.knn_exact(t.class_centres, t.embeddings, 10, "vec_id"), "vec_id")
+
+
+@query("d3_recall_text", Q.sql(_RECALLED.format("vec10")))
+def _(t):
+    t.store()
+    hits = vectors.search_cells(t.query_vectors, t.cells("chunk_vectors", "chunk_id"), 10, vectors.PROBES["high"])
+    return _recall(t, hits, t.vector_hits(10), "chunk_id")
 
 
 @query("d4_pair_similarity", f"""

@@ -58,6 +58,14 @@ class Tables:
         return self._indexes.get("chunk_vectors") or (encoders.embed(self.chunks.select("chunk_id", "text"), encoders.hashing_encoder(DIMS), dims=DIMS)
                 .select("chunk_id", "embedding"))
 
+    def cells(self, name: str, key: str) -> vectors.CellStore:
+        """The vectors of that name in a store by cell; written at its first use."""
+        if f"cells-{name}" not in self._indexes:
+            path = scratch_folder(self.spark, f"cells-{name}")
+            vectors.write_cells(getattr(self, name), path, key)
+            self._indexes[f"cells-{name}"] = vectors.open_cells(self.spark, path, key)
+        return self._indexes[f"cells-{name}"]
+
     @property
     def query_vectors(self) -> DataFrame:
         return (encoders.embed(self.queries, encoders.hashing_encoder(DIMS), text="query", dims=DIMS)

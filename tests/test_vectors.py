@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,13 +44,30 @@ def test_k_above_corpus_size(spark):
     assert X.knn_exact(frame(spark, v[:1], "query_id"), frame(spark, v), 10, "vec_id").count() == 3
 
 
-@pytest.mark.parametrize("block", [20_000, 15])
-def test_cells_find_most_of_the_exact_hits(spark, clustered, monkeypatch, block):
-    monkeypatch.setattr(X, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("most", [8192, 2])
+def test_cells_find_most_of_the_exact_hits(spark, clustered, monkeypatch, most):
+    """Queries that go to the cells, and queries that meet them in a join."""
+    monkeypatch.setattr(X, "BROADCAST_QUERIES", most)
+    monkeypatch.setattr(X, "BLOCK_ROWS", 15 if most == 2 else X.BLOCK_ROWS)
     q = clustered[::25]
-    got = {(r["query_id"], r["vec_id"]) for r in X.knn_ivf(
-        frame(spark, q, "query_id"), frame(spark, clustered), 10, "vec_id", recall="low").collect()}
-    assert len(got & set(brute(q, clustered, 10))) / (10 * len(q)) >= 0.9
+    hits = X.knn_ivf(frame(spark, q, "query_id"), frame(spark, clustered), 10, "vec_id", recall="low")
+    got = {(r["query_id"], r["vec_id"]): r["rank"] for r in hits.collect()}
+    assert len(got) == 10 * len(q)
+    assert len(set(got) & set(brute(q, clustered, 10))) / (10 * len(q)) >= 0.9
+
+
+def test_cell_store_reads_asked_cells_only(spark, clustered, tmp_path):
+    X.write_cells(frame(spark, clustered), str(tmp_path), "vec_id", cells=12)
+    store = X.open_cells(spark, str(tmp_path), "vec_id")
+    assert store.vectors.count() == len(clustered) and len(store.cells) == 12
+    hits = X.search_cells(frame(spark, clustered[:1], "query_id"), store, 5, 1)
+    plan = hits._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert re.search(r"PartitionFilters: \[.*cell#", plan)
+    home = store.vectors.where("vec_id = 0").first()["cell"]
+    inside = {r["vec_id"] for r in store.vectors.where(F.col("cell") == home).collect()}
+    assert {r["vec_id"] for r in hits.collect()} <= inside and hits.first()["vec_id"] == 0
+    everything = X.search_cells(frame(spark, clustered[::25], "query_id"), store, 7, 12)
+    assert {(r["query_id"], r["vec_id"]): r["rank"] for r in everything.collect()} == brute(clustered[::25], clustered, 7)
 
 
 def greedy(m, t):
