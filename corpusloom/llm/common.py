@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from corpusloom.session import scratch_folder
+from corpusloom.session import cut_lineage, has_at_most, scratch_folder
 
 #: A word is a run of bytes that are neither a space nor one of the five ASCII control spaces.
 SPACES = "\x20\x09-\x0D"
@@ -106,3 +106,23 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFr
               .withColumn("_offset", F.sum("_n").over(own.orderBy("_p")) - F.col("_n")).withColumn("total", F.sum("_n").over(own)))
     return (lined.join(counts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
             .withColumn("pos", F.col("_at") - F.col("_first") + F.col("_offset")).drop("_at", "_part", "_g", "_p", "_first", "_n", "_offset"))
+
+
+#: Rows of one key above which a join spreads it, and the tasks it is spread over.
+HOT_ROWS = 20_000
+SALTS = 64
+
+
+def join_hot(big: DataFrame, small: DataFrame, on: str, spread: Column) -> DataFrame:
+    """Inner equi-join where ``small`` has one row per key and a few keys may hold a large share of ``big``.
+
+    Keys are counted first (folded before the shuffle). Only rows of keys above ``HOT_ROWS`` get a salt from ``spread``, and
+    only their row of ``small`` is repeated. Columns of ``small`` besides the key must be new.
+    """
+    hot = cut_lineage(big.groupBy(on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > HOT_ROWS).select(on, F.lit(True).alias("_hot")))
+    if hot.isEmpty():
+        return big.join(small, on)
+    hot = F.broadcast(hot) if has_at_most(hot, 100_000) else hot
+    left = big.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(small.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot"), [on, "_salt"]).drop("_salt")

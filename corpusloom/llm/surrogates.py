@@ -1,6 +1,8 @@
 """Personal data is replaced by keyed surrogates of the same type, gender, script and format.
 
-Detection is one regular expression over whole texts. Every distinct entity of the corpus gets one surrogate,
+Detection is one pass of a regular expression over whole texts (without its part for mail where a text has no
+``@``), and a second look in the texts that name persons: a name found there is found wherever it stands in that
+text. Texts are written once with their entities set apart, and all later steps read that. Every distinct entity of the corpus gets one surrogate,
 a function of the secret key, its type, its canonical form and an attempt number, so all mentions of an entity
 change alike (coreference). A collision check compares the surrogates of all distinct entities: two entities
 may not share one and a surrogate may not be an entity that occurs in the corpus (given names of the
@@ -8,7 +10,8 @@ lists apart, which are permuted among themselves). Losers take the next attempt
 ``PLAIN`` attempts their surrogates get longer with every further one, so small formats never run out.
 
 Everything is DataFrame functions. Only distinct entities are shuffled to find surrogates; texts without an
-entity are never shuffled.
+entity are never shuffled. Texts with the same entities share one list of replacements, and only lists and entities
+counted as hot are salted.
 """
 
 from __future__ import annotations
@@ -73,9 +76,42 @@ NATIONAL = r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 NUMBERS = rf"(?=[0-9+(])(?:{ADDRESS}|{CARD}|{PHONE}|{NATIONAL})"
 NAME = (rf"(?=\p{{Lu}}\p{{L}})(?:{_known}(?= \p{{Lu}}\p{{Ll}})"
         rf"|(?<=[\p{{L}}.] )(?:(?<=(?<!\p{{L}}){_titles}\.? )|(?<=(?<!\p{{L}}){_known} ))\p{{Lu}}\p{{L}}{{1,30}})")
+_mail = rf"{EMAIL_START}{EMAIL}"
+
+
+def _pattern(mail: str) -> str:
+    return (rf"(?:(?=[0-9+(])(?<![0-9])(?:{NUMBERS})|(?=AKIA)(?<![A-Za-z0-9]){KEY_ID}|{mail}{PASSWORD}|{HEX_TOKEN}"
+            rf"|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:{NAME}))")
+
+
 #: No entity starts after a character that could continue its kind; each kind begins with a test that most places fail.
-PATTERN = (rf"(?:(?=[0-9+(])(?<![0-9])(?:{NUMBERS})|(?=AKIA)(?<![A-Za-z0-9]){KEY_ID}|{EMAIL_START}{EMAIL}|{PASSWORD}|{HEX_TOKEN}"
-           rf"|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:{NAME}))")
+PATTERN = _pattern(f"{_mail}|")
+WITHOUT_MAIL = _pattern("")
+#: Signs that set entities apart; a text that has them itself is taken apart in another way.
+OPEN, CLOSE = "\x01", "\x02"
+
+
+def parts(text: Column) -> Column:
+    """The text as gap, entity, gap, ..., gap; one gap if there is no entity."""
+    def marked(pattern):
+        return F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
+    gaps, raws = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    woven = F.flatten(F.zip_with(gaps, raws, lambda g, r: F.when(r.isNull(), F.array(g)).otherwise(F.array(g, r))))
+    return F.when(text.contains(OPEN) | text.contains(CLOSE), woven).when(text.contains("@"), marked(PATTERN)).otherwise(marked(WITHOUT_MAIL))
+
+
+def entities(of: Column) -> Column:
+    return F.filter(of, lambda _, i: i % 2 == 1)
+
+
+def names_again(of: Column) -> Column:
+    """Parts in which the names among the entities are entities wherever they stand as words."""
+    names = F.array_distinct(F.filter(entities(of), lambda e: e.rlike("^\\p{Lu}\\p{L}+$")))
+    word = F.concat(F.lit("(?<![\\p{L}\\p{M}\\p{N}])(?:"), F.array_join(names, "|"), F.lit(")(?![\\p{L}\\p{M}\\p{N}])"))
+    again = F.array_join(F.transform(of, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit(OPEN), x, F.lit(CLOSE))).otherwise(
+        F.regexp_replace(x, word, F.lit(f"{OPEN}$0{CLOSE}")))), "")
+    own = F.exists(of, lambda x: x.contains(OPEN) | x.contains(CLOSE))
+    return F.when((F.size(names) > 0) & ~own, F.split(again, f"[{OPEN}{CLOSE}]", -1)).otherwise(of)
 
 
 def kind_of(e: Column) -> Column:
@@ -232,7 +268,10 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     """
     real = entities.select("kind", F.col("canon").alias("core"))
     pending, done, attempt = entities, None, 0
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
+        # a row is small and its surrogate is work: by number of tasks, not by size
+        pending = pending.repartition(tasks, "kind", "canon")
         cand = pending.withColumn("_h", _hash(F.col("kind"), F.col("canon"), attempt, key))
         cand = cand.withColumn("core", surrogate(F.col("kind"), F.col("canon"), attempt, F.col("_h")))
         taken = real if done is None else real.unionByName(done.select("kind", "core"))
@@ -246,53 +285,49 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         attempt += 1
 
 
-def replace_entities(docs: DataFrame, key: str, text: str = "text", spread: str = "doc_id") -> tuple[DataFrame, str]:
+def replace_entities(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, str]:
     """docs with rewritten texts and a column that counts the replaced mentions; returns (frame, name of that column).
 
     Null texts stay null, texts without an entity stay as they are. All columns and all rows are kept.
     """
-    own, count, mark = "_pii_key", "_pii_count", "_pii_map"
-    has = F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
-    hits = docs.where(has)
-    found = hits.select(F.md5(F.col(text)).alias("h"), F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("raws"))
-    # copies of a text meet here once; the list of a text is a function of the text
-    found = found.groupBy("h").agg(F.first("raws").alias("raws")).select("h", F.explode("raws").alias("raw"))
+    count, mark, split, own = "_pii_count", "_pii_map", "_pii_parts", "_pii_key"
+    cols = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    apart = common.stored(docs.select(*cols, parts(F.col(text)).alias(split)).withColumn(split, names_again(F.col(split))), "pii-parts")
+    has = F.coalesce(F.size(split) > 1, F.lit(False))
+    keyed = F.md5(F.to_json(F.array_sort(F.array_distinct(entities(F.col(split))))))
+    # texts with the same entities meet here once
+    lists = apart.where(has).select(keyed.alias(own), F.array_distinct(entities(F.col(split))).alias("raws")).groupBy(own).agg(F.first("raws").alias("raws"))
+    found = lists.select(own, F.explode("raws").alias("raw"))
     found = found.withColumn("kind", kind_of(F.col("raw"))).withColumn("canon", canonical(F.col("raw"), F.col("kind")))
     found = cut_lineage(found)
     mapping = assign(cut_lineage(found.where("kind <> 'given'").select("kind", "canon").distinct()), key)
-    # an entity of a third of all texts meets its surrogate in many tasks
-    salts = 32
-    left = found.where("kind <> 'given'").withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(salts)).cast("int"))
-    right = mapping.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = left.join(right, ["kind", "canon", "salt"]).select("h", "raw", _layout(F.col("raw"), F.col("kind"), F.col("core"), F.col("canon")).alias("new"))
-    given = found.where("kind = 'given'").select("h", "raw", _given(F.col("raw"), key).alias("new"))
-    per_text = joined.unionByName(given).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias(mark))
-    per_text = cut_lineage(per_text.withColumnRenamed("h", "_pii_h").withColumn("_pii_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    keyed = hits.withColumn(own, F.md5(F.col(text))).withColumn("_pii_salt", F.pmod(F.xxhash64(F.col(spread).cast("string")), F.lit(salts)).cast("int"))
-    both = keyed.join(per_text, (keyed[own] == per_text["_pii_h"]) & (keyed["_pii_salt"] == per_text["_pii_salt"]))
-    gaps = F.split(F.col(text), PATTERN, -1)
-    raws = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    rebuilt = F.concat(F.array_join(F.zip_with(gaps, raws, lambda g, r: F.concat(g, F.when(r.isNull(), F.lit("")).otherwise(F.element_at(F.col(mark), r)))), ""))
-    cols = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    changed = both.select(*cols, rebuilt.alias(text), F.size(raws).cast("long").alias(count))
-    same = docs.where(~has).select(*cols, F.col(text), F.lit(0).cast("long").alias(count))
+    named = found.where("kind <> 'given'").withColumn("entity", F.concat_ws("\x1f", "kind", "canon"))
+    mapping = mapping.select(F.concat_ws("\x1f", "kind", "canon").alias("entity"), "core")
+    joined = common.join_hot(named, mapping, "entity", F.col(own)).select(own, "raw", _layout(F.col("raw"), F.col("kind"), F.col("core"), F.col("canon")).alias("new"))
+    given = found.where("kind = 'given'").select(own, "raw", _given(F.col("raw"), key).alias("new"))
+    per_list = cut_lineage(joined.unionByName(given).groupBy(own).agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias(mark)))
+    both = common.join_hot(apart.where(has).withColumn(own, keyed), per_list, own, F.col(split))
+    rebuilt = F.array_join(F.transform(split, lambda x, i: F.when(i % 2 == 1, F.element_at(F.col(mark), x)).otherwise(x)), "")
+    changed = both.select(*cols, rebuilt.alias(text), F.size(entities(F.col(split))).cast("long").alias(count))
+    same = apart.where(~has).select(*cols, F.col(split)[0].alias(text), F.lit(0).cast("long").alias(count))
     return same.unionByName(changed), count
 
 
-#: Stand-in for a secret; a deployment passes its own.
+#: Session setting that holds the secret key, and a stand-in where it is not set.
+KEY_SETTING = "spark.corpusloom.surrogateKey"
 DEFAULT_KEY = "surrogate-key"
 
 
 def op2_pii_surrogates(spark, folder: str) -> DataFrame:
     """doc_id, rewritten whole text, number of replaced mentions."""
     docs = common.table(spark, folder, "documents").select("doc_id", "text")
-    out, count = replace_entities(docs, DEFAULT_KEY)
+    out, count = replace_entities(docs, spark.conf.get(KEY_SETTING, DEFAULT_KEY))
     return out.select("doc_id", "text", F.col(count).alias("n_replaced"))
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: texts rewritten, n_chars (where it exists) follows the new text; no row is dropped."""
-    out, count = replace_entities(docs, DEFAULT_KEY)
+    out, count = replace_entities(docs, spark.conf.get(KEY_SETTING, DEFAULT_KEY))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
