@@ -293,13 +293,13 @@ def word_starts(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     first = np.flatnonzero((data & 0xC0) != 0x80)
     b = data[first].astype(np.int32)
     point = b.copy()
-    tail = lambda k: data[np.minimum(first + k, len(data) - 1)].astype(np.int32) & 0x3F
-    two, three, four = (b >= 0xC0) & (b < 0xE0), (b >= 0xE0) & (b < 0xF0), b >= 0xF0
-    if (b >= 0x80).any():
+    wide = np.flatnonzero(b >= 0x80)
+    if len(wide):
+        lead, at = b[wide], first[wide]
+        tail = lambda k: data[np.minimum(at + k, len(data) - 1)].astype(np.int32) & 0x3F
         t1, t2, t3 = tail(1), tail(2), tail(3)
-        point = np.where(two, (b & 0x1F) << 6 | t1, point)
-        point = np.where(three, (b & 0x0F) << 12 | t1 << 6 | t2, point)
-        point = np.where(four, np.minimum((b & 0x07) << 18 | t1 << 12 | t2 << 6 | t3, 0x10FFFF), point)
+        made = np.where(lead < 0xE0, (lead & 0x1F) << 6 | t1, (lead & 0x0F) << 12 | t1 << 6 | t2)
+        point[wide] = np.where(lead >= 0xF0, np.minimum((lead & 0x07) << 18 | t1 << 12 | t2 << 6 | t3, 0x10FFFF), made)
     n = len(point)
     kind = _classes()[point]
     begin = np.zeros(n + 1, bool)

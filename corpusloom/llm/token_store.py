@@ -30,6 +30,7 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ FILE_BUCKETS = 128
 GROUP_KEYS = 4
 PILOTS = 512
 #: Words that a worker remembers; beyond it the memory starts anew.
-KEPT = 500_000
+KEPT = 800_000
 READ = 4 << 20
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("length", "<u4")])
 
@@ -96,6 +97,18 @@ def _index_name(part: int) -> str:
 
 
 # -- encoding ------------------------------------------------------------------------------------------
+class _Numbers(dict):
+    """Numbers of words in the order in which they are first met; ``fresh`` holds those that nobody has taken up yet."""
+
+    def __init__(self):
+        self.fresh = []
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Encoder:
     """The tokenizers library with remembered words."""
 
@@ -113,13 +126,14 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[bytes, int] = {}
+        self.slots = _Numbers()
         self.ids, self.limits = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        ids = [np.array(e.ids, np.uint32) for e in self.lib.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        self.ids = np.concatenate([self.ids, *ids])
-        self.limits = np.concatenate([self.limits, self.limits[-1] + np.cumsum([len(x) for x in ids])])
+        ids = [e.ids for e in self.lib.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self.limits = np.concatenate([self.limits, self.limits[-1] + np.cumsum(sizes)])
 
     def encode(self, data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of every row of a ragged array of UTF-8 bytes, and their limits."""
@@ -143,10 +157,10 @@ class Encoder:
         words = [raw[a:b] for a, b in zip(places, places[1:])]
         if len(self.slots) > KEPT:
             self._forget()
-        known = len(self.slots)
-        codes = np.fromiter((self.slots.setdefault(w, len(self.slots)) for w in words), np.int64, len(words))
-        if len(self.slots) > known:
-            self._learn(list(self.slots)[known:])
+        codes = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        if self.slots.fresh:
+            self._learn(self.slots.fresh)
+            self.slots.fresh = []
         ids, ends = common.gather_ragged(self.ids, self.limits, codes)
         return ids, ends[np.searchsorted(at, limits)]
 
