@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as V, scores as S, text as T
+from ..session import cut_lineage
 from .checks import retrieval_succeeded  # noqa: F401  (part of this module's interface)
 
 
@@ -28,22 +29,21 @@ def stratified_subset(questions: DataFrame, slices: Column, low: int = 8, high:
     """First, middle and last question of every source, at most ``high``; topped up to ``low`` at even
     steps from the rest. Fewer than ``low`` questions are all taken."""
     df = S.numbered(questions, "query_id", slices, to="pos", keys=("source",))
-    sizes = questions.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    df = df.join(sizes, "source")
-    total = sizes.agg(F.sum("n")).scalar()
-    place = F.col("pos")
+    sizes = cut_lineage(questions.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    df = cut_lineage(df.join(sizes, "source"))
     first_mid_last = F.array_distinct(F.when(F.col("n") >= 3, F.array(F.lit(1), F.floor(F.col("n") / 2) + 1, F.col("n")))
                                       .otherwise(F.array(F.lit(1), F.col("n"))))
-    df = df.withColumn("_pick", F.array_contains(first_mid_last, place) | (total < low))
-    picked = df.filter("_pick").orderBy("source", "pos").limit(high)  # a cap that is part of the operator
-    chosen = picked.agg(F.count(F.lit(1))).scalar()
-    rest = df.filter(~F.col("_pick"))
-    rest = S.numbered(rest.withColumn("_o", F.struct("source", "pos")), "_o", F.struct("source", F.floor(F.col("pos") / 10_000)), to="_r")
-    left = total - chosen
-    needed = F.least(low - chosen, left)
-    step = F.greatest(F.lit(1), F.floor(left / needed))
-    more = (rest.filter((chosen < low) & ((F.col("_r") - 1) % F.when(needed > 0, step).otherwise(1) == 0)
-                        & (F.floor((F.col("_r") - 1) / F.when(needed > 0, step).otherwise(1)) < high - chosen)))
+    df = df.withColumn("_pick", F.array_contains(first_mid_last, F.col("pos")) | F.lit(total < low))
+    picked = cut_lineage(df.filter("_pick").orderBy("source", "pos").limit(high))  # a cap that is part of the operator
+    chosen = picked.count()
+    needed = min(low - chosen, total - chosen)
+    if needed <= 0:
+        return picked.select("source", "query_id", "pos")
+    step = max(1, (total - chosen) // needed)
+    rest = df.filter(~F.col("_pick")).withColumn("_o", F.struct("source", "pos"))
+    rest = S.numbered(rest, "_o", F.struct("source", F.floor(F.col("pos") / 10_000)), to="_r")
+    more = rest.filter(((F.col("_r") - 1) % step == 0) & (F.floor((F.col("_r") - 1) / step) < high - chosen))
     return picked.select("source", "query_id", "pos").unionByName(more.select("source", "query_id", "pos"))
 
 
@@ -116,17 +116,38 @@ def composite(correct: Column, complete: Column, recall: Column, latency: Column
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def score_rows(rows: DataFrame) -> DataFrame:
-    """Adds correctness, completeness, specificity, recall, context hit and the composite score. The
-    expected answer is the question's own passage."""
+def config_rows(questions: DataFrame, hits: DataFrame, configs: DataFrame, latency: DataFrame, feedback: DataFrame) -> DataFrame:
+    """One row per (configuration, question with its expected answer), from the hits of every configuration.
+
+    ``hits`` = (config_id, query_id, doc_id, score, rank, text); ``configs`` = (config_id, plan, top_k) are few and cross the questions.
+    """
+    best = F.max("score").over(Window.partitionBy("config_id", "query_id"))
+    scaled = hits.withColumn("_s", F.when(best > 0, F.col("score") / best).otherwise(0.0)).join(feedback, "doc_id", "left")
+    made = scaled.groupBy("config_id", "query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("p"), F.avg("_s").alias("similarity"),
+        F.max(F.when(F.col("rank") == 1, F.col("feedback"))).alias("feedback"))
+    made = made.select("config_id", "query_id", "similarity", "feedback", F.col("p")[0]["text"].alias("answer"),
+                       F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("context"))
+    each = F.explode(F.array(*[F.struct(F.lit(r["config_id"]).alias("config_id"), F.lit(r["plan"]).alias("plan"), F.lit(r["top_k"]).alias("k"))
+                               for r in configs.select("config_id", "plan", "top_k").collect()]))
+    asked = questions.select("query_id", "query", "expected", each.alias("c")).select("query_id", "query", "expected", "c.*")
+    df = asked.join(made, ["config_id", "query_id"], "left").join(latency, "query_id", "left")
+    return df.select("config_id", "plan", "k", "query_id", "query", "expected", "answer", "context",
+                     F.coalesce("latency", F.lit(0.0)).alias("latency"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
+                     F.coalesce("feedback", F.lit("neutral")).alias("feedback"), F.col("answer").isNull().alias("error"))
+
+
+def score_rows(rows: DataFrame, expected: str = "query") -> DataFrame:
+    """Adds correctness, completeness, specificity, recall, context hit and the composite score. ``expected`` names the column of
+    the expected answer; by default it is the question's own passage."""
     answer, context = F.coalesce("answer", F.lit("")), F.coalesce("context", F.lit(""))
-    df = rows.select("*", F.round(T.word_overlap(F.col("query"), answer) + 1e-9, 6).alias("correctness"),
+    df = rows.select("*", F.round(T.word_overlap(F.col(expected), answer) + 1e-9, 6).alias("correctness"),
                      T.completeness_by_length(answer).alias("completeness"),
                      F.round(T.specificity(answer) + 1e-9, 6).alias("specificity"),
-                     F.round(T.word_overlap(F.col("query"), context) + 1e-9, 6).alias("recall"))
+                     F.round(T.word_overlap(F.col(expected), context) + 1e-9, 6).alias("recall"))
     df = df.withColumn("correct", F.col("correctness") >= 0.5).withColumn("context_hit", F.col("recall") >= 0.3)
     return df.withColumn("composite", F.round(composite(
-        F.col("correct"), F.col("completeness"), F.col("recall"), F.col("latency")) + 1e-9, 6)).drop("query", "answer", "context")
+        F.col("correct"), F.col("completeness"), F.col("recall"), F.col("latency")) + 1e-9, 6)).drop("query", "expected", "answer", "context")
 
 
 def fact_f1(answer: Column, expected: Column) -> Column:
@@ -190,10 +211,9 @@ def best_configs(summary: DataFrame, n: Column | int, score: str = "score") -> D
 
 def two_phase(scored: DataFrame, subset: DataFrame, share: float = 0.3) -> DataFrame:
     """Score all configurations on a subset of the questions, the best 30 % (at least one) on all."""
-    first = summarise_configs(scored.join(subset.select("query_id"), "query_id", "left_semi")).select(
-        "config_id", overall_score().alias("score"))
-    keep = F.greatest(F.lit(1), F.floor(share * first.agg(F.count(F.lit(1))).scalar()))
-    chosen = best_configs(first, keep).select("config_id", F.col("score").alias("phase_one"), "position")
+    first = cut_lineage(summarise_configs(scored.join(subset.select("query_id"), "query_id", "left_semi")).select(
+        "config_id", overall_score().alias("score")))
+    chosen = best_configs(first, max(1, int(share * first.count() + 1e-9))).select("config_id", F.col("score").alias("phase_one"), "position")
     second = summarise_configs(scored.join(chosen.select("config_id"), "config_id", "left_semi"))
     return second.select("config_id", overall_score().alias("phase_two")).join(chosen, "config_id")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as V, scores as S, text as T
 from .dedup import per_query
+from .encoders import PairScorer, score_pairs
 from .lexical import TermIndex, query_terms, smooth_idf
 
 PAIR = ["query_id", "chunk_id"]
@@ -120,19 +121,38 @@ def pair_score(text: Column) -> Column:
     return T.let(T.tokens(text), score)
 
 
-def rerank(candidates: DataFrame, chunks: DataFrame, ready: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
-    """Rescore (query, text) of the candidates, keep ``original_score``, top ``k``, then threshold.
+def pair_scores(candidates: DataFrame, chunks: DataFrame, ready: DataFrame | None = None, queries: DataFrame | None = None,
+                scorer: PairScorer | None = None) -> DataFrame:
+    """(query_id, chunk_id, pair_score) of candidates; texts are read for the hit chunks only.
 
-    A query with at most ``k`` candidates keeps the order it came in.
+    With a ``scorer`` (a pair model, see ``encoders.score_pairs``) it is asked with the texts of ``queries``, else the default score
+    with ``ready`` is taken.
     """
     texts = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "text")
+    pairs = candidates.select(*PAIR).join(texts, "chunk_id")
+    if scorer is None:
+        return pairs.join(ready, "query_id").select(*PAIR, F.round(pair_score(F.col("text")), 6).alias("pair_score"))
+    asked = pairs.join(queries.select("query_id", "query"), "query_id").select(*PAIR, "query", "text")
+    return score_pairs(asked, scorer, to="pair_score").select(*PAIR, F.round("pair_score", 6).alias("pair_score"))
+
+
+def rerank_scored(candidates: DataFrame, scored: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
+    """The best ``k`` candidates by pair score, with ``original_score``, then threshold.
+
+    A query with at most ``k`` candidates keeps the order it came in.
+    """
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    df = (candidates.select(*PAIR, F.col("score").alias("original_score"), n.alias("_n"))
-          .join(texts, "chunk_id").join(ready, "query_id"))
-    score = F.when(F.col("_n") <= k, F.col("original_score")).otherwise(F.round(pair_score(F.col("text")), 6))
+    df = candidates.select(*PAIR, F.col("score").alias("original_score"), n.alias("_n")).join(scored, PAIR)
+    score = F.when(F.col("_n") <= k, F.col("original_score")).otherwise(F.col("pair_score"))
     return above(S.top_k(df.select(*PAIR, "original_score", score.alias("score")), k), threshold)
 
 
+def rerank(candidates: DataFrame, chunks: DataFrame, ready: DataFrame | None, k: int, threshold: float = 0.0,
+           queries: DataFrame | None = None, scorer: PairScorer | None = None) -> DataFrame:
+    """Rescore (query, text) of the candidates by the default pair score or by a plug-in, see ``pair_scores`` and ``rerank_scored``."""
+    return rerank_scored(candidates, pair_scores(candidates, chunks, ready, queries, scorer), k, threshold)
+
+
 def keyword_fallback(queries: DataFrame, vector_hits: DataFrame, search) -> DataFrame:
     """Vector hits, and for queries without any the hits of ``search(queries)``; tagged."""
     empty = queries.join(vector_hits.select("query_id").distinct(), "query_id", "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V, scores as S, text as T
 from ..operators import encoders, evaluation as E, fusion
 from ..session import cut_lineage
-from . import sqlparts as Q
+from . import grid, sqlparts as Q
 from .queries_corpus import facts_sql
 from .queries_logs import LOGS, expectations_of
 from .registry import query
@@ -256,6 +256,85 @@ def _(t):
     return E.leaderboard(summary_of(t), 5)
 
 
+# --- the grid: chunk sizes, pipelines, rerank depths ----------------------------------------------
+
+GRID_DEPTHS, GRID_K, GRID_LEAST = [20, 60], 10, 0.25
+
+
+def _grid_sql() -> dict[str, str]:
+    """Hits of all configurations and their evaluation against the assistant's answers."""
+    parts, hits = {}, []
+    for size in V.GRID_CHUNK_SIZES:
+        own = {"sp10": Q.ranked("sparse", GRID_K)}
+        for d in GRID_DEPTHS:
+            own |= {f"vec{d}": Q.ranked("vec", d), f"sp{d}": Q.ranked("sparse", d), f"rr{d}": Q.rerank_sql(f"vec{d}", GRID_K), f"sprr{d}": Q.rerank_sql(f"sp{d}", GRID_K),
+                    f"rrs{d}": Q.rerank_sql(f"vec{d}", 3 * GRID_K), f"rrsp{d}": f"SELECT s.query_id, s.chunk_id, s.score FROM sparse s JOIN rrs{d} USING (query_id, chunk_id)",
+                    f"rrspk{d}": Q.ranked(f"rrsp{d}", GRID_K)}
+            for plan, cte in (("vector_only", "vec10"), ("reranker_only", f"rr{d}"), ("splade_only", "sp10"), ("reranker_then_splade", f"rrspk{d}"), ("splade_then_reranker", f"sprr{d}")):
+                hits.append(f"""SELECT '{V.GRID_MODELS[0]}/{size}/{d}/{plan}' AS config_id, query_id, doc_id, text, score, rank
+                    FROM {cte}_{size} JOIN chunks_{size} USING (chunk_id) WHERE score >= {GRID_LEAST}""")
+        parts |= Q.sized(size, 0, "SELECT query_id, question AS query FROM qa", **own)
+    return {**parts, "grid_hits": " UNION ALL ".join(hits),
+            "grid_configs": f"""
+      SELECT '{V.GRID_MODELS[0]}/' || size || '/' || depth || '/' || plan AS config_id, plan, {GRID_K} AS k
+      FROM (SELECT unnest({V.GRID_CHUNK_SIZES}) AS size), (SELECT unnest({GRID_DEPTHS}) AS depth), (SELECT unnest({V.PLAN_NAMES}) AS plan)""",
+            "grid_scaled": """SELECT *, CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE 0 END AS s
+                 FROM grid_hits WINDOW w AS (PARTITION BY config_id, query_id)""",
+            "grid_lat": "SELECT user_id, avg(value) / 100 AS latency FROM events GROUP BY 1",
+            "eval_rows": """
+      SELECT config_id, plan, k, q.query_id, q.answer AS query, m.answer, context, coalesce(latency, 0) AS latency,
+             coalesce(similarity, 0) AS similarity, coalesce(feedback, 'neutral') AS feedback, m.answer IS NULL AS error
+      FROM qa q CROSS JOIN grid_configs LEFT JOIN (
+        SELECT config_id, query_id, avg(s) AS similarity, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context,
+               max(CASE WHEN rank = 1 THEN text END) AS answer,
+               max(CASE WHEN rank = 1 THEN CASE quality WHEN 1 THEN 'positive' WHEN 0 THEN 'negative' END END) AS feedback
+        FROM grid_scaled LEFT JOIN labels USING (doc_id) GROUP BY 1, 2) m USING (config_id, query_id)
+      LEFT JOIN grid_lat ON user_id = q.query_id // 1000000""",
+            "measured": ROWS["measured"], "scored": ROWS["scored"], "summary": SUMMARY_OF.replace("__rows", "scored")}
+
+
+GRID = _grid_sql()
+_GRID_SUBSET = {**GRID, **{n: _SUBSET[n] for n in ("picked_q", "rest_q", "subset_q", "first_summary", "chosen_c", "second_summary")},
+                "numbered_q": _SUBSET["numbered_q"].replace("'benchmark'", "'conversations'").replace("FROM queries", "FROM qa")}
+
+
+def grid_configs(t):
+    """Five pipelines, three chunk sizes and two rerank depths with the one encoder there is."""
+    return E.config_grid(t.spark, depths=GRID_DEPTHS).filter(F.col("embedding_model") == V.GRID_MODELS[0]).withColumn("top_k", F.lit(GRID_K))
+
+
+def grid_scored(t):
+    """Stored: evaluation rows of the grid against the assistant's answers."""
+    configs = grid_configs(t)
+    questions = cut_lineage(t.qa.select("query_id", F.col("question").alias("query"), F.col("answer").alias("expected")))
+    docs = t.documents.select("doc_id", "source", T.text_of("text").alias("text"))
+    hits = grid.grid_hits(docs, questions.select("query_id", "query"), configs)
+    # a conversation has the mean time of the user with its number
+    latency = latency_of(t).withColumnRenamed("query_id", "user_id")
+    latency = questions.select("query_id", F.floor(F.col("query_id") / 1_000_000).alias("user_id")).join(latency, "user_id").drop("user_id")
+    feedback = t.labels.select("doc_id", F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative").alias("feedback"))
+    return cut_lineage(E.score_rows(E.config_rows(questions, hits, configs, latency, feedback), "expected"))
+
+
+@query("v12_grid_summary", Q.sql("SELECT * FROM summary", **GRID))
+def _(t):
+    return E.summarise_configs(grid_scored(t))
+
+
+@query("v14_grid_two_phase", Q.sql(f"SELECT config_id, {OVERALL} AS phase_two, phase_one, position FROM second_summary JOIN chosen_c USING (config_id)", **_GRID_SUBSET))
+def _(t):
+    scored = grid_scored(t)
+    questions = t.qa.select(F.lit("conversations").alias("source"), "query_id")
+    return E.two_phase(scored, E.stratified_subset(questions, F.floor(F.col("query_id") / 1_000_000_000)))
+
+
+@query("v15_grid_leaderboard", Q.sql(f"""
+    SELECT config_id, {SUCCESS} AS score, avg_composite, avg_latency, success_rate, rank() OVER (ORDER BY {SUCCESS} DESC)::INT AS rank
+    FROM summary ORDER BY score DESC, config_id LIMIT 10""", **GRID))
+def _(t):
+    return E.leaderboard(cut_lineage(E.summarise_configs(grid_scored(t))), 10)
+
+
 # --- expected content ---------------------------------------------------------------------------
 
 @query("v16_content_relevance", Q.sql("""

@@ -288,3 +288,15 @@ def sql(body: str, **extra: str) -> str:
     head = ",\n".join(f"{n} AS {'' if re.search(rf'{chr(92)}b{n}{chr(92)}b', known[n]) else 'MATERIALIZED '}({known[n]})"
                       for n in order)
     return f"WITH RECURSIVE {head}\n{body}"
+
+
+def sized(size: int, overlap: int, queries: str, **extra: str) -> dict[str, str]:
+    """The shared (and extra) expressions for another chunk size and other queries, their names ending in the size.
+
+    Names are replaced wherever they stand, columns included, so all texts agree.
+    """
+    step = size - overlap
+    raw = (CTES["raw_chunks"].replace(f"/ {STEP})", f"/ {step})").replace(f", {CHUNK_SIZE})", f", {size})").replace(f", {STEP})) AS i", f", {step})) AS i"))
+    known = {**CTES, "queries": queries, "raw_chunks": raw, **extra}
+    names = re.compile(r"\b(" + "|".join(sorted(known, key=len, reverse=True)) + r")\b")
+    return {f"{n}_{size}": names.sub(rf"\1_{size}", text) for n, text in known.items()}
