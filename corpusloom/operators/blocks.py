@@ -1,9 +1,13 @@
-"""Scoring of rows against a bounded block of queries inside map tasks.
+"""Scoring of rows against a bounded set of queries inside map tasks.
 
 A join of postings with the terms of many queries makes one row per (query, chunk, shared term) and
 shuffles a sum per (query, chunk). Here each task multiplies its rows with the query block and keeps
 the best k per query, so only tasks x queries x k rows are shuffled. The block is bounded and counted
 by the caller; beyond the bound the join is used.
+
+Products are sparse: a posting meets the queries that have its term, through row pointers. With upper bounds of term
+values, a term is opened for a query only as long as a row without its other terms could still get among the k best
+(max-score): the heaviest terms of a query find the candidates, and common terms are looked up for candidates only.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ from ..functions import scores as S
 from .vectors import _best
 
 QUERIES_PER_BLOCK = 256
-ROWS_PER_STEP = 2000
+ROWS_PER_STEP = 1000
+#: Products (posting x query) that a step holds at once.
+PRODUCTS = 4_000_000
 
 
 class Best:
@@ -28,6 +34,7 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.kept: list = [None] * queries
+        self.least = np.full(queries, -np.inf)  # the k-th best score, once there are k
         self.k = k
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -41,6 +48,8 @@ class Best:
             scores, ids = np.concatenate([old_s, scores]), np.concatenate([old_i, ids])
         at = _best(scores, ids, self.k)
         self.kept[q] = (scores[at], ids[at])
+        if len(at) == self.k:
+            self.least[q] = scores[at[-1]]
 
     def batches(self, query_ids: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
         parts = [(q, s, i) for q, hit in zip(query_ids, self.kept) if hit is not None for s, i in zip(*hit)]
@@ -61,32 +70,95 @@ def _schema(rows: DataFrame, q_type: str, key: str) -> str:
     return f"query_id {q_type}, `{key}` {rows.schema[key].dataType.simpleString()}, score double"
 
 
+class Products:
+    """The term weights of a block of queries as sparse columns, with upper bounds per entry."""
+
+    def __init__(self, table: pd.DataFrame, query_ids: np.ndarray):
+        self.terms, t = np.unique(table["term"].to_numpy(dtype=object), return_inverse=True)
+        self.queries = len(query_ids)
+        q = np.searchsorted(query_ids, table["query_id"])
+        w, most = table["w"].to_numpy("float64"), table["most"].to_numpy("float64")
+        # max-score needs terms that can only add; a shared term that adds nothing is a hit as well
+        self.bounded = bool(len(w)) and bool((w > 0).all() and np.isfinite(most).all())
+        order = np.lexsort((q, t))
+        self.term, self.query, self.w = t[order], q[order], w[order]
+        self.upper = (w * most)[order] if self.bounded else np.zeros(len(w))
+        if self.bounded:
+            # sum of the bounds of a query's terms up to and with this one, smallest first
+            by = np.lexsort((self.upper, self.query))
+            total = np.cumsum(self.upper[by])
+            first = np.searchsorted(self.query[by], np.arange(self.queries))
+            before = np.concatenate([[0.0], total])[first]
+            self.upto = np.empty(len(by))
+            self.upto[by] = total - before[self.query[by]]
+
+    def opened(self, least: np.ndarray) -> np.ndarray:
+        """Entries that a row needs one of to reach the k best: the others together stay below the k-th score."""
+        if not self.bounded:
+            return np.ones(len(self.term), bool)
+        return self.upto >= least[self.query] - 2e-6
+
+    def sums(self, entries: np.ndarray, row: np.ndarray, col: np.ndarray, amount: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Sums and numbers of shared entries, rows x queries, and the products made."""
+        term, query, w = self.term[entries], self.query[entries], self.w[entries]
+        start = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        reps = (start[1:] - start[:-1])[col]
+        out, seen = np.zeros(rows * self.queries), np.zeros(rows * self.queries)
+        ends = np.cumsum(reps)
+        a = 0
+        while a < len(row):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PRODUCTS, side="right")))
+            own = reps[a:b]
+            at = np.repeat(start[col[a:b]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            cell = np.repeat(row[a:b], own) * self.queries + query[at]
+            out += np.bincount(cell, weights=np.repeat(amount[a:b], own) * w[at], minlength=len(out))
+            seen += np.bincount(cell, minlength=len(out))
+            a = b
+        return out.reshape(rows, -1), seen.reshape(rows, -1), int(reps.sum())
+
+    def looked_up(self, entries: np.ndarray, row: np.ndarray, col: np.ndarray, amount: np.ndarray, at_row: np.ndarray, at_query: np.ndarray) -> np.ndarray:
+        """What the other entries add to candidates (row, query)."""
+        used = np.unique(self.term[entries])
+        place = np.full(len(self.terms) + 1, -1)
+        place[used] = np.arange(len(used))
+        rows, compact = np.unique(at_row, return_inverse=True)
+        number = np.full(int(max(row.max(initial=0), at_row.max(initial=0))) + 1, -1)
+        number[rows] = np.arange(len(rows))
+        near = (place[col] >= 0) & (number[row] >= 0)
+        m = np.zeros((len(rows), len(used)))
+        m[number[row[near]], place[col[near]]] = amount[near]
+        weights = np.zeros((self.queries, len(used)))
+        weights[self.query[entries], place[self.term[entries]]] = self.w[entries]
+        out = np.empty(len(at_row))
+        step = max(1, PRODUCTS // max(1, len(used)))
+        for a in range(0, len(out), step):
+            out[a:a + step] = np.einsum("ij,ij->i", m[compact[a:a + step]], weights[at_query[a:a + step]])
+        return out
+
+
 def top_k_products(rows: DataFrame, weights: DataFrame, k: int, field: str,
                    value: Callable[[np.ndarray, np.ndarray], np.ndarray], key: str = "chunk_id",
-                   length: str | None = None) -> DataFrame:
+                   length: str | None = None, products: tuple | None = None) -> DataFrame:
     """Top k of sum(query weight * value(field, length)) over shared terms.
 
-    rows = (key, [length], terms array<struct<term, field>>); weights = (query_id, term, w), bounded.
+    rows = (key, [length], terms array<struct<term, field>>); weights = (query_id, term, w[, most]), bounded. ``most`` is the
+    largest value of the term in any row; without it, or with weights of 0 or less, all terms are opened. ``products`` = two
+    accumulators for the products made and those that opening everything would make.
     """
-    table = weights.select("query_id", "term", "w").toPandas()  # bounded: counted by the caller
+    table = weights.toPandas()  # bounded: counted by the caller
+    if "most" not in table:
+        table["most"] = np.inf
     query_ids = np.sort(table["query_id"].unique())
     blocks = []
     for at in range(0, len(query_ids), QUERIES_PER_BLOCK):
-        part = table[table["query_id"].isin(query_ids[at:at + QUERIES_PER_BLOCK])]
-        terms, t = np.unique(part["term"].to_numpy(dtype=object), return_inverse=True)
-        dense = np.zeros((len(terms), min(QUERIES_PER_BLOCK, len(query_ids) - at)))
-        dense[t, np.searchsorted(query_ids, part["query_id"]) - at] = part["w"]
-        seen = None
-        if (part["w"] <= 0).any():  # a shared term may add nothing: count shared terms as well
-            seen = np.zeros_like(dense)
-            seen[t, np.searchsorted(query_ids, part["query_id"]) - at] = 1.0
-        blocks.append((at, list(terms), dense, seen))
+        own = query_ids[at:at + QUERIES_PER_BLOCK]
+        blocks.append((at, Products(table[table["query_id"].isin(own)], own)))
     shared = rows.sparkSession.sparkContext.broadcast((query_ids, blocks))
     names = ["query_id", key, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, found = shared.value
-        sets = [pa.array(terms, pa.string()) for _, terms, _, _ in found]
+        sets = [pa.array(list(p.terms), pa.string()) for _, p in found]
         best = Best(len(ids_of), k)
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS_PER_STEP):
@@ -96,18 +168,31 @@ def top_k_products(rows: DataFrame, weights: DataFrame, k: int, field: str,
                         if length else np.ones(len(row)))
                 amount = value(amount, size)
                 ids = batch.column(key).to_numpy(zero_copy_only=False)
-                for (at, _, dense, seen), wanted in zip(found, sets):
-                    col = pc.fill_null(pc.index_in(terms, value_set=wanted), -1).to_numpy(zero_copy_only=False)
+                coded = terms.dictionary_encode()
+                for (at, p), wanted in zip(found, sets):
+                    of = pc.fill_null(pc.index_in(coded.dictionary, value_set=wanted), -1).to_numpy(zero_copy_only=False)
+                    col = of[coded.indices.to_numpy(zero_copy_only=False)] if len(row) else np.zeros(0, np.int64)
                     hit = col >= 0
-                    m = np.zeros((batch.num_rows, len(wanted)))
-                    m[row[hit], col[hit]] = amount[hit]
-                    raw = m @ dense
-                    # a hit shares a term, also where its score rounds to 0
-                    match = (m != 0) @ seen > 0 if seen is not None else raw != 0
-                    scores = np.round(raw, 6)
-                    for q in range(dense.shape[1]):
+                    r, c, x = row[hit], col[hit], amount[hit]
+                    least = best.least[at:at + p.queries]
+                    entries = p.opened(least)
+                    sums, seen, made = p.sums(np.flatnonzero(entries), r, c, x, batch.num_rows)
+                    match = seen > 0
+                    if not entries.all():
+                        closed = np.flatnonzero(~entries)
+                        rest = np.bincount(p.query[closed], weights=p.upper[closed], minlength=p.queries)
+                        match &= sums + rest >= least - 2e-6
+                        i, q = np.nonzero(match)
+                        if len(i):
+                            sums[i, q] += p.looked_up(closed, r, c, x, i, q)
+                            made += len(i)
+                    scores = np.round(sums, 6)
+                    for q in np.flatnonzero(match.any(axis=0)):
                         ok = match[:, q]
                         best.add(at + q, scores[ok, q], ids[ok])
+                    if products:
+                        products[0].add(made)
+                        products[1].add(int(np.bincount(p.term, minlength=len(p.terms))[c].sum()))
         yield from best.batches(ids_of, names)
 
     q_type = weights.schema["query_id"].dataType.simpleString()

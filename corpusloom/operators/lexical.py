@@ -18,7 +18,7 @@ BROADCAST_TERMS = 500_000
 class TermIndex:
     """Term tables of a corpus.
 
-    rows = (key, dl, terms array<struct<term,tf>>), one row per chunk; vocabulary = (term, df).
+    rows = (key, dl, terms array<struct<term,tf>>), one row per chunk; vocabulary = (term, df, max_tf, min_dl).
     """
     rows: DataFrame
     vocabulary: DataFrame
@@ -45,9 +45,9 @@ class TermIndex:
 
 
 def _vocabulary(rows: DataFrame) -> DataFrame:
-    """Document frequencies, folded in each map task before their shuffle."""
-    return (rows.select(F.explode("terms.term").alias("term"))
-            .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    """Document frequencies and the bounds of BM25 (most occurrences in a row, shortest row), folded in each map task."""
+    return (rows.select("dl", F.explode("terms").alias("t")).select("dl", "t.term", "t.tf")
+            .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")))
 
 
 def build_postings(chunks: DataFrame, words=T.tokens, key: str = "chunk_id") -> TermIndex:
@@ -106,16 +106,19 @@ def matched(postings: DataFrame, weights: DataFrame, bound_by: DataFrame, within
     return near.join(pairs, "chunk_id").join(weights, ["query_id", "term"])
 
 
-def bm25_search(queries: DataFrame, index: TermIndex, k: int) -> DataFrame:
-    """Top ``k`` per query. A bounded set of queries is scored inside the map tasks."""
-    if not has_at_most(query_terms(queries), BROADCAST_TERMS):
+def bm25_search(queries: DataFrame, index: TermIndex, k: int, broadcast_terms: int | None = None, products: tuple | None = None) -> DataFrame:
+    """Top ``k`` per query. Up to ``broadcast_terms`` query terms are scored inside the map tasks, with bounds per term;
+    more of them are joined."""
+    if not has_at_most(query_terms(queries), BROADCAST_TERMS if broadcast_terms is None else broadcast_terms):
         return S.top_k(bm25_scores(queries, index), k)
     avgdl = index.totals.first()["avgdl"]  # one row
 
     def part(tf, dl):
         return tf * (V.BM25_K1 + 1) / (tf + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * dl / avgdl))
 
-    return blocks.top_k_products(index.rows, bm25_weights(queries, index), k, "tf", part, index.key, length="dl")
+    most = index.vocabulary.select("term", part(F.col("max_tf"), F.col("min_dl")).alias("most"))
+    weights = bm25_weights(queries, index).join(most, "term")
+    return blocks.top_k_products(index.rows, weights, k, "tf", part, index.key, length="dl", products=products)
 
 
 def _grams(word: Column, longest: int = 3) -> Column:
@@ -132,7 +135,7 @@ def keyword_words(queries: DataFrame) -> DataFrame:
     return wanted.select("query_id", F.size("_w").alias("n_words"), F.explode("_w").alias("word"))
 
 
-def keyword_search(queries: DataFrame, index: TermIndex, k: int) -> DataFrame:
+def keyword_search(queries: DataFrame, index: TermIndex, k: int, broadcast_terms: int | None = None) -> DataFrame:
     """Shared words / query words + 0.1 for each time a query word occurs as a substring; top ``k``.
 
     A query word has no white space, so its occurrences lie inside single words of the text: words are
@@ -140,7 +143,7 @@ def keyword_search(queries: DataFrame, index: TermIndex, k: int) -> DataFrame:
     tasks, any other by :func:`keyword_scores`.
     """
     wanted = keyword_words(queries)
-    if has_at_most(wanted, BROADCAST_TERMS):
+    if has_at_most(wanted, BROADCAST_TERMS if broadcast_terms is None else broadcast_terms):
         return blocks.top_k_keywords(index.rows, wanted, k, index.key)
     return S.top_k(keyword_scores(wanted, index), k)
 
@@ -257,10 +260,20 @@ def sparse_scores(queries: DataFrame, texts: DataFrame, within: DataFrame | None
             .agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score")))
 
 
-def sparse_search(queries: DataFrame, texts: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
-    """Top ``k``, then the threshold. A bounded set of queries is scored inside the map tasks."""
-    if has_at_most(queries, BROADCAST_TERMS):
-        hits = blocks.top_k_products(texts, _unit_queries(queries), k, "weight", lambda weight, _: weight)
+def term_bounds(texts: DataFrame) -> DataFrame:
+    """(term, most): the largest weight of each term in any text; store it beside the texts."""
+    return texts.select(F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg(F.max("t.weight").alias("most"))
+
+
+def sparse_search(queries: DataFrame, texts: DataFrame, k: int, threshold: float = 0.0, bounds: DataFrame | None = None,
+                  broadcast_terms: int | None = None, products: tuple | None = None) -> DataFrame:
+    """Top ``k``, then the threshold. Up to ``broadcast_terms`` query terms are scored inside the map tasks, with ``bounds``
+    (see ``term_bounds``) where they are given; more of them are joined."""
+    if has_at_most(queries, BROADCAST_TERMS if broadcast_terms is None else broadcast_terms):
+        weights = _unit_queries(queries).select("query_id", "term", "w")
+        if bounds is not None:
+            weights = weights.join(bounds, "term")  # a term that no text has adds nothing
+        hits = blocks.top_k_products(texts, weights, k, "weight", lambda weight, _: weight, products=products)
     else:
         hits = S.top_k(sparse_scores(queries, texts), k)
     return hits.filter(F.col("score") >= threshold)

@@ -117,7 +117,7 @@ def _(t):
     index = t.index()
     sums = index.postings.groupBy("term").agg(F.sum("tf").alias("total_tf"), F.max("tf").alias("max_tf"),
                                               F.max("dl").alias("longest"))
-    return index.vocabulary.join(sums, "term")
+    return index.vocabulary.select("term", "df").join(sums, "term")
 
 
 @query("e3_bm25_search", Q.sql("SELECT * FROM bm10"))
@@ -142,7 +142,7 @@ def _(t):
 
 @query("e6_sparse_search", Q.sql(f"SELECT * FROM ({Q.ranked('sparse', 10)}) WHERE score >= 0.1"))
 def _(t):
-    return lexical.sparse_search(t.sparse_queries, t.sparse_texts, 10, threshold=0.1)
+    return lexical.sparse_search(t.sparse_queries, t.sparse_texts, 10, threshold=0.1, bounds=t.sparse_bounds)
 
 
 @query("e7_dense_or_overlap", Q.sql(f"""

@@ -112,7 +112,13 @@ class Tables:
         return lexical.sparse_scores(self.sparse_queries, self.sparse_texts)
 
     def sparse_hits(self, k: int) -> DataFrame:
-        return lexical.sparse_search(self.sparse_queries, self.sparse_texts, k)
+        return lexical.sparse_search(self.sparse_queries, self.sparse_texts, k, bounds=self.sparse_bounds)
+
+    @property
+    def sparse_bounds(self) -> DataFrame:
+        if "sparse_bounds" not in self._indexes:
+            self._indexes["sparse_bounds"] = cut_lineage(lexical.term_bounds(self.sparse_texts))
+        return self._indexes["sparse_bounds"]
 
     def reranked(self, candidates: DataFrame, k: int) -> DataFrame:
         return fusion.rerank(candidates, self.chunks, fusion.ready_queries(self.queries, self.index()), k)

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,48 @@ def test_sparse_search(data, monkeypatch, bound):
                 want[i][c] = sum(w * ts[t] for t, w in ws.items() if t in ts) / norm
     monkeypatch.setattr(lexical, "BROADCAST_TERMS", bound)
     same(rows(lexical.sparse_search(asked, texts, 5)), ranked(want, 5))
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """Common words in every chunk, rare ones that decide."""
+    rng = np.random.default_rng(11)
+    common, rare = [f"common{i}" for i in range(12)], [f"rare{i}" for i in range(900)]
+    texts = [" ".join([*rng.permutation(common * 2)[:16], *rng.choice(rare, 4)]) for _ in range(6000)]
+    chunks = spark.createDataFrame([(f"c{i:05d}", t) for i, t in enumerate(texts)], "chunk_id string, text string").repartition(1).cache()
+    queries = spark.createDataFrame([(i, " ".join([*common[i % 4:i % 4 + 6], *rng.choice(rare, 3)])) for i in range(40)], "query_id long, query string")
+    return chunks, queries
+
+
+def _hits(df):
+    return sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 5)) for r in df.collect())
+
+
+def test_bounded_and_joined_searches_agree(spark, skewed):
+    """E1, E3 and E6 inside the tasks and by joins give the same hits."""
+    chunks, queries = skewed
+    index = lexical.build_postings(chunks)
+    assert _hits(lexical.bm25_search(queries, index, 5)) == _hits(lexical.bm25_search(queries, index, 5, broadcast_terms=0))
+    assert _hits(lexical.keyword_search(queries, index, 5)) == _hits(lexical.keyword_search(queries, index, 5, broadcast_terms=0))
+    terms = lexical.build_postings(chunks, T.terms)
+    texts = lexical.sparse_expand(lexical.tfidf_rows(terms))
+    asked = lexical.sparse_queries(queries, chunks, terms)
+    want = _hits(lexical.sparse_search(asked, texts, 5, broadcast_terms=0))
+    assert _hits(lexical.sparse_search(asked, texts, 5)) == want == _hits(lexical.sparse_search(asked, texts, 5, bounds=lexical.term_bounds(texts)))
+
+
+def test_bounds_leave_common_terms_closed(spark, skewed):
+    """With bounds less than half of the products are made, with the same hits."""
+    chunks, queries = skewed
+    terms = lexical.build_postings(chunks, T.terms)
+    texts = lexical.sparse_expand(lexical.tfidf_rows(terms))
+    asked = lexical.query_tfidf(queries, terms)
+    counts = [spark.sparkContext.accumulator(0) for _ in range(4)]
+    got = _hits(lexical.sparse_search(asked, texts, 5, bounds=lexical.term_bounds(texts), products=(counts[0], counts[1])))
+    assert got == _hits(lexical.sparse_search(asked, texts, 5, products=(counts[2], counts[3])))
+    assert counts[2].value == counts[3].value == counts[1].value  # without bounds all are made
+    assert counts[0].value < 0.5 * counts[1].value
+    index = lexical.build_postings(chunks)
+    made, every = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    lexical.bm25_search(queries, index, 5, products=(made, every)).collect()
+    assert 0 < made.value <= every.value
