@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, encoders, fusion, grouping, lexical, vectors
-from ..session import cut_lineage
+from ..operators import dedup, encoders, fusion, grouping, lexical, topics, vectors
+from ..session import cut_lineage, scratch_folder
 from . import sqlparts as Q
 from .queries_corpus import heading_sql, key_terms_sql
 from .registry import query
@@ -174,6 +174,24 @@ def _(t):
     return _clusters(t, cut_lineage(_hits(t)))[0]
 
 
+_DOC_TERMS = {
+    "doc_tf": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({Q.terms("coalesce(text, '')")}) AS term FROM documents) GROUP BY 1, 2",
+    "doc_idf": "SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM doc_tf GROUP BY 1), (SELECT count(*)::DOUBLE AS n FROM documents)",
+    "doc_weights": "SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM (SELECT doc_id, term, tf * idf AS raw FROM doc_tf JOIN doc_idf USING (term))",
+    "near_docs": """SELECT x.doc_id AS a, y.doc_id AS b FROM doc_weights x JOIN doc_weights y ON x.term = y.term AND x.doc_id <> y.doc_id
+                    GROUP BY 1, 2 HAVING round(sum(x.weight * y.weight) + 1e-9, 6) >= 0.6""",
+    "reached": "SELECT a AS node, b AS other FROM near_docs UNION SELECT r.node, n.b FROM reached r JOIN near_docs n ON r.other = n.a",
+    "grouped_docs": "SELECT node AS doc_id, least(node, min(other)) AS topic FROM reached GROUP BY node",
+}
+
+
+@query("h8_corpus_topics", Q.sql("SELECT doc_id, topic, count(*) OVER (PARTITION BY topic) AS size FROM grouped_docs", **_DOC_TERMS))
+def _(t):
+    docs = t.documents.select("doc_id", T.text_of("text").alias("text"))
+    index = lexical.build_postings(docs, T.terms, "doc_id").stored(scratch_folder(t.spark, "doc-terms"))
+    return topics.corpus_topics(lexical.tfidf_rows(index), index.vocabulary, 0.6, "doc_id")
+
+
 @query("h9_assign_noise", Q.sql("SELECT * FROM h_all", **GROUPS))
 def _(t):
     return grouping.assign_noise(*_clusters(t, cut_lineage(_hits(t))))
