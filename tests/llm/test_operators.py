@@ -443,3 +443,74 @@ def test_licenses(spark, odd):
     assert got[3]["labels"] == "" and got[3]["score"] == 0 and got[3]["first_word"] is None
     assert got[4]["base_labels"] == "cc-by-nc" and got[5]["base_labels"] == "apache-2"
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(odd.limit(0)).count() == 0
+
+
+def test_pipeline_stage_of_near_copies(spark):
+    """Texts of 100 words with two words replaced lose one of each pair; clean texts, and texts without an id, stay."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], 0
+    for i in range(40):
+        base = [r.choice(words) for _ in range(100)]
+        copy = list(base)
+        for at in r.sample(range(5, 95), 2):
+            copy[at] = "other" + str(i)
+        rows += [(2 * i, " ".join(base), "en", "a"), (2 * i + 1, "  ".join(copy).upper(), "en", "a")]
+        a, b = (near_duplicates.shingle_hashes(" ".join(x).lower().encode()) for x in (base, copy))
+        shared = len(set(a.tolist()) & set(b.tolist()))
+        pairs += shared >= 0.8 * (len(a) + len(b) - shared)
+    clean = [(1000 + i if i % 3 else None, " ".join(r.choice(words) for _ in range(60)), "en", "b") for i in range(60)]
+    half = [(2000, rows[0][1] + " " + clean[0][1], "en", "b"), (2001, "four words only here", "en", "b"), (2002, "Four  words only HERE", "en", "b")]
+    docs = frame(spark, rows + clean + half)
+    kept = near_duplicates.stage(spark, docs, "").collect()
+    ids = [x["doc_id"] for x in kept]
+    assert pairs >= 36 and sum(2 * i in ids for i in range(40)) == 40
+    gone = 40 - sum(2 * i + 1 in ids for i in range(40))
+    assert gone == pairs
+    assert sum(x["source"] == "b" for x in kept) == 62 and 2000 in ids and 2001 in ids and 2002 not in ids
+
+
+def test_similar_texts_against_brute_force(spark):
+    """Every pair of texts that all pairs connect is connected, and no others."""
+    r = random.Random(5)
+    words, texts = [f"v{i}" for i in range(400)], []
+    for _ in range(30):
+        base = [r.choice(words) for _ in range(r.randint(30, 160))]
+        for _ in range(r.randint(2, 5)):
+            ws = list(base)
+            for _ in range(r.randint(0, 2)):
+                ws[r.randrange(len(ws))] = r.choice(words)
+            texts.append(" ".join(ws))
+    texts = sorted(set(texts))
+    sets = [set(near_duplicates.shingle_hashes(t.encode()).tolist()) for t in texts]
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    import hashlib
+    name = {hashlib.md5(t.encode()).hexdigest(): i for i, t in enumerate(texts)}
+    got = [(name[x["a"]], name[x["b"]]) for x in near_duplicates.similar_texts(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()]
+    assert {(max(p), min(p)) for p in got} <= alike
+
+    def parts(edges):
+        root = list(range(len(texts)))
+        for _ in texts:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+    missed = sum(a != b for a, b in zip(parts(got), parts(alike)))
+    assert len(alike) > 40 and missed <= 0.03 * len(texts)
+
+
+def test_names_of_a_text_are_found_again(spark):
+    rows = [(1, "Anna Schmidt called. Schmidt said hi. Mr. Schmidt left, and Anna too.", "en", "a"), (2, "The Schmidt house is old.", "en", "a"),
+            (3, "Signs \x01 and \x02 stay: mail bob@corp.example.com, Mr. Schmidt.", "en", "a")]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(frame(spark, rows), "k")[0].collect()}
+    new = re.search(r"Mr\. (\w+) left", got[1])[1]
+    assert "Schmidt" not in got[1] and "Anna" not in got[1] and got[1].count(new) == 3
+    assert got[2] == rows[1][1] and got[3].endswith(f"Mr. {new}.") and "\x01 and \x02 stay" in got[3] and "bob@" not in got[3]
+
+
+def test_parts_equal_the_whole_pattern(spark, docs, odd):
+    """One pass without the mail part finds what the whole pattern finds, and parts put together are the text."""
+    rows = docs.select("text").unionByName(odd.select("text")).where("text is not null")
+    cut = surrogates.parts(F.col("text"))
+    bad = rows.where((F.array_join(cut, "") != F.col("text")) | (surrogates.entities(cut) != F.regexp_extract_all("text", F.lit(surrogates.PATTERN), F.lit(0))))
+    assert bad.count() == 0
