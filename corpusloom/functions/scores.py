@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 
 def round6(c: Column) -> Column:
     """Six digits by plain arithmetic, for ratios of rounded numbers, where exact halves are common."""
@@ -94,6 +96,16 @@ def numbered(df: DataFrame, order: str, slices: Column, to: str = "seq", keys: t
             .withColumn(to, F.col("_start") + F.row_number().over(inside)).drop("_start", "_slice"))
 
 
+def with_range_parts(df: DataFrame, *order: str, to: str = "_part") -> DataFrame:
+    """Stored: rows with the number of the range part in which they lie by ``order``, to number or compare neighbours part by part.
+
+    Parts are ranges of about equal size, whatever the key, so one hot session or a day with most rows lies in many.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return cut_lineage(df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order]).withColumn(to, F.spark_partition_id()))
+
+
 def previous(df: DataFrame, keys: list[str], order: str, value: str, slices: Column, to: str) -> DataFrame:
     """Value of the row before in ``order`` per key, without one task holding a whole key.
 

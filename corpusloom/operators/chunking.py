@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import udtf
 
 from ..functions import fixed_values as V, text as T
 
@@ -109,6 +110,20 @@ def chunk_text(docs: DataFrame, size: int, overlap: int, enhanced: bool = True)
             .mapInPandas(run, "doc_id long, source string, chunk_index int, text string"))
 
 
+@udtf(returnType="chunk_index int, chunk string")
+class ChunkText:
+    """``chunk_text(text, size, overlap[, enhanced])``: the recursive splitter as a table function."""
+
+    def eval(self, text: str, size: int, overlap: int, enhanced: bool = True):
+        if text:
+            yield from enumerate(split_recursive(text, size, overlap, V.SEPARATORS if enhanced else V.BASIC_SEPARATORS, enhanced))
+
+
+def register_table_functions(spark) -> None:
+    """After this ``SELECT doc_id, c.* FROM documents, LATERAL chunk_text(text, 1000, 150) c`` works in SQL."""
+    spark.udtf.register("chunk_text", ChunkText)
+
+
 def format_chunks(chunks: DataFrame, size: int, overlap: int) -> DataFrame:
     """Chunk rows with id and metadata; the index counts chunks before any filter."""
     return chunks.select(

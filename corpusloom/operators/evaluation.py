@@ -279,9 +279,10 @@ def stats_by_parameter(summary: DataFrame) -> DataFrame:
     return _stats(long, ["parameter", "setting", "metric"])
 
 
-def spot_check_sample(scored: DataFrame, order: Column, slices: Column) -> DataFrame:
-    """Rows for a second look: every 20th, and values far from the mean of the last 50."""
-    df = S.rolling_mean(S.numbered(scored.withColumn("_o", order), "_o", slices), "seq", "composite", 50, "recent")
+def spot_check_sample(scored: DataFrame, *order: str) -> DataFrame:
+    """Rows for a second look: every 20th in the order, and values far from the mean of the last 50. Rows are numbered in range parts."""
+    df = S.with_range_parts(scored, *order).withColumn("_o", F.struct(*order))
+    df = S.rolling_mean(S.numbered(df, "_o", F.col("_part")), "seq", "composite", 50, "recent")
     i = F.col("seq") - 1
     reason = (F.when((F.col("seq") >= 10) & (F.col("composite") > F.col("recent") + 0.2), "high")
               .when((F.col("seq") >= 10) & (F.col("composite") < F.col("recent") - 0.3), "low")

@@ -196,12 +196,11 @@ def score_store(coverage: DataFrame, chunks: DataFrame) -> DataFrame:
 def with_session_order(log: DataFrame) -> DataFrame:
     """Adds the number of the entry in its session and the seconds since the entry before.
 
-    Sessions are cut at day borders and stitched, so a session with a third of all entries is spread.
+    Entries are numbered in range parts of (session, time) and stitched, so a session with a third of all entries, on one day even, is spread.
     """
-    day = F.to_date("ts")
-    df = log.withColumn("_at", F.struct("ts", "event_id"))
-    df = S.numbered(df, "_at", day, to="sequence", keys=("session_id",))
-    df = S.previous(df, ["session_id"], "_at", "ts", day, "_prev")
+    df = S.with_range_parts(log, "session_id", "ts", "event_id").withColumn("_at", F.struct("ts", "event_id"))
+    df = S.numbered(df, "_at", F.col("_part"), to="sequence", keys=("session_id",))
+    df = S.previous(df, ["session_id"], "_at", "ts", F.col("_part"), "_prev").drop("_part")
     gap = (S.micros(F.col("ts")) - S.micros(F.col("_prev"))) / 1e6
     return df.withColumn("gap_seconds", F.round(gap, 3)).drop("_at", "_prev")
 

@@ -283,42 +283,76 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame
                         .when(F.col("similarity") > 0.5, "MEDIUM").otherwise("LOW")))
 
 
-def score_all(queries: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """Score of every (query, vector) pair, for a bounded number of queries."""
-    if not has_at_most(queries, BROADCAST_QUERIES):
-        raise ValueError(f"split the queries into parts of at most {BROADCAST_QUERIES}")
+ABOVE = (0.8, 0.5, 0.3)
+
+
+def _profile_part(queries: DataFrame, vectors: DataFrame, key: str, ends: int) -> DataFrame:
+    """Per task and query: scores counted in millionths, and both ends. One pass over the vectors; queries are bounded by the caller."""
     block = queries.select("query_id", "embedding").toPandas()
-    shared = vectors.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy(), _matrix(block["embedding"])))
-    id_type = vectors.schema[key].dataType.simpleString()
-    q_type = queries.schema["query_id"].dataType.simpleString()
+    shared = vectors.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy(), _matrix(block["embedding"]) if len(block) else np.zeros((0, 0))))
+    id_type, q_type = vectors.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {q_type}, scores binary, counts binary, ids array<{id_type}>, end_scores array<double>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q_mat = shared.value
-        for pdf in batches:
-            if len(pdf):
-                sims = _round(q_mat @ _matrix(pdf["embedding"]).T)
-                for q, q_id in enumerate(q_ids):
-                    yield pd.DataFrame({"query_id": q_id, key: pdf[key], "score": sims[q]})
+        seen: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, "<i4"), np.zeros(0, "<i8"))] * len(q_ids)
+        kept: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(q_ids)
+        step = max(1, TILE // max(1, len(q_ids)))
+        for whole in batches:
+            for start in range(0, whole.num_rows if len(q_ids) else 0, step):
+                batch = whole.slice(start, step)
+                ids, sims = batch.column(key).to_numpy(zero_copy_only=False), _round(q_mat @ _matrix(batch.column("embedding")).T)
+                for q, row in enumerate(sims):
+                    seen[q] = _merged_counts([seen[q], np.unique(np.rint(row * 1e6).astype("<i4"), return_counts=True)])
+                    s, i = (row, ids) if kept[q] is None else (np.concatenate([kept[q][0], row]), np.concatenate([kept[q][1], ids]))
+                    at = np.union1d(_best(s, i, ends), _best(-s, i, ends))
+                    kept[q] = (s[at], i[at])
+        at = [q for q in range(len(q_ids)) if kept[q] is not None]
+        if at:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q_ids[at]), pa.array([seen[q][0].astype("<i4").tobytes() for q in at], pa.binary()), pa.array([seen[q][1].astype("<i8").tobytes() for q in at], pa.binary()),
+                 pa.array([kept[q][1] for q in at]), pa.array([kept[q][0] for q in at], pa.list_(pa.float64()))], names=["query_id", "scores", "counts", "ids", "end_scores"])
 
-    return vectors.select(key, "embedding").mapInPandas(
-        run, f"query_id {q_type}, `{key}` {id_type}, score double")
+    return vectors.select(key, "embedding").mapInArrow(run, schema)
 
 
-def similarity_profile(scored: DataFrame, key: str, ends: int = 10) -> DataFrame:
-    """Per query: counts above .8/.5/.3, min, max, mean, upper median, means of both ends."""
-    by = ["query_id"]
-    summary = scored.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"),
-        F.round(F.avg("score"), 6).alias("avg_score"),
-        *[F.count_if(F.col("score") > t).alias(f"above_{int(t * 10)}") for t in (0.8, 0.5, 0.3)])
-    median = S.upper_median(scored, by, "score", "median_upper")
+def _merged_counts(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    values = np.concatenate([v for v, _ in parts])
+    counts = np.concatenate([c for _, c in parts])
+    distinct, at = np.unique(values, return_inverse=True)
+    return distinct, np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
 
-    def end(descending: bool, to: str) -> DataFrame:
-        ranked = S.top_k(scored, ends, tie=key, descending=descending)
-        return ranked.groupBy(*by).agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key].cast("string")), ",").alias(to))
 
-    return summary.join(median, by).join(end(True, "top_ids"), by).join(end(False, "bottom_ids"), by)
+def similarity_profile(queries: DataFrame, vectors: DataFrame, key: str, ends: int = 10) -> DataFrame:
+    """Per query over all vectors: counts above .8/.5/.3, min, max, mean, upper median, ids of both ends.
+
+    Every task makes a summary per query that merges exactly: how often each score (in millionths) occurs, and its ``ends`` best and worst
+    rows. So no row per query and vector leaves a task, and one pass serves a block of ``BROADCAST_QUERIES`` queries; more queries take
+    a pass for each block.
+    """
+    blocks = max(1, math.ceil(queries.count() / BROADCAST_QUERIES))
+    asked = cut_lineage(queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks if blocks > 1 else 1)).alias("_b"))) if blocks > 1 else None
+    parts = [_profile_part(asked.where(F.col("_b") == b), vectors, key, ends) for b in range(2 * blocks)] if asked is not None else [_profile_part(queries, vectors, key, ends)]
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    q_type = queries.schema["query_id"].dataType.simpleString()
+    above = ", ".join(f"above_{int(t * 10)} long" for t in ABOVE)
+
+    def merge(table):
+        values, counts = _merged_counts([(np.frombuffer(v, "<i4"), np.frombuffer(c, "<i8")) for v, c in zip(table.column("scores").to_pylist(), table.column("counts").to_pylist())])
+        ids = np.array([i for x in table.column("ids").to_pylist() for i in x])
+        scores = np.array([s for x in table.column("end_scores").to_pylist() for s in x])
+        n, upto = int(counts.sum()), np.cumsum(counts)
+        shown = lambda x: round(x / 1e6, 6)
+        out = {"query_id": table.column("query_id")[0].as_py(), "n": n, "min_score": shown(int(values[0])), "max_score": shown(int(values[-1])),
+               "avg_score": round(int((values.astype(np.int64) * counts).sum()) / n / 1e6, 6), "median_upper": shown(int(values[np.searchsorted(upto, n // 2, side="right")])),
+               "top_ids": ",".join(str(i) for i in ids[_best(scores, ids, ends)]), "bottom_ids": ",".join(str(i) for i in ids[_best(-scores, ids, ends)])}
+        out |= {f"above_{int(t * 10)}": int(counts[values > round(t * 1e6)].sum()) for t in ABOVE}
+        return pa.table({k: [v] for k, v in out.items()})
+
+    return found.groupBy("query_id").applyInArrow(merge, f"query_id {q_type}, n long, min_score double, max_score double, avg_score double, median_upper double, "
+                                                         f"top_ids string, bottom_ids string, {above}")
 
 
 def vector_store_check(vectors: DataFrame, expected_rows: int | None = None, key: str = "vec_id") -> DataFrame:

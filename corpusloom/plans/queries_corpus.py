@@ -8,7 +8,7 @@ from .. import schemas
 from ..functions import fixed_values as V, scores as S, text as T
 from ..operators import checks, chunking, fusion
 from ..session import scratch_folder
-from ..sources import readers, sinks
+from ..sources import readers, sinks, versions
 from . import sqlparts as Q
 from .registry import query
 from .tables import CHUNK_SIZE, OVERLAP
@@ -43,9 +43,36 @@ def _(t):
     return readers.pages_to_text(t.pages)
 
 
-@query("a3_list_files")
+def _written_files(t) -> str:
+    """Texts of the documents as files: one file for each language and source, one line a document."""
+    path = scratch_folder(t.spark, "files")
+    lines = t.documents.select("lang", "source", F.concat_ws(":", "doc_id", F.md5(T.text_of("text"))).alias("value"))
+    lines.repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    return path
+
+
+_FILES = "SELECT lang, source, sum(strlen(doc_id || ':' || md5(coalesce(text, ''))) + 1)::BIGINT AS size FROM documents GROUP BY 1, 2"
+
+
+def _folder_of(name: str):
+    return F.regexp_extract("path", f"{name}=([^/]*)", 1).alias(name)
+
+
+@query("a3_list_files", _FILES)
+def _(t):
+    return readers.list_files(t.spark, _written_files(t), "part-*.txt").select(_folder_of("lang"), _folder_of("source"), "size")
+
+
+@query("a4_manifest_of_files", _FILES.replace("AS size", "AS size, '.txt' AS extension, true AS hashed"))
 def _(t):
-    return readers.list_files(t.spark, t.folder, "*.parquet").select("name", "size")
+    files = readers.file_manifest(t.spark, _written_files(t), "part-*.txt")
+    return files.select(_folder_of("lang"), _folder_of("source"), "size", "extension", (F.length("sha256") == 64).alias("hashed"))
+
+
+@query("a1_read_text_files", "SELECT doc_id || ':' || md5(coalesce(text, '')) AS line FROM documents")
+def _(t):
+    docs, _rejects = readers.read_text_files(t.spark, _written_files(t))
+    return docs.select(F.explode(F.split(F.rtrim(F.col("text"), F.lit("\n")), "\n")).alias("line"))
 
 
 @query("a4_file_manifest", Q.sql("""
@@ -67,6 +94,18 @@ def _(t):
                                      F.max("vec_id").alias("last_id"), F.min(F.size("embedding")).alias("dims"))
 
 
+@query("a5_versioned_store", """
+    SELECT 1 AS version, count(*) AS n, count(*) FILTER (changed) AS changed FROM (SELECT vec_id % 3 = 0 AS changed FROM embeddings)""")
+def _(t):
+    """A store is replaced, then a third of its rows are upserted; a reader that was opened before still has the old rows."""
+    path = scratch_folder(t.spark, "versions")
+    rows = t.embeddings.select("vec_id", "label", F.lit(False).alias("changed"))
+    versions.replace_store(rows, path, key="vec_id")
+    versions.upsert_store(rows.filter("vec_id % 3 = 0").withColumn("changed", F.lit(True)), path, key="vec_id")
+    version = versions.current(t.spark, path)[0]
+    return versions.read_store(t.spark, path, rows.schema).agg(F.lit(version).alias("version"), F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("changed"))
+
+
 @query("a6_update_store", """
     SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, 'append' AS first_mode, 'overwrite' AS second_mode,
            (SELECT count(*) FROM embeddings) AS after_append, min(len(embedding)) // 2 AS dims FROM embeddings""")
@@ -203,6 +242,16 @@ def _(t):
         "doc_id", "chunk_index", F.length("text").alias("chunk_size"), F.md5("text").alias("digest"))
 
 
+@query("b6_chunk_text_basic")
+def _(t):
+    """The basic splitter, as a table function in SQL."""
+    chunking.register_table_functions(t.spark)
+    t.documents.createOrReplaceTempView("chunk_text_documents")
+    return t.spark.sql(f"""
+        SELECT doc_id, c.chunk_index, length(c.chunk) AS chunk_size, md5(c.chunk) AS digest
+        FROM chunk_text_documents, LATERAL chunk_text(text, {CHUNK_SIZE}, {OVERLAP}, false) c""")
+
+
 @query("b7_chunk_fixed", Q.sql("SELECT doc_id, chunk_index, text FROM raw_chunks"))
 def _(t):
     return t.raw_chunks.select("doc_id", "chunk_index", "text")

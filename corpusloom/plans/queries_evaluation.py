@@ -515,8 +515,7 @@ def _(t):
                avg(composite) OVER (ORDER BY config_id, query_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS recent FROM scored))
     WHERE reason IS NOT NULL""", **ROWS))
 def _(t):
-    order = F.struct("config_id", "query_id")
-    return E.spot_check_sample(cut_lineage(scored_of(t)), order, F.struct("config_id", F.floor(F.col("query_id") / 10_000)))
+    return E.spot_check_sample(scored_of(t), "config_id", "query_id")
 
 
 @query("v28_engine_insights", Q.sql(f"""

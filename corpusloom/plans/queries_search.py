@@ -86,7 +86,7 @@ def _(t):
     SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r,
            row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS b FROM centre_scores"""))
 def _(t):
-    return vectors.similarity_profile(vectors.score_all(t.class_centres, t.embeddings, "vec_id"), "vec_id")
+    return vectors.similarity_profile(t.class_centres, t.embeddings, "vec_id")
 
 
 @query("d6_vector_store_check", """

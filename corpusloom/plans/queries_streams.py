@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import scratch_folder
-from ..streaming import streams
+from ..sources import versions
+from ..streaming import stateful, streams
 from . import sqlparts as Q
 from .queries_logs import LOGS
 from .registry import query
@@ -55,6 +56,44 @@ def _(t):
     return _run(t, streams.dedup(docs).select("content_hash"))
 
 
+_PARTS = 3
+
+
+def _arrivals(t, df, order: str, parts: int = _PARTS) -> str:
+    """The rows as files that arrive one after the other in the order of a number, to be read one file a micro-batch."""
+    out = scratch_folder(t.spark, "arrivals")
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    step = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
+    for n in range(parts):
+        df.filter((F.col(order) >= (low or 0) + n * step) & (F.col(order) < (low or 0) + (n + 1) * step)).coalesce(1).write.mode("append").parquet(out)
+    return out
+
+
+def _run_stateful(t, folder: str, schema, build):
+    stateful.with_state_store(t.spark)
+    made = build(t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    return _run(t, made)
+
+
+@query("s2_stream_duplicates", f"""
+    WITH RECURSIVE docs AS (
+      SELECT doc_id, sha256({Q.normalized("coalesce(text, '')")}) AS content_hash, (1704067200 + 60 * doc_id) * 1000 AS ms FROM documents),
+    firsts AS (
+      SELECT content_hash, min(ms) AS first_ms FROM docs GROUP BY 1
+      UNION ALL SELECT content_hash, next_ms FROM (
+        SELECT f.content_hash, min(d.ms) AS next_ms FROM firsts f JOIN docs d ON d.content_hash = f.content_hash AND d.ms >= f.first_ms + 10800000 GROUP BY f.content_hash, f.first_ms)),
+    counted AS (
+      SELECT f.content_hash, f.first_ms, min(doc_id) AS doc_id, count(*) AS copies FROM firsts f JOIN docs d
+        ON d.content_hash = f.content_hash AND d.ms >= f.first_ms AND d.ms < f.first_ms + 10800000 GROUP BY 1, 2)
+    SELECT content_hash, doc_id, first_ms, 'first' AS event, 1 AS copies FROM counted
+    UNION ALL SELECT content_hash, doc_id, first_ms, 'closed', copies FROM counted WHERE first_ms + 10800000 <= (SELECT max(ms) FROM docs) - 630000
+       OR EXISTS (SELECT 1 FROM docs d WHERE d.content_hash = counted.content_hash AND d.ms >= first_ms + 10800000)""")
+def _(t):
+    """Documents arrive one minute apart in three files; a content is new again three hours after its first row."""
+    docs = t.documents.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + 60 * F.col("doc_id")))
+    return _run_stateful(t, _arrivals(t, docs, "doc_id"), docs.schema, lambda s: stateful.duplicates(s, "3 hours", "630 seconds"))
+
+
 _HOURS = """
     SELECT w AS start, w + INTERVAL 1 HOUR AS "end", engine, count(*) AS n, round(avg(latency), 6) AS avg_latency,
            count(*) FILTER (hit_count = 0) AS zero_hits
@@ -93,6 +132,21 @@ def _(t):
     return _plain_time(_run(t, streams.sessions(_log(t))), "start", "end")
 
 
+@query("s5_stream_early_sessions", Q.sql("""
+    SELECT session_id, epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS queries, round(avg(latency), 6) AS avg_latency, epoch_us(max(ts)) // 1000 AS last_ms FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS g FROM (
+        SELECT *, CASE WHEN epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY session_id ORDER BY ts, event_id) < 1800000 THEN 0 ELSE 1 END AS fresh FROM log))
+    GROUP BY session_id, g""", **LOGS))
+def _(t):
+    """The last row of every session, early or closed, from three files in the order of time."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    log = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("session_id"), F.col("value").alias("latency"), k.alias("hit_count"))
+    ranked = log.withColumn("_at", F.unix_millis("ts"))
+    out = _run_stateful(t, _arrivals(t, ranked, "_at"), ranked.schema, stateful.early_sessions)
+    last = out.groupBy("session_id", "start_ms").agg(F.max_by(F.struct("queries", "avg_latency", "last_ms"), F.col("queries")).alias("r"))
+    return last.select("session_id", "start_ms", "r.*")
+
+
 @query("s6_stream_upsert_store", Q.sql("SELECT chunk_id, length(text)::INT AS size, CASE WHEN chunk_index > 0 THEN 2 ELSE 1 END AS version FROM chunks"))
 def _(t):
     """All chunks in a first run, then the follow-up chunks again with a new version."""
@@ -111,6 +165,18 @@ def _(t):
     return streams.read_upserted(t.spark, out)
 
 
+@query("s6_stream_versioned_store", Q.sql("SELECT chunk_id, length(text)::INT AS size, CASE WHEN chunk_index > 0 THEN 2 ELSE 1 END AS version FROM chunks"))
+def _(t):
+    """The same arrivals in a versioned store: each micro-batch is one commit and rewrites the buckets it touches."""
+    out, progress, first = (scratch_folder(t.spark, n) for n in ("versions", "progress", "arrivals"))
+    schema = "chunk_id STRING, size INT, version INT"
+    chunks = t.chunks.select("chunk_id", F.length("text").alias("size"), "chunk_index")
+    for version, part in ((1, chunks), (2, chunks.filter("chunk_index > 0"))):
+        part.select("chunk_id", "size", F.lit(version).alias("version")).write.mode("append").parquet(first)
+        streams.run_once(t.spark.readStream.schema(schema).parquet(first).writeStream.foreachBatch(versions.upsert_writer(out)), progress)
+    return versions.read_store(t.spark, out, schema)
+
+
 @query("s7_stream_match", Q.sql("SELECT query_id, chunk_id, score, rank FROM bm10"))
 def _(t):
     out = scratch_folder(t.spark, "hits")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-from fnmatch import fnmatch
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions import scores as S, text as T
+from .files import list_folder, read_folder
 
 
 def read_text_files(spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = True
@@ -18,21 +16,7 @@ def read_text_files(spark: SparkSession, path: str, glob: str = "*.txt", recursi
              .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source"),
                      F.col("value").alias("text")))
     docs = files.filter(F.length("text") > 0).withColumn("n_chars", F.length("text"))
-    rejects = [(p, "empty file") for p, _, _, _ in empty_files(spark, path, glob, recursive)]
-    return docs, spark.createDataFrame(rejects, "path string, reason string")
-
-
-def empty_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> list[tuple]:
-    """(path, name, size, modified) of files without content. File sources skip them, so the folder is listed."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, recursive)
-    found = []
-    while files.hasNext():
-        status = files.next()
-        if status.getLen() == 0 and fnmatch(status.getPath().getName(), glob):
-            found.append((status.getPath().toString(), status.getPath().getName(), 0,
-                          datetime.fromtimestamp(status.getModificationTime() / 1000)))
-    return found
+    return docs, list_folder(spark, path, glob, recursive).filter("size = 0").select("path", F.lit("empty file").alias("reason"))
 
 
 def read_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,21 +32,13 @@ def pages_to_text(pages: DataFrame) -> DataFrame:
 
 def list_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """(path, name, size, modified) of all files, empty ones too; contents are not read."""
-    filled = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-              .option("recursiveFileLookup", recursive).load(path)
-              .select("path", F.element_at(F.split("path", "/"), -1).alias("name"),
-                      F.col("length").alias("size"), F.col("modificationTime").alias("modified")))
-    return filled.unionByName(spark.createDataFrame(empty_files(spark, path, glob, recursive), filled.schema))
+    return list_folder(spark, path, glob, recursive)
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """(name, extension, size, modified, sha256) of every file."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", recursive).load(path))
-    return files.select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    """(path, name, extension, size, modified, sha256) of every file."""
+    return read_folder(spark, path, glob, recursive).select(
+        "path", "name", F.lower(F.regexp_extract("name", r"(\.[^./]+)$", 1)).alias("extension"), "size", "modified", F.sha2("content", 256).alias("sha256"))
 
 
 def document_manifest(docs: DataFrame, chunks: DataFrame) -> DataFrame:

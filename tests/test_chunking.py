@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -60,3 +61,15 @@ def test_clamp(spark):
     size, overlap = chunking.clamp_chunk_params(F.col("s"), F.col("o"))
     assert [tuple(r) for r in df.select(size, overlap).collect()] == [
         (200, 150), (1500, 375), (400, 100), (1000, 250), (1000, 200)]
+
+
+@pytest.mark.parametrize("enhanced", [True, False])
+def test_table_function_equals_the_operator(spark, enhanced):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(
+        spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    chunking.register_table_functions(spark)
+    docs.createOrReplaceTempView("documents_here")
+    got = spark.sql(f"SELECT doc_id, c.* FROM documents_here, LATERAL chunk_text(text, 600, 80, {str(enhanced).lower()}) c")
+    want = chunking.chunk_text(docs, 600, 80, enhanced).select("doc_id", "chunk_index", "text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert max(len(r["chunk"]) for r in got.collect()) <= 600 or not enhanced

@@ -144,12 +144,20 @@ def test_mixed_dimensions_are_reported_and_refused(spark):
         X.knn_exact(q, df, 1, "vec_id").collect()
 
 
-def test_profile_counts_every_vector(spark, clustered):
-    q = frame(spark, clustered[:2], "query_id")
-    row = X.similarity_profile(X.score_all(q, frame(spark, clustered), "vec_id"), "vec_id").orderBy("query_id").first()
-    sims = np.sort(np.round(clustered[0] @ clustered.T + 1e-9, 6))
-    assert row["n"] == len(clustered) and row["median_upper"] == pytest.approx(sims[len(sims) // 2])
-    assert row["above_5"] == int((sims > 0.5).sum())
+@pytest.mark.parametrize("most", [8192, 2])
+def test_profile_counts_every_vector(spark, clustered, monkeypatch, most):
+    """In one pass, and in blocks of queries."""
+    monkeypatch.setattr(X, "BROADCAST_QUERIES", most)
+    q = frame(spark, clustered[:5], "query_id")
+    profile = X.similarity_profile(q, frame(spark, clustered).repartition(3), "vec_id")
+    for row in profile.collect():
+        sims = np.round(unit(clustered) @ unit(clustered)[row["query_id"]] + 1e-9, 6)
+        asc = np.sort(sims)
+        assert row["n"] == len(clustered) and row["median_upper"] == pytest.approx(asc[len(asc) // 2])
+        assert (row["above_8"], row["above_5"], row["above_3"]) == tuple(int((sims > t).sum()) for t in (0.8, 0.5, 0.3))
+        assert row["min_score"] == pytest.approx(asc[0]) and row["avg_score"] == pytest.approx(sims.mean(), abs=1e-6)
+        order = np.arange(len(sims))
+        assert row["top_ids"] == ",".join(map(str, np.lexsort((order, -sims))[:10])) and row["bottom_ids"] == ",".join(map(str, np.lexsort((order, sims))[:10]))
 
 
 def test_pair_bands(spark):
