@@ -82,11 +82,10 @@ def bounded_sample(labelled: DataFrame, label: str, text: str, key: str, per_lab
     return labelled.where(draw < share).limit(2 * per_label * max(1, len(counts)))
 
 
-def stored(df: DataFrame, name: str, parts: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it again: cuts lineage, survives lost executors."""
     folder = scratch_folder(df.sparkSession, name)
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(*parts) if parts else out).parquet(folder)
+    df.write.option("compression", compression).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

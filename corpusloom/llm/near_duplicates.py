@@ -19,6 +19,7 @@ same principle on the bits the key leaves open: of any three parts of those bits
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -281,9 +282,9 @@ def sample_prints(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             data, limits = common.buffers(batch.column(1))
-            raw, whole, keys = data.tobytes(), [], []
+            whole, keys = [], []
             for a, b in zip(limits[:-1].tolist(), limits[1:].tolist()):
-                h = shingle_hashes(raw[a:b].lower())
+                h = shingle_hashes(data[a:b].tobytes().lower())
                 whole.append(_simhash(h))
                 with np.errstate(over="ignore"):
                     orders = [(h * np.uint64(f)) for f in _FACTORS]
@@ -321,30 +322,21 @@ def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = common.stored(pairs.mapInArrow(near, "a string, b string"), "simhash-pairs")
     wanted = pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))).distinct()
     texts = docs.select(common.text_or_empty(text).alias("text")).select(F.md5("text").alias("t"), "text").join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    texts = common.stored(texts, "simhash-texts")
+    texts = common.stored(texts, "simhash-texts", "snappy")
     both = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("x")), "a")
     both = common.join_hot(both, texts.select(F.col("t").alias("b"), F.col("text").alias("y")), "b", F.col("a")).select("a", "b", "x", "y")
 
     def verify(batches):
+        # the first text of a sample meets many others
+        first = lru_cache(maxsize=16)(lambda text: shingle_hashes(text.lower()))
         for batch in batches:
-            sides = []
-            for c in ("x", "y"):
-                data, limits = common.buffers(batch.column(c))
-                raw, known, own = data.tobytes(), {}, []
-                for a, b in zip(limits[:-1].tolist(), limits[1:].tolist()):
-                    if c == "x":
-                        own.append(shingle_hashes(raw[a:b].lower()))
-                    else:
-                        # the first text of a sample meets many others
-                        if raw[a:b] not in known:
-                            known[raw[a:b]] = shingle_hashes(raw[a:b].lower())
-                        own.append(known[raw[a:b]])
-                sides.append(own)
-            keep = []
-            for x, y in zip(*sides):
+            (xs, x_limits), (ys, y_limits) = (common.buffers(batch.column(c)) for c in ("x", "y"))
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = shingle_hashes(xs[x_limits[i]:x_limits[i + 1]].tobytes().lower()), first(ys[y_limits[i]:y_limits[i + 1]].tobytes())
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= SIMILAR * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep[i] = shared >= SIMILAR * (len(x) + len(y) - shared)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(verify, "a string, b string")
 

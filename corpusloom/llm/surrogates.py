@@ -292,7 +292,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> tuple[Dat
     """
     count, mark, split, own = "_pii_count", "_pii_map", "_pii_parts", "_pii_key"
     cols = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    apart = common.stored(docs.select(*cols, parts(F.col(text)).alias(split)).withColumn(split, names_again(F.col(split))), "pii-parts")
+    apart = common.stored(docs.select(*cols, parts(F.col(text)).alias(split)).withColumn(split, names_again(F.col(split))), "pii-parts", "snappy")
     has = F.coalesce(F.size(split) > 1, F.lit(False))
     keyed = F.md5(F.to_json(F.array_sort(F.array_distinct(entities(F.col(split))))))
     # texts with the same entities meet here once
