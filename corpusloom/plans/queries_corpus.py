@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import fixed_values as V, scores as S, text as T
-from ..operators import checks, chunking, fusion
+from ..operators import checks, chunking, encoders, fusion
 from ..session import scratch_folder
 from ..sources import readers, sinks, versions
-from . import sqlparts as Q
+from . import ingest, sqlparts as Q
 from .registry import query
-from .tables import CHUNK_SIZE, OVERLAP
+from .tables import CHUNK_SIZE, DIMS, OVERLAP
 
 
 
@@ -621,3 +621,13 @@ def _(t):
 def _(t):
     return t.qa.select("query_id", F.round(T.specificity(F.col("answer")), 6).alias("specificity"),
                        T.completeness_by_length(F.col("answer")).alias("completeness"))
+
+
+# --- the ingest plan ---------------------------------------------------------------------------
+
+@query("ingest_documents")
+def _(t):
+    """All documents through the ingest plan into a versioned store, read back."""
+    path = scratch_folder(t.spark, "ingested")
+    ingest.ingest(t.documents, path, CHUNK_SIZE, OVERLAP, encoders.hashing_encoder(DIMS), DIMS)
+    return ingest.store(t.spark, path).select("chunk_id", "source", "metadata.chunk_size", "metadata.digest")

@@ -243,18 +243,22 @@ def _(t):
     return search.run_plans(names, corpus_of(t), questions_of(t), 10)
 
 
-@query("f8_dedup_hits", Q.sql("""
-    SELECT query_id, chunk_id, score, rank FROM bm10 JOIN (SELECT query_id, arg_max(kept, n) AS kept FROM folded GROUP BY 1) USING (query_id)
-    WHERE list_contains(kept, rank)""",
-    shown="SELECT query_id, rank, text FROM bm10 JOIN chunks USING (chunk_id)",
-    alike=f"""
+DISTINCT = {
+    "shown": "SELECT query_id, rank, text FROM bm10 JOIN chunks USING (chunk_id)",
+    "alike": f"""
       SELECT x.query_id, y.rank, list(x.rank) AS before FROM shown x JOIN shown y ON x.query_id = y.query_id AND x.rank < y.rank
       WHERE {Q.jaccard('x.text', 'y.text')} > 0.6 GROUP BY 1, 2""",
-    lined="SELECT query_id, rank, coalesce(before, []::INT[]) AS before FROM shown LEFT JOIN alike USING (query_id, rank)",
-    folded="""
+    "lined": "SELECT query_id, rank, coalesce(before, []::INT[]) AS before FROM shown LEFT JOIN alike USING (query_id, rank)",
+    "folded": """
       SELECT query_id, 0 AS n, []::INT[] AS kept FROM queries UNION ALL
       SELECT f.query_id, l.rank, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, l.rank) END
-      FROM folded f JOIN lined l ON l.query_id = f.query_id AND l.rank = f.n + 1"""))
+      FROM folded f JOIN lined l ON l.query_id = f.query_id AND l.rank = f.n + 1"""}
+KEPT_HITS = """
+    SELECT query_id, chunk_id, score, rank FROM bm10 JOIN (SELECT query_id, arg_max(kept, n) AS kept FROM folded GROUP BY 1) USING (query_id)
+    WHERE list_contains(kept, rank)"""
+
+
+@query("f8_dedup_hits", Q.sql(KEPT_HITS, **DISTINCT))
 def _(t):
     return fusion_dedup(t)
 
@@ -317,7 +321,7 @@ def _(t):
 
 # --- flagship -------------------------------------------------------------------------------
 
-@query("answer_contexts", Q.sql(f"""
+_ANSWERED = f"""
     SELECT query_id, n_chunks, context, round(CASE WHEN n_hits IS NULL THEN 0 ELSE list_avg(list_filter([
         list_avg(s), CASE WHEN n_hits > 1 THEN greatest(0, 1 - vp) END,
         CASE WHEN length(context) < 500 THEN length(context) / 500.0 WHEN length(context) <= 5000 THEN 1.0
@@ -327,13 +331,25 @@ def _(t):
                  coalesce(n_chunks, 0) AS n_chunks FROM queries LEFT JOIN ctx USING (query_id))
     LEFT JOIN (SELECT query_id, count(*) AS n_hits, list(x) AS s, var_pop(x) AS vp FROM (
        SELECT query_id, least(1, greatest(0, score / max(score) OVER (PARTITION BY query_id))) AS x FROM bm5)
-       GROUP BY 1) USING (query_id)""",
+       GROUP BY 1) USING (query_id)"""
+_PREPARED = dict(
     raw_chunks=Q.CTES["raw_chunks"].replace("coalesce(text, '')", "prepared").replace("FROM documents", "FROM prepared_docs"),
     prepared_docs=f"""
       SELECT doc_id, source, lang, {Q.thin_dropped('b')} AS prepared FROM (SELECT *, {Q.breaks_repaired('a')} AS b FROM (
         SELECT *, {Q.noise_filtered("coalesce(text, '')")} AS a FROM documents))""",
-    bm5=Q.ranked("bm25", 5),
-    ctx=Q.context_sql("(SELECT query_id, rank, source, text FROM bm5 JOIN chunks USING (chunk_id))", 4000)))
+    ctx=Q.context_sql("(SELECT query_id, rank, source, text FROM bm5 JOIN chunks USING (chunk_id))", 4000))
+
+
+@query("answer_contexts", Q.sql(_ANSWERED, bm5=Q.ranked("bm25", 5), **_PREPARED))
 def _(t):
     from .tables import CHUNK_SIZE, OVERLAP
     return search.answer_contexts(t.documents, t.queries, CHUNK_SIZE, OVERLAP, 5, 4000)
+
+
+@query("ask_contexts", Q.sql(_ANSWERED, **_PREPARED, **DISTINCT, bm5=f"""
+    SELECT query_id, chunk_id, score, place AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS place FROM ({KEPT_HITS})) WHERE place <= 5"""))
+def _(t):
+    """The same with twice the hits, of which near copies of better ones go."""
+    from .tables import CHUNK_SIZE, OVERLAP
+    return search.answer_contexts(t.documents, t.queries, CHUNK_SIZE, OVERLAP, 5, 4000, distinct=0.6)
