@@ -162,7 +162,8 @@ def _(t):
     return scored_of(t).select("config_id", "query_id", "correctness", "correct")
 
 
-@query("v6_answer_correct_semantic")
+@query("v6_answer_correct_semantic", Q.sql("""
+    SELECT query_id, greatest(0.0, score) AS similarity, score >= 0.8 AS correct FROM (SELECT query_id, chunk_id FROM bm10 WHERE rank = 1) JOIN vec USING (query_id, chunk_id)"""))
 def _(t):
     enc = encoders.hashing_encoder(64)
     best = shown_of(t).filter("rank = 1").select("query_id", "text").join(t.queries, "query_id")
@@ -207,7 +208,12 @@ def _(t):
     return scored_of(t).select("config_id", "query_id", "recall", "context_hit")
 
 
-@query("v11_semantic_answer_score")
+@query("v11_semantic_answer_score", Q.sql("""
+    SELECT b.query_id, round(CASE WHEN text = '' OR starts_with(text, 'ERROR') THEN 0.0 ELSE
+        0.7 * coalesce(asked, 0) + 0.2 * coalesce(told, 0) + 0.1 * least(length(text) / 100.0, 1.0) END + 1e-9, 6) AS score
+    FROM best b LEFT JOIN (SELECT b.query_id, sum(q.x * c.x) AS asked FROM best b JOIN chunk_vec c USING (chunk_id) JOIN query_vec q ON q.query_id = b.query_id AND q.d = c.d GROUP BY 1) USING (query_id)
+    LEFT JOIN (SELECT b.query_id, sum(x.x * c.x) AS told FROM best b JOIN chunk_vec c USING (chunk_id) JOIN ctx_vec x ON x.query_id = b.query_id AND x.d = c.d GROUP BY 1) USING (query_id)""",
+    best="SELECT query_id, chunk_id, text FROM bm10 JOIN chunks USING (chunk_id) WHERE rank = 1", ctx=BM_CTX, ctx_vec=Q.hash_vectors("ctx", "query_id", "context")))
 def _(t):
     enc = encoders.hashing_encoder(64)
     shown = shown_of(t)

@@ -10,7 +10,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from check import TABLES, plain  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = ["a4_file_manifest", "b5_prepare_text", "b10_merge_small_chunks", "c1_extract_links", "d2_knn_exact", "e1_keyword_search",
+SAMPLE = ["a3_list_files", "a4_file_manifest", "a5_versioned_store", "d3_recall", "d5_similarity_profile", "ask_contexts",
+          "v6_answer_correct_semantic", "b5_prepare_text", "b10_merge_small_chunks", "c1_extract_links", "d2_knn_exact", "e1_keyword_search",
           "e3_bm25_search", "f1_fuse_minmax", "f11_assemble_context", "g18_session_order", "h1_similar_documents", "h8_cluster_topics",
           "v12_summarise_configs", "v25_parameter_sweep", "v27_spot_check_sample", "s5_stream_sessions", "answer_contexts"]
 
