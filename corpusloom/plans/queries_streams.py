@@ -16,8 +16,8 @@ from .tables import CHUNK_SIZE, OVERLAP
 
 
 def _stream(t, table: str):
-    schema = t.spark.read.parquet(f"{t.folder}/{table}.parquet").schema
-    return streams.table_stream(t.spark, t.folder, f"{table}.parquet", schema)
+    """A table is one file or a folder of files. A stream's path must be a folder unless it is a pattern, and this one matches both."""
+    return t.spark.readStream.schema(t.spark.read.parquet(f"{t.folder}/{table}.parquet").schema).parquet(f"{t.folder}/{table}.parque[t]")
 
 
 def _run(t, df, mode: str = "append"):

@@ -73,3 +73,17 @@ def test_upserts_of_one_batch_and_of_a_new_checkpoint(spark, tmp_path):
     first = streams.next_batch(spark, path)
     streams.upsert_batch(path, order="at", first=first)(rows(("b", 4, 1)), 0)
     assert first == 1 and {r["chunk_id"]: r["v"] for r in streams.read_upserted(spark, path).collect()} == {"a": 1, "b": 4}
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    from corpusloom.plans import catalog
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "file")
+    (tmp_path / "single").mkdir()
+    (tmp_path / "file").rename(tmp_path / "single" / "documents.parquet")
+    wanted = streams.ingest(docs, 1000, 150).count()
+    for folder in (tmp_path, tmp_path / "single"):
+        assert catalog.QUERIES["s1_stream_ingest"](spark, str(folder)).count() == wanted > 0
+        assert catalog.QUERIES["s2_stream_dedup"](spark, str(folder)).count() > 0
