@@ -102,6 +102,19 @@ def test_tfidf_ways_agree_and_have_unit_length(data):
     assert all(abs(v - 1) < 1e-6 for v in lengths.values())
 
 
+def test_only_common_words_pass_the_driver(spark, data, monkeypatch):
+    _, chunks, _ = data
+    more = spark.createDataFrame([("e1", ""), ("e2", "a rare1 rare2 rare1"), (None, "rare3 stone")], chunks.schema)
+    index, sent, send = lexical.build_postings(chunks.unionByName(more), T.terms), [], lexical.blocks.unit_weights
+    def get(df):
+        return {(r["chunk_id"], x["term"]): round(x["weight"], 9) for r in df.collect() for x in r["terms"]}
+    want = get(lexical.tfidf_rows(index))
+    monkeypatch.setattr(lexical, "BROADCAST_VOCABULARY", 3)
+    monkeypatch.setattr(lexical.blocks, "unit_weights", lambda rows, idf, *more: sent.append(idf.count()) or send(rows, idf, *more))
+    assert get(lexical.tfidf_rows(index)) == want
+    assert sent == [3]
+
+
 @pytest.mark.parametrize("bound", [500_000, 0])
 def test_sparse_search(data, monkeypatch, bound):
     queries, chunks, _ = data
