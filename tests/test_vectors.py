@@ -195,3 +195,13 @@ def test_exact_cell_search_reads_on_where_a_nearer_vector_may_lie(spark, tmp_pat
     want = get(X.knn_exact(asked, vecs, 10, "vec_id"))
     assert get(X.search_cells(asked, store, 10, 1)) != want
     assert get(X.search_cells(asked, store, 10, 1, exact=True)) == want
+
+
+def test_similar_pairs_miss_none_while_blocks_cost_no_more_than_keys(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK_ROWS", 100)
+    m = np.random.default_rng(8).normal(size=(250, 4))
+    assert 3 <= X.join_keys(250, 0.6, miss=0.5).bands
+    sims = np.round(unit(m) @ unit(m).T + 1e-9, 6)
+    want = {(i, j) for i in range(250) for j in range(i + 1, 250) if sims[i, j] > 0.6}
+    got = X.similar_pairs(frame(spark, m), 0.6, neighbours=250, miss=0.5)
+    assert {(r["id_a"], r["id_b"]) for r in got.collect()} == want
