@@ -88,30 +88,32 @@ class Sessions(StatefulProcessor):
         self.open = handle.getValueState("open", "first long, last long, queries long, latency double")
 
     @staticmethod
-    def _row(key, state, event: str) -> pd.DataFrame:
-        first, last, n, total = state
-        return pd.DataFrame({"session_id": [key[0]], "start_ms": [first], "last_ms": [last], "queries": [n], "avg_latency": [round(total / n, 6)], "event": [event]})
+    def _rows(key, states: list[tuple], events: list[str]) -> pd.DataFrame:
+        first, last, n, total = zip(*states)
+        return pd.DataFrame({"session_id": key[0], "start_ms": first, "last_ms": last, "queries": n, "avg_latency": [round(t / m, 6) for t, m in zip(total, n)], "event": events})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.open.get()) if self.open.exists() else None
-        for ms, latency in _in_order(rows, ["ms"])[["ms", "latency"]].itertuples(index=False):
-            ms = int(ms)
+        # a call to the state store is a round trip, so timers move once a batch and not with every entry
+        before = tuple(self.open.get()) if self.open.exists() else None
+        state, closed, entries = before, [], _in_order(rows, ["ms"])
+        for ms, latency in zip(entries["ms"].tolist(), entries["latency"].tolist()):
             if state is not None and ms >= state[1] + self.gap:
-                self.handle.deleteTimer(state[1] + self.gap)
-                yield self._row(key, state, "closed")
+                closed.append(state)
                 state = None
             if state is not None:
-                self.handle.deleteTimer(state[1] + self.gap)
-                state = (min(state[0], ms), max(state[1], ms), state[2] + 1, state[3] + float(latency))
+                state = (min(state[0], ms), max(state[1], ms), state[2] + 1, state[3] + latency)
             else:
-                state = (ms, ms, 1, float(latency))
+                state = (ms, ms, 1, latency)
+        if before is None or before[1] != state[1]:
+            if before is not None:
+                self.handle.deleteTimer(before[1] + self.gap)
             self.handle.registerTimer(state[1] + self.gap)
         self.open.update(state)
-        yield self._row(key, state, "early")
+        yield self._rows(key, [*closed, state], ["closed"] * len(closed) + ["early"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():
-            yield self._row(key, tuple(self.open.get()), "closed")
+            yield self._rows(key, [tuple(self.open.get())], ["closed"])
             self.open.clear()
 
     def close(self) -> None:

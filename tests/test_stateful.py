@@ -58,3 +58,29 @@ def test_sessions_show_early_and_close(feed):
     rows, _ = feed([(400, "c", 1.0)], schema, build)
     got = {(r["session_id"], r["queries"], r["event"], r["start_ms"]) for r in rows}
     assert {("b", 1, "closed", ms(12)), ("a", 1, "closed", ms(70))} <= got
+
+
+def test_a_session_moves_its_timer_once_a_batch():
+    import pandas as pd
+    from corpusloom.streaming import stateful as st
+    calls, held = [], []
+
+    class Value:
+        exists = staticmethod(lambda: bool(held))
+        get = staticmethod(lambda: held[-1])
+        update = staticmethod(held.append)
+
+    class Handle:
+        getValueState = staticmethod(lambda *_: Value)
+        registerTimer = staticmethod(lambda at: calls.append(("on", at)))
+        deleteTimer = staticmethod(lambda at: calls.append(("off", at)))
+
+    sessions = st.Sessions(100)
+    sessions.init(Handle)
+    def batch(*ms):
+        return [tuple(r) for p in sessions.handleInputRows(("a",), iter([pd.DataFrame({"ms": ms, "latency": [1.0] * len(ms)})]), None)
+                for r in p[["start_ms", "last_ms", "queries", "event"]].itertuples(index=False)]
+    assert batch(50, 0, 300, 310) == [(0, 50, 2, "closed"), (300, 310, 2, "early")]
+    assert batch(305) == [(300, 310, 3, "early")]
+    assert batch(400, 900) == [(300, 400, 4, "closed"), (900, 900, 1, "early")]
+    assert calls == [("on", 410), ("off", 410), ("on", 1000)]
