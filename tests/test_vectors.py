@@ -205,3 +205,11 @@ def test_similar_pairs_miss_none_while_blocks_cost_no_more_than_keys(spark, monk
     want = {(i, j) for i in range(250) for j in range(i + 1, 250) if sims[i, j] > 0.6}
     got = X.similar_pairs(frame(spark, m), 0.6, neighbours=250, miss=0.5)
     assert {(r["id_a"], r["id_b"]) for r in got.collect()} == want
+
+
+def test_text_keys_in_blocks_with_an_empty_side(spark):
+    m = unit(np.random.default_rng(3).normal(size=(40, 6)))
+    rows = frame(spark, m).withColumn("vec_id", F.concat(F.lit("k"), F.lpad(F.col("vec_id").cast("string"), 3, "0")))
+    keyed = X.with_keys(rows, X.Keys(4, 3, 0.9), "vec_id")
+    # most keys of the right rows have no left row
+    assert X.first_similar(keyed.where("vec_id = 'k000'"), keyed, 2.0, "vec_id", X.Keys(4, 3, 0.9)).count() == 0
