@@ -246,9 +246,11 @@ SIMILAR = 0.8
 #: Fingerprints of samples that a text has, and the shingles of a sample.
 SAMPLES = 10
 SAMPLED = 3
-#: Texts before it that a text of a sample is compared with, and texts of a sample that one window holds.
+#: Texts before it that a text of a sample is compared with first, and texts of a sample that one window holds.
 BEFORE = 2
 GROUP = 1000
+#: Texts of a sample that one block holds when the pairs left over are compared.
+MOST = 200
 #: At a similarity of 0.8 two fingerprints differ in 9.7 bits on average with a deviation of 2.9; this is four deviations more.
 WIDE = 22
 WIDE_LIMITS = tuple(range(0, 65, 2))
@@ -272,7 +274,7 @@ def _simhash(hashes: np.ndarray) -> int:
 
 
 def sample_prints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """t (md5 of the text), fp (fingerprint of all shingles) and keys (fingerprints of ``SAMPLES`` consistent samples) of each distinct text.
+    """t (md5 of the text), fp (fingerprint of all shingles), size (their number) and keys (fingerprints of ``SAMPLES`` consistent samples) of each distinct text.
 
     A sample holds the ``SAMPLED`` shingles that come first in an order of its own, so texts of similarity s share a sample with a
     probability of about s ** ``SAMPLED`` each: at 0.8 all but 0.1 % of the pairs share one.
@@ -282,28 +284,132 @@ def sample_prints(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             data, limits = common.buffers(batch.column(1))
-            whole, keys = [], []
+            whole, sizes, keys = [], [], []
             for a, b in zip(limits[:-1].tolist(), limits[1:].tolist()):
                 h = shingle_hashes(data[a:b].tobytes().lower())
                 whole.append(_simhash(h))
+                sizes.append(len(h))
                 with np.errstate(over="ignore"):
                     orders = [(h * np.uint64(f)) for f in _FACTORS]
                 keys.append([_simhash(h[np.argpartition(o, SAMPLED)[:SAMPLED]] if len(h) > SAMPLED else h) for o in orders])
             keys = np.array(keys, np.uint64).reshape(-1, SAMPLES).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, SAMPLES), pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(whole, np.uint64).view(np.int64)), lists], names=["t", "fp", "keys"])
-
-    return rows.mapInArrow(run, "t string, fp long, keys array<long>").groupBy("t").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists],
+                                             names=["t", "fp", "size", "keys"])
+
+    return (rows.mapInArrow(run, "t string, fp long, size long, keys array<long>").groupBy("t")
+            .agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+
+
+def _places(table: pa.Table):
+    """The rows of each place of a bucket, one table at a time."""
+    table = table.combine_chunks().sort_by("place")
+    names = np.asarray(table.column("place").to_numpy(zero_copy_only=False), object)
+    cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+    return [table.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def _open_pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of one block: those of the left, those of the right, and which of their pairs may be similar and are not connected."""
+    right = np.asarray(rows.column("other"), bool)
+    left, right = np.flatnonzero(~right), np.flatnonzero(right)
+    part = rows.column("part").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    fp, size = np.asarray(rows.column("fp")).view(np.uint64), np.asarray(rows.column("size"))
+    few, many = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
+    # no similarity is greater than the share of the sizes
+    found = (part[left][:, None] != part[right][None, :]) & (few >= SIMILAR * many)
+    x, y = np.nonzero(found)
+    diff = fp[left[x]] ^ fp[right[y]]
+    found[x, y] = np.bitwise_count(diff) <= WIDE
+    x, y = np.nonzero(found)
+    found[x, y] = _chain(fp[left[x]] ^ fp[right[y]], WIDE, WIDE_LIMITS)
+    return left, right, found
+
+
+def other_links(docs: DataFrame, sampled: DataFrame, links: DataFrame, text: str = "text") -> DataFrame:
+    """(a, b): links that pairs of one sample add to ``links``, as a spanning forest of every block.
+
+    What ``links`` connect needs no comparison. In a sample the texts outside its largest part meet all texts of other parts, block by block, so nothing
+    is left out and a sample that is one part costs nothing. Shingles go only to blocks where their text has a pair that sizes and fingerprints allow.
+    """
+    member = components_of(links).select(F.col("node").alias("t"), "component")
+    rows = common.stored(sampled.join(member, "t", "left").select("place", "t", "fp", "size", F.coalesce("component", "t").alias("part")), "simhash-parts")
+    count = rows.groupBy("place", "part").agg(F.count("*").alias("c")).groupBy("place").agg(F.sum("c").alias("n"), F.max(F.struct("c", "part")).alias("top"))
+    open_ = cut_lineage(count.where((F.col("n") > BEFORE + 1) & (F.col("top.c") < F.col("n")))
+                        .select("place", "n", (F.col("n") - F.col("top.c")).alias("m"), F.col("top.part").alias("main")))
+    small = F.col("n") <= MOST
+    buckets = max(1, -(-(open_.agg(F.sum(F.when(small, F.col("n")))).first()[0] or 0) // (2 * MOST)))
+    open_ = open_.select("place", "main", F.ceil(F.col("n") / MOST).cast("int").alias("ni"), F.ceil(F.col("m") / MOST).cast("int").alias("nj"),
+                         F.when(small, F.pmod(F.xxhash64("place"), F.lit(buckets)).cast("string")).otherwise(F.col("place")).alias("bucket"))
+    rows = common.join_hot(rows, open_, "place", F.col("t"))
+    i, j = (F.pmod(F.xxhash64("t"), F.col(c)).cast("int") for c in ("ni", "nj"))
+    kept = ["bucket", "place", "t", "fp", "size", "part"]
+    dealt = (rows.select(*kept, F.lit(False).alias("other"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
+             .unionByName(rows.where("part <> main").select(*kept, F.lit(True).alias("other"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), j.alias("j"))))
+    grid = ["bucket", "i", "j"]
+
+    def meeting(table):
+        out = [table.slice(0, 0)]
+        for own in _places(table):
+            left, right, found = _open_pairs(own)
+            out.append(own.take(np.sort(np.concatenate([left[found.any(1)], right[found.any(0)]]))))
+        return pa.concat_tables(out)
+
+    met = common.stored(dealt.groupBy(*grid).applyInArrow(meeting, dealt.schema), "simhash-open")
+    texts = (docs.select(common.text_or_empty(text).alias("text")).select(F.md5("text").alias("t"), "text")
+             .join(met.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text")))
+
+    def hashed(batches):
+        for batch in batches:
+            data, limits = common.buffers(batch.column(1))
+            rows = [shingle_hashes(data[a:b].tobytes().lower()) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+            flat = np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["t", "shingles"])
+
+    shingles = common.stored(texts.mapInArrow(hashed, "t string, shingles array<long>"), "simhash-shingles")
+
+    def verify(table):
+        links = []
+        for own in _places(table):
+            left, right, found = _open_pairs(own)
+            ids = own.column("t").to_pylist()
+            root = own.column("part").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).copy()
+            lists = own.column("shingles").combine_chunks()
+            limits = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            names, code = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            marked = np.zeros(len(names), bool)
+            for k, y in enumerate(right.tolist()):
+                near = left[found[:, k]]
+                near = near[root[near] != root[y]]
+                if not len(near):
+                    continue
+                mine = code[limits[y]:limits[y + 1]]
+                marked[mine] = True
+                size = limits[near + 1] - limits[near]
+                ends = np.cumsum(size)
+                at = np.repeat(limits[near] - (ends - size), size) + np.arange(ends[-1])
+                shared = np.add.reduceat(marked[code[at]].astype(np.int64), ends - size)
+                marked[mine] = False
+                for x in near[shared >= SIMILAR * (size + len(mine) - shared)].tolist():
+                    if root[x] != root[y]:
+                        root[root == root[x]] = root[y]
+                        links.append((ids[x], ids[y]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.string()), "b": pa.array([y for _, y in links], pa.string())})
+
+    return met.join(shingles, "t").groupBy(*grid).applyInArrow(verify, "a string, b string").distinct()
 
 
 def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(a, b): links between hashes of different texts whose sets of five-word shingles have a similarity of ``SIMILAR`` or more.
 
-    Texts with an equal sample fingerprint are compared with the smallest text of that sample and with the ``BEFORE`` texts before them, so a
-    large group costs rows and not pairs; of three texts or fewer all pairs are compared. The pigeonring chain on the whole fingerprints, with the wide budget, prunes pairs before their shingles are counted.
+    Texts with an equal sample fingerprint are compared first with the smallest text of that sample and with the ``BEFORE`` texts before them, which
+    connects most copies; then with all texts of the sample that are not connected to them yet (``other_links``). The pigeonring chain on the whole
+    fingerprints, with the wide budget, prunes pairs before their shingles are counted.
     """
     prints = common.stored(sample_prints(docs, text), "simhash-samples")
-    sampled = prints.select("t", "fp", F.posexplode("keys").alias("sample", "key")).withColumn("place", F.concat_ws(":", "sample", "key")).select("t", "fp", "place")
+    places = prints.select("t", "fp", "size", F.posexplode("keys").alias("sample", "key")).withColumn("place", F.concat_ws(":", "sample", "key")).select("t", "fp", "size", "place")
+    sampled = places.drop("size")
     first = cut_lineage(sampled.groupBy("place").agg(F.min(F.struct("t", "fp")).alias("c"), F.count("*").alias("n")).where("n > 1"))
     met = common.join_hot(sampled, first.select("place", "n", F.col("c.t").alias("first"), F.col("c.fp").alias("first_fp")), "place", F.col("t"))
     # a large sample is cut by a hash of the text, so no window holds more than about GROUP texts
@@ -338,7 +444,8 @@ def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
                 keep[i] = shared >= SIMILAR * (len(x) + len(y) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(verify, "a string, b string")
+    links = common.stored(both.mapInArrow(verify, "a string, b string"), "simhash-links")
+    return links.unionByName(other_links(docs, places, links, text))
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:

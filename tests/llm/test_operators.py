@@ -499,6 +499,33 @@ def test_similar_texts_against_brute_force(spark):
     assert len(alike) > 40 and missed <= 0.03 * len(texts)
 
 
+@pytest.mark.parametrize("most", [200, 16])
+def test_similar_texts_of_crowded_samples(spark, monkeypatch, most):
+    """Many texts share samples with a base that none is similar to; each pair among them is still found."""
+    import hashlib
+    monkeypatch.setattr(near_duplicates, "MOST", most)
+    r = random.Random(9)
+    words = [f"u{i}" for i in range(4000)]
+    base, texts = [r.choice(words) for _ in range(400)], []
+    for _ in range(60):
+        own = list(base)
+        for at in r.sample(range(5, 395), 6):
+            own[at] = r.choice(words)
+        copy = list(own)
+        for at in r.sample(range(5, 395), 7):
+            copy[at] = r.choice(words)
+        texts += [" ".join(own), " ".join(copy)]
+    names = [hashlib.md5(t.encode()).hexdigest() for t in texts]
+    sets = [set(near_duplicates.shingle_hashes(t.encode()).tolist()) for t in texts]
+    alike = {frozenset((names[i], names[j])) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {frozenset((x["a"], x["b"])) for x in near_duplicates.similar_texts(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    part = {n: {n} for n in names}
+    for x, y in map(tuple, got):
+        for n in part[x] | part[y]:
+            part[n] = part[n] | part[x] | part[y]
+    assert 50 < len(alike) < 200 and got <= alike and all(y in part[x] for x, y in map(tuple, alike))
+
+
 def test_names_of_a_text_are_found_again(spark):
     rows = [(1, "Anna Schmidt called. Schmidt said hi. Mr. Schmidt left, and Anna too.", "en", "a"), (2, "The Schmidt house is old.", "en", "a"),
             (3, "Signs \x01 and \x02 stay: mail bob@corp.example.com, Mr. Schmidt.", "en", "a")]
