@@ -181,3 +181,28 @@ def test_bounds_leave_common_terms_closed(spark, skewed):
     made, every = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
     lexical.bm25_search(queries, index, 5, products=(made, every)).collect()
     assert 0 < made.value <= every.value
+
+
+def test_keyword_memory_is_bounded():
+    """A task remembers a bounded number of words, in flat arrays, and counts the same after it forgot them."""
+    from corpusloom.operators.blocks import Inside
+    words, known = ["an", "na"], Inside()
+    find = lambda term: [i for i, w in enumerate(words) if w in term]
+    for n in range(40):
+        number = known.numbers([f"banana{n}{i}" for i in range(10)], find, words, 50)
+        assert len(known.known) <= 60
+        at, counts, limits = known.arrays()
+        assert at[limits[number[0]]:limits[number[0] + 1]].tolist() == [0, 1] and counts[limits[number[0]]:limits[number[0] + 1]].tolist() == [2.0, 2.0]
+
+
+def test_hits_are_searched_once(spark, monkeypatch):
+    """Shallower hits are ranks of the kept ones, and texts of hits come without a shuffle of texts."""
+    from corpusloom.operators import fusion, lexical
+    from corpusloom.plans.tables import Tables
+    t, calls, search = Tables(spark, "/root/testdata/sf0.001"), [], lexical.bm25_search
+    monkeypatch.setattr(lexical, "bm25_search", lambda *a, **k: calls.append(1) or search(*a, **k))
+    deep, few = t.bm25_hits(10), t.bm25_hits(3)
+    assert len(calls) == 1 and {r["rank"] for r in few.collect()} == {1, 2, 3}
+    assert few.exceptAll(deep).isEmpty() and deep.filter("rank <= 3").count() == few.count()
+    plan = fusion.with_text(few, t.chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
