@@ -120,7 +120,8 @@ def train(texts: list[str], labels: list[str], dims: int = 8, per_width: int = 1
     return Network(names, p["e"], p["w"] * mask, p["b"], p["h"], p["c"])
 
 
-@lru_cache(maxsize=2)
+# 25 MB a network: a worker keeps those of the last one only
+@lru_cache(maxsize=1)
 def _pair_tables(key: bytes, shape: tuple[int, int], filters: bytes, f: int) -> tuple[np.ndarray, np.ndarray]:
     e = np.frombuffer(key, np.float32).reshape(shape)
     w = np.frombuffer(filters, np.float32).reshape(4, shape[1], f)

@@ -30,8 +30,10 @@ from . import common
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Distinct segments that a worker keeps; beyond it the memory starts anew.
-KEPT_SEGMENTS = 800_000
+#: Distinct segments that a worker remembers; beyond it only those stay that were used again, half of them at most.
+KEPT_SEGMENTS = 150_000
+#: Moves over fail links and answers whether a piece may follow another that a worker remembers; beyond it that memory starts anew.
+KEPT_MOVES = 600_000
 #: Piece types of the file format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -106,7 +108,9 @@ class Pieces:
         self._automaton(usable)
         self.follows: dict[int, bool] = {}
         self.table = [self._bytes_of(i) for i in range(len(self.pieces))]
-        self._forget()
+        # a segment's number is its place in the memory; limits of its ids in flat, and how often texts had it
+        self.memory: dict[str, int] = {}
+        self.flat, self.limits, self.uses = array("i"), array("q", [0]), np.zeros(0, np.int64)
 
     # -- merges ---------------------------------------------------------------------------------------
     def _rank(self, i: int) -> float:
@@ -253,14 +257,19 @@ class Pieces:
         return re.findall(" *[^ ]+| +", (" " if self.dummy else "") + text.replace(SPACE, " "))
 
     def _forget(self) -> None:
-        self.memory: dict[str, int] = {}
-        self.flat, self.limits = array("i"), array("q", [0])
+        """Keeps the segments used most, at most half of ``KEPT_SEGMENTS`` and none that was used once; older uses count half."""
+        kept = np.flatnonzero(self.uses > 1)
+        kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:KEPT_SEGMENTS // 2]])
+        flat, limits = common.gather_ragged(np.array(self.flat, np.int32), np.array(self.limits, np.int64), kept)
+        names = list(self.memory)
+        self.memory = {names[k]: n for n, k in enumerate(kept.tolist())}
+        self.flat, self.limits, self.uses = array("i", flat.tobytes()), array("q", limits.tobytes()), self.uses[kept] // 2
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the limits of each text."""
         if len(self.memory) > KEPT_SEGMENTS:
             self._forget()
-        if len(self.moves) + len(self.follows) > 4 * KEPT_SEGMENTS:
+        if len(self.moves) - len(self.step) + len(self.follows) > KEPT_MOVES:
             self.moves, self.follows = dict(self.step), {}
         memory, wanted, counts = self.memory, array("q"), []
         for text in texts:
@@ -274,7 +283,11 @@ class Pieces:
                 wanted.append(k)
             counts.append(len(own))
         flat, limits = np.array(self.flat, np.int32), np.array(self.limits, np.int64)
-        ids, ends = common.gather_ragged(flat, limits, np.frombuffer(wanted, np.int64) if len(wanted) else np.zeros(0, np.int64))
+        wanted = np.frombuffer(wanted, np.int64) if len(wanted) else np.zeros(0, np.int64)
+        uses = np.bincount(wanted, minlength=len(memory))
+        uses[:len(self.uses)] += self.uses
+        self.uses = uses
+        ids, ends = common.gather_ragged(flat, limits, wanted)
         return ids, ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
     def encode(self, text: str) -> list[int]:

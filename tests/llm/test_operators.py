@@ -205,6 +205,19 @@ def test_sentencepiece_equals_the_library(spark, docs, odd):
         assert own.encode(s) == lib.encode(s)
 
 
+def test_sentencepiece_memory_is_bounded_and_keeps_what_recurs():
+    raw, common = sentencepieces.default_model(), ["the", "and", "größer"]
+    own, fresh, limit = sentencepieces.Pieces(raw), sentencepieces.Pieces(raw), 150_000
+    for call in range(24):
+        text = " ".join(w for i in range(20_000) for w in (common[i % 3], f"{call * 20_000 + i:x}"))
+        ids, ends = own.encode_all([text, "", "the"])
+        assert len(own.memory) <= limit + 20_004 and len(ends) == 4 and {f" {w}" for w in common} <= own.memory.keys()
+        assert own.decode(ids[ends[0]:ends[1]].tolist()) == text and ends[1] == ends[2]
+    # what was renumbered on the way gives the ids of a model that remembers nothing yet
+    assert ids.tolist() == fresh.encode_all([text, "", "the"])[0].tolist()
+    assert len(own.memory) == len(own.limits) - 1 == len(own.uses) and own.limits[-1] == len(own.flat)
+
+
 def test_unigram_viterbi_is_the_best_path():
     def varint(n):
         return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
