@@ -213,3 +213,20 @@ def test_text_keys_in_blocks_with_an_empty_side(spark):
     keyed = X.with_keys(rows, X.Keys(4, 3, 0.9), "vec_id")
     # most keys of the right rows have no left row
     assert X.first_similar(keyed.where("vec_id = 'k000'"), keyed, 2.0, "vec_id", X.Keys(4, 3, 0.9)).count() == 0
+
+
+@pytest.mark.parametrize("bands", [0, 3])
+def test_block_joins_go_round_by_round(spark, monkeypatch, bands):
+    """A round copies rows for one band, or for one block of the left side; rounds together find what one join finds."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=(20, 6))
+    v = [list(map(float, base[i % 20] + 0.05 * r.normal(size=6))) for i in range(90)]
+    rows, keys = frame(spark, v), X.Keys(2, bands, 0.9) if bands else X.Keys(0, 0, 1.0)
+    monkeypatch.setattr(X, "BLOCK_ROWS", 20)
+    keyed = X.with_keys(rows, keys, "vec_id").localCheckpoint()
+    want = {(x["vec_id"], x["by"]) for x in X.first_similar(keyed, keyed, 0.9, "vec_id", keys).collect()}
+    made = []
+    monkeypatch.setattr(X, "cut_lineage", lambda df: made.append(df.columns) or df.localCheckpoint())
+    monkeypatch.setattr(X, "ROUND", 1)
+    assert {(x["vec_id"], x["by"]) for x in X.first_similar(keyed, keyed, 0.9, "vec_id", keys).collect()} == want and want
+    assert made.count(["vec_id", "by"]) == (bands or 5)
