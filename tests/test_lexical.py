@@ -206,3 +206,36 @@ def test_hits_are_searched_once(spark, monkeypatch):
     assert few.exceptAll(deep).isEmpty() and deep.filter("rank <= 3").count() == few.count()
     plan = fusion.with_text(few, t.chunks)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
+
+
+def test_sparse_scores_of_all_pairs_need_no_shuffle_of_postings(spark, skewed, monkeypatch):
+    """In the tasks and joined, with ids that repeat as well; with one row per id nothing is exchanged."""
+    chunks, queries = skewed
+    terms = lexical.build_postings(chunks, T.terms)
+    texts = lexical.sparse_expand(lexical.tfidf_rows(terms)).localCheckpoint()
+    asked = lexical.sparse_queries(queries, chunks, terms).localCheckpoint()
+    twice = texts.unionByName(texts.filter(F.xxhash64("chunk_id") % 3 == 0))
+    get = lambda df: sorted((r["query_id"], r["chunk_id"], r["score"]) for r in df.collect())
+    inside = [lexical.sparse_scores(asked, x) for x in (texts, twice)]
+    assert "Exchange" not in inside[0]._jdf.queryExecution().executedPlan().toString()
+    got = [get(df) for df in inside]
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
+    assert got == [get(lexical.sparse_scores(asked, x)) for x in (texts, twice)] and got[0] != got[1]
+
+
+def test_many_candidates_are_not_looked_up_one_by_one(monkeypatch):
+    """Both ways add the same; where candidates times closed terms exceed the products, products are made."""
+    import pandas as pd
+    from corpusloom.operators.blocks import Products
+    r = np.random.default_rng(2)
+    table = pd.DataFrame([(q, f"t{t}", r.random() + 0.1, 1.0) for q in range(20) for t in r.choice(300, 40, replace=False)], columns=["query_id", "term", "w", "most"])
+    p = Products(table, np.arange(20))
+    row, col = np.repeat(np.arange(50), 10), np.concatenate([r.choice(len(p.terms), 10, replace=False) for _ in range(50)])
+    amount, closed = r.random(500), np.flatnonzero(r.random(len(p.term)) < 0.5)
+    many, few = [a.ravel() for a in np.meshgrid(np.arange(50), np.arange(20))], [np.array([3]), np.array([4])]
+    want = p.looked_up(closed, row, col, amount, *many)
+    monkeypatch.setattr(Products, "looked_up", lambda *a: 1 / 0)
+    got, made = p.rest(closed, row, col, amount, *many, 50)
+    assert np.allclose(got, want) and 0 < made < len(want) * 40
+    got, _ = p.rest(closed, row, col, amount, *few, 50)
+    assert np.allclose(got, want.reshape(20, 50)[4, 3])
