@@ -59,13 +59,18 @@ def _(t):
 _PARTS = 3
 
 
+def _ranges(df, order: str, parts: int = _PARTS) -> list:
+    """The rows in parts of equal ranges of a number."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    step = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
+    return [df.filter((F.col(order) >= (low or 0) + n * step) & (F.col(order) < (low or 0) + (n + 1) * step)) for n in range(parts)]
+
+
 def _arrivals(t, df, order: str, parts: int = _PARTS) -> str:
     """The rows as files that arrive one after the other in the order of a number, to be read one file a micro-batch."""
     out = scratch_folder(t.spark, "arrivals")
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    step = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
-    for n in range(parts):
-        df.filter((F.col(order) >= (low or 0) + n * step) & (F.col(order) < (low or 0) + (n + 1) * step)).coalesce(1).write.mode("append").parquet(out)
+    for part in _ranges(df, order, parts):
+        part.coalesce(1).write.mode("append").parquet(out)
     return out
 
 
@@ -75,6 +80,17 @@ def _run_stateful(t, folder: str, schema, build):
     return _run(t, made)
 
 
+def _run_by_parts(t, df, order: str, build):
+    """The rows arrive in parts in the order of a number; all tasks write a part, and the stream takes it as one micro-batch before the next arrives."""
+    stateful.with_state_store(t.spark)
+    folder, out, progress = (scratch_folder(t.spark, name) for name in ("arrivals", "sink", "progress"))
+    for part in _ranges(df, order):
+        part.write.mode("append").parquet(folder)
+        made = build(t.spark.readStream.schema(df.schema).parquet(folder))
+        streams.run_once(made.writeStream.format("parquet").option("path", out), progress)
+    return t.spark.read.schema(made.schema).parquet(out)
+
+
 @query("s2_stream_duplicates", f"""
     WITH RECURSIVE docs AS (
       SELECT doc_id, sha256({Q.normalized("coalesce(text, '')")}) AS content_hash, (1704067200 + 60 * doc_id) * 1000 AS ms FROM documents),
@@ -89,9 +105,9 @@ def _run_stateful(t, folder: str, schema, build):
     UNION ALL SELECT content_hash, doc_id, first_ms, 'closed', copies FROM counted WHERE first_ms + 10800000 <= (SELECT max(ms) FROM docs) - 630000
        OR EXISTS (SELECT 1 FROM docs d WHERE d.content_hash = counted.content_hash AND d.ms >= first_ms + 10800000)""")
 def _(t):
-    """Documents arrive one minute apart in three files; a content is new again three hours after its first row."""
-    docs = t.documents.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + 60 * F.col("doc_id")))
-    return _run_stateful(t, _arrivals(t, docs, "doc_id"), docs.schema, lambda s: stateful.duplicates(s, "3 hours", "630 seconds"))
+    """Documents arrive one minute apart in three parts; a content is new again three hours after its first row."""
+    docs = t.documents.select("doc_id", "text", F.timestamp_seconds(F.lit(1_704_067_200) + 60 * F.col("doc_id")).alias("ts"))
+    return _run_by_parts(t, docs, "doc_id", lambda s: stateful.duplicates(s, "3 hours", "630 seconds"))
 
 
 _HOURS = """

@@ -87,3 +87,20 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
     for folder in (tmp_path, tmp_path / "single"):
         assert catalog.QUERIES["s1_stream_ingest"](spark, str(folder)).count() == wanted > 0
         assert catalog.QUERIES["s2_stream_dedup"](spark, str(folder)).count() > 0
+
+
+def test_parts_of_a_stream_are_written_by_all_tasks(spark, monkeypatch, tmp_path):
+    """A part arrives as several files and is one micro-batch; rows of a content meet across parts."""
+    from corpusloom.plans import queries_streams as Q
+    from corpusloom.plans.tables import Tables
+    from corpusloom.streaming import stateful
+    rows = [(i, f"text {i % 7}") for i in range(90)] + [(None, "lost")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).select("doc_id", "text", F.timestamp_seconds(60 * F.col("doc_id")).alias("ts"))
+    folders, scratch = [], Q.scratch_folder
+    monkeypatch.setattr(Q, "scratch_folder", lambda s, name: folders.append((name, scratch(s, name))) or folders[-1][1])
+    build = lambda s: stateful.duplicates(s, "3 hours", "630 seconds")
+    got = sorted(Q._run_by_parts(Tables(spark, ""), docs, "doc_id", build).collect())
+    arrived = spark.read.parquet(dict(folders)["arrivals"]).select(F.input_file_name().alias("f"), "doc_id")
+    assert arrived.select("f").distinct().count() > 3
+    want = sorted(Q._run_stateful(Tables(spark, ""), Q._arrivals(Tables(spark, ""), docs, "doc_id"), docs.schema, build).collect())
+    assert got == want and sum(r["event"] == "first" for r in got) == 7
